@@ -278,6 +278,23 @@ def word_marginals(model: LanguageModel, buf: np.ndarray, offs: np.ndarray) -> t
     return start, end, row, marginals(e, model.transition, row, len(offs) - 1)
 
 
+def _predicted(m: LanguageModel, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, languages, scores) of parts of a column of texts."""
+    for a, b, buf, offs in steps(pa.RecordBatch.from_arrays([text], names=["text"])):
+        n = b - a
+        letters = pc.fill_null(pc.match_substring_regex(text.slice(a, n).cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        lang, score = np.full(n, "und", object), np.zeros(n)
+        if m.labels:
+            _, _, row, gamma = word_marginals(m, buf, offs)
+            count, _ = counts_of(row, n)
+            mean = sums_by(row, gamma, n) / np.maximum(count, 1)[:, None]
+            best = mean.argmax(axis=1)
+            ok = letters & (count > 0)
+            lang[ok] = np.array(m.labels, object)[best[ok]]
+            score[ok] = np.clip(mean[np.arange(n), best], 0, 1)[ok]
+        yield a, b, lang, score
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred`` and ``score`` (the mean marginal of that language, 0 to 1) of every text.
 
@@ -288,25 +305,27 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            for a, b, buf, offs in steps(batch.select(["text"])):
-                n = b - a
-                letters = pc.fill_null(pc.match_substring_regex(batch.column(1).slice(a, n).cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                lang, score = np.full(n, "und", object), np.zeros(n)
-                if m.labels:
-                    _, _, row, gamma = word_marginals(m, buf, offs)
-                    count, _ = counts_of(row, n)
-                    mean = sums_by(row, gamma, n) / np.maximum(count, 1)[:, None]
-                    best = mean.argmax(axis=1)
-                    ok = letters & (count > 0)
-                    lang[ok] = np.array(m.labels, object)[best[ok]]
-                    score[ok] = np.clip(mean[np.arange(n), best], 0, 1)[ok]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+            for a, b, lang, score in _predicted(shared.value, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language and a score of at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [(lang != "und") & (score >= min_score) for _, _, lang, score in _predicted(shared.value, batch.column(at))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep).astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_words(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of words of one language in every text: (id, word_from, word_to, lang), word_to exclusive."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -127,15 +127,16 @@ def duplicate_lines(docs: DataFrame, space: Workspace, min_chars: int = 10, batc
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep each repeated line only in the smallest document that holds it.
 
-    Returns the id, ``text`` (the kept lines joined by \\n), ``n_lines`` and ``n_dropped``.
+    Returns all columns of ``docs`` (where named like a result, they give way to it), with ``text`` (the kept lines joined by \\n), ``n_lines`` and ``n_dropped``.
     Null and empty texts have one empty line, which stays. Lines whose key is shorter than
     ``min_chars`` code points always stay. A line that one document repeats, and no other
     holds, stays. Rows that repeat an id count as one document; a row without an id keeps its text and
-    counts for no other. Other columns are not looked at.
+    counts for no other.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "linededup")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"))
     dropped = duplicate_lines(docs, space, min_chars, batches, "id", "text")
     per_doc = dropped.groupBy("id").agg(F.collect_set(F.struct(*HASHES)).alias("gone"))
     lines = F.col("lines")
@@ -143,7 +144,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, id_col:
     def stays(line: Column) -> Column:
         return ~F.coalesce(F.array_contains(F.col("gone"), F.struct(*key_hashes(line_key(line)))), F.lit(False)) | (F.char_length(line_key(line)) < min_chars)
 
-    out = docs.join(per_doc, "id", "left").select("id", lines_of(F.col("text")).alias("lines"), "gone")
-    out = out.select("id", lines, F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays)).alias("kept"))
-    return out.select(F.col("id").alias(id_col), F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"),
-                      (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.size("kept").alias("n_kept"))
+    out = docs.join(per_doc, "id", "left").select("id", "rest", lines_of(F.col("text")).alias("lines"), "gone")
+    out = out.select("id", "rest", lines, F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.array_join("kept", "\n").alias(text_col), F.size("lines").cast("long").alias("n_lines"),
+                      (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), *(["rest.*"] if rest else []))

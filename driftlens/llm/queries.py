@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, decontam, langid, linededup, quality, setjoin, warc
+from driftlens.llm import bpe, decontam, langid, linededup, pii, quality, quotes, setjoin, sufdedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii, "op2_quotes": op2_quotes, "op6_suffix_dedup": op6_suffix_dedup,
     "op3_quality": op3_quality, "op4_warc": op4_warc, "op5_bpe": op5_bpe, "op7_set_join": op7_set_join,
     "op8_decontaminate": op8_decontaminate, "op9_language": op9_language, "op10_line_dedup": op10_line_dedup,
 }
