@@ -13,6 +13,7 @@ signature still holds more than one component: a group of copies makes one pair
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.components import components
 from driftlens.llm.textkernel import U64, lists, mix, shingle_sets, steps
-from driftlens.llm.workspace import Workspace
+from driftlens.llm.workspace import Workspace, shuffle_cleanup
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -157,65 +158,89 @@ def signature_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "sig bigint, node bigint, n int")
 
 
-def members(texts: DataFrame, frequent: np.ndarray, space: Workspace) -> DataFrame:
-    """(sig, node, n) of the signatures that more than one node has."""
+def members(texts: DataFrame, frequent: np.ndarray, firsts: DataFrame, space: Workspace) -> DataFrame:
+    """(sig, doc, n) of the signatures that more than one node has; a node's smallest id stands for it."""
     shared = signature_rows(texts, frequent).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
     shared = space.keep(shared, "shared")
-    return space.keep(signature_rows(texts, frequent).join(shared, "sig").distinct(), "members")
+    rows = space.keep(signature_rows(texts, frequent).join(shared, "sig").distinct(), "by-node")
+    out = space.keep(rows.join(firsts, "node").select("sig", F.col("id").alias("doc"), "n"), "members")
+    for label in ("shared", "by-node", "frequent"):
+        space.drop(label)
+    return out
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, space: Workspace) -> DataFrame:
-    """(node, n, tokens) of one document of each wanted node (columns id, node)."""
+def wanted_sets(docs: DataFrame, wanted: DataFrame, space: Workspace) -> str:
+    """Name of a table (doc, n, tokens) of the wanted documents (column id), bucketed by doc.
+
+    The texts arrive dealt out by id, so writing the buckets moves nothing, and a later join
+    deals out its pairs only, never the sets.
+    """
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, values, at in _sets(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(node_ids(values, at)), pa.array(np.diff(at).astype(np.int32)), lists(values, at)], names=["node", "n", "tokens"])
+            for a, b, values, at in _sets(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), lists(values, at)], names=["doc", "n", "tokens"])
 
     texts = docs.join(wanted, "id", "left_semi").select("id", "text")
-    return space.keep(texts.mapInArrow(run, "node bigint, n int, tokens array<bigint>").dropDuplicates(["node"]), "sets")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = f"shingle_sets_{uuid.uuid4().hex}"
+    with shuffle_cleanup(docs.sparkSession):
+        texts.mapInArrow(run, f"doc {id_type}, n int, tokens array<bigint>").write.bucketBy(buckets, "doc").sortBy("doc").option("path", f"{space.path}/sets").saveAsTable(name)
+    return name
 
 
 def size_fits(a: Column, b: Column) -> Column:
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. The smaller side's set is dealt out once a pair."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b")
+def verified(pairs: DataFrame, sets: DataFrame, space: Workspace, label: str) -> DataFrame:
+    """The pairs (x, y) whose sets link.
+
+    y's set goes along with the pair to x. If one x is in very many pairs, that join can be
+    split: both its sides are dealt out, and x's sets are those of the few that are an x.
+    """
+    heads = space.keep(sets.join(pairs.select(F.col("x").alias("doc")).distinct(), "doc", "left_semi"), f"{label}-heads")
+    left = heads.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
+    right = sets.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
+    both = F.size(F.array_intersect("tx", "ty"))
+    found = pairs.join(right, "y").join(left, "x").where(100 * both >= PERCENT * (F.col("nx") + F.col("ny") - both)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = space.keep(found, label)
+    space.drop(f"{label}-heads")
+    return found
 
 
 def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
-    """(a, b) edges that connect exactly the nodes that links connect.
+    """(a, b) edges that connect exactly the documents that links connect.
 
     In each round every signature's members are compared with one of its members, drawn anew
     by the round. Members of one component need no comparison. What is left after the rounds
     are the pairs of different components under one signature; those are all compared.
     """
     edges, done = None, None
-    rows = rows.select("sig", "node", "n", F.col("node").alias("root"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    rows = rows.select("sig", "doc", "n", F.col("doc").alias("root"))
     for k in range(STAR_ROUNDS + 1):
-        live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), "node", "n", "root")).alias("lead")).where(F.col("lo") != F.col("hi"))
+        live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(k), "doc").alias("draw"), "doc", "n", "root")).alias("lead")).where(F.col("lo") != F.col("hi"))
         rows = space.keep(rows.join(live.select("sig", "lead"), "sig"), f"live{k}")
+        if k:
+            space.drop(f"live{k - 1}")
         if k < STAR_ROUNDS:
-            found = rows.where((F.col("root") != F.col("lead.root")) & size_fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("x"), F.col("node").alias("y"))
+            found = rows.where((F.col("root") != F.col("lead.root")) & size_fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.doc").alias("x"), F.col("doc").alias("y"))
         else:
-            one = rows.select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            two = rows.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            found = one.join(two, (one["sig"] == two["sig"]) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & size_fits(F.col("nx"), F.col("ny"))).select("x", "y")
-        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            one = rows.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+            two = rows.select(F.col("sig").alias("sig2"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+            found = one.join(two, (F.col("sig") == F.col("sig2")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & size_fits(F.col("nx"), F.col("ny"))).select("x", "y")
+        pairs = found.groupBy(*pair).agg(F.min("x").alias("x"))
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = space.keep(pairs, f"pairs{k}")
-        new = space.keep(verified(pairs, sets), f"links{k}")
-        done = pairs if done is None else done.unionByName(pairs)
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        new = verified(pairs.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), sets, space, f"links{k}")
         edges = new if edges is None else edges.unionByName(new)
         if k < STAR_ROUNDS:
-            root = components(edges, space, f"round{k}").withColumnRenamed("root", "found")
-            rows = rows.select("sig", "node", "n").join(root, "node", "left").select("sig", "node", "n", F.coalesce("found", "node").alias("root"))
+            root = components(edges, space, f"round{k}").select(F.col("node").alias("doc"), F.col("root").alias("found"))
+            rows = rows.select("sig", "doc", "n").join(root, "doc", "left").select("sig", "doc", "n", F.coalesce("found", "doc").alias("root"))
     return edges
 
 
@@ -231,14 +256,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     nodes = space.keep(docs.mapInArrow(_nodes, "id " + docs.schema["id"].dataType.simpleString() + ", node bigint, n bigint"), "nodes")
     texts = docs.where(F.col("id").isNotNull())
-    rows = members(texts, frequent_shingles(texts, space), space)
-    filled = nodes.where((F.col("n") > 0) & F.col("id").isNotNull())
-    firsts = filled.groupBy("node").agg(F.min("id").alias("id"))
-    wanted = space.keep(firsts.join(rows.select("node").distinct(), "node"), "wanted")
-    edges = links(rows, node_sets(texts, wanted, space), space)
-    root = components(edges, space, "all")
-    classes = firsts.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("id").alias("component"))
-    by_node = space.keep(classes.join(least, "root").select("node", "component"), "classes")
+    firsts = space.keep(nodes.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id")), "firsts")
+    rows = members(texts, frequent_shingles(texts, space), firsts, space)
+    sets = wanted_sets(texts, rows.select(F.col("doc").alias("id")).distinct(), space)
+    edges = links(rows, docs.sparkSession.table(sets), space)
+    docs.sparkSession.sql(f"DROP TABLE {sets}")
+    space.drop("sets")
+    root = components(edges, space, "all").select(F.col("node").alias("first"), "root")
+    classes = firsts.select("node", F.col("id").alias("first")).join(root, "first", "left").select("node", F.coalesce("root", "first").alias("component"))
     own = F.when(F.col("n") > 0, F.col("node"))
-    return nodes.withColumn("node", own).join(by_node, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+    return nodes.withColumn("node", own).join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
