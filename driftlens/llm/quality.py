@@ -144,25 +144,20 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 60,
     model = QualityModel(np.zeros(1 << BITS), np.zeros(1 << BITS))
     if len(set(y.tolist())) < 2 or len(y) < 10:
         return QualityModel(model.word, model.char, bias=40.0)
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    (_, _, buf, offs), = steps(batch, step_bytes=1 << 62)
     n = len(texts)
-    start, end, row = words(buf, offs)
-    slots, owner = word_slots(span_hashes(prefix_sums(buf), start, end), row)
-    word_share = SCALE / np.maximum(np.bincount(owner, minlength=n), 1)
-    parts, sizes = [], np.zeros(n)
-    byte_row = np.repeat(np.arange(n), np.diff(offs))
-    for c_slots, whole in char_parts(buf, offs):
-        parts.append((c_slots[whole], byte_row[whole]))
-        sizes += np.bincount(byte_row[whole], minlength=n)
-    c_slots, c_owner = (np.concatenate(x) for x in zip(*parts))
-    slot = np.concatenate((slots, c_slots + (1 << BITS)))
-    owner = np.concatenate((owner, c_owner))
-    key, value = np.unique(owner * (2 << BITS) + slot, return_counts=True)  # one entry for each feature of a text
-    owner, slot = key // (2 << BITS), key % (2 << BITS)
-    value = value * np.where(slot < (1 << BITS), word_share[owner], (SCALE / np.maximum(sizes, 1))[owner])
+    slots, values = [], []
+    for text in texts:  # one text at a time: only its distinct features are held
+        buf = np.frombuffer(text.encode(), np.uint8)
+        start, end, row = words(buf, np.array([0, len(buf)]))
+        word, count = np.unique(word_slots(span_hashes(prefix_sums(buf), start, end), row)[0], return_counts=True)
+        char, char_count = np.unique(np.concatenate([c[whole] for c, whole in char_parts(buf, np.array([0, len(buf)]))]), return_counts=True)
+        slots.append(np.concatenate((word, char + (1 << BITS))).astype(np.int32))
+        values.append(np.concatenate((SCALE * count / max(count.sum(), 1), SCALE * char_count / max(char_count.sum(), 1))).astype(np.float32))
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in slots])
+    slot, value = np.concatenate(slots), np.concatenate(values)
+    del slots, values
     fold = np.arange(n) % 5 == 4
-    balance = np.where(y > 0, 0.5 / max((y[~fold] > 0).sum(), 1), 0.5 / max((y[~fold] == 0).sum(), 1)) * ~fold
+    balance = np.where(y > 0, 0.5 / max((y[~fold] > 0).sum(), 1), 0.5 / max((y[~fold] == 0).sum(), 1)) * ~fold  # classes weigh alike
     w, g2, bias, b2 = np.zeros(2 << BITS), np.full(2 << BITS, 1e-10), 0.0, 1e-10
     for _ in range(epochs):
         d = balance * (sigmoid(np.bincount(owner, w[slot] * value, n) + bias) - y)
