@@ -49,6 +49,15 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), 0)
 
 
+def may_hold(text: Column) -> Column:
+    """A cheap test that every text with an entity passes: a digit, @, a key word, a title, or a long run of a-f."""
+    words = [F.lower(text).contains(w) for w in ("password", "passwd", "secret", "token", "api")] + [text.contains(t) for t in [*MALE, *FEMALE, *NEUTRAL, "AKIA"]]
+    out = text.rlike("[0-9@]")
+    for w in words:
+        out = out | w
+    return out | text.rlike("[a-f]{32}")
+
+
 def type_of(raw: Column) -> Column:
     out = F.lit("person")
     for name, pattern in reversed(PATTERNS.items()):
@@ -178,8 +187,8 @@ def pseudonymise(docs: DataFrame, key: str = "driftlens", id_col: str = "doc_id"
     space = Workspace(docs.sparkSession, "pii")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     k1, k2 = F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "id").alias("k2")
-    holds = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
-    some = docs.where(holds).select("id", "text", k1, k2, entities(F.col("text")).alias("raws"))
+    holds = F.coalesce(may_hold(F.col("text")) & F.col("text").rlike(PATTERN), F.lit(False))
+    some = space.keep(docs.where(holds).select("id", "text", k1, k2, entities(F.col("text")).alias("raws")), "some")
     raw = F.col("raw")
     occurrences = (some.select("k1", "k2", F.explode(F.array_distinct("raws")).alias("raw")).withColumn("type", type_of(raw))
                    .select("k1", "k2", "raw", "type", F.posexplode(parts_of(raw, F.col("type"))).alias("nth", "part")).select("k1", "k2", "raw", "type", "nth", "part.kind", "part.canon"))
