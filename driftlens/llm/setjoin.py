@@ -9,6 +9,7 @@ pair. Two sets that link share a signature, whichever classes their common shing
 
 Candidates of a signature are compared with one of them after another, and only while the
 signature still holds more than one component: a group of copies makes one pair a member.
+Members too far from the one compared go on under signatures made of shingles outside it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ FREQUENT = 8
 MOST_FREQUENT = 1 << 18
 #: Rounds of comparing with one member before the pairs of different components that are left.
 STAR_ROUNDS = 3
+#: Signatures of at most so many members go on as they are, without signatures outside the lead.
+SMALL = 16
+ANY_SIZE = (1 << 31) - 1
 
 
 def misses(n: np.ndarray | int) -> np.ndarray | int:
@@ -159,11 +163,11 @@ def signature_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def members(texts: DataFrame, frequent: np.ndarray, firsts: DataFrame, space: Workspace) -> DataFrame:
-    """(sig, doc, n) of the signatures that more than one node has; a node's smallest id stands for it."""
-    shared = signature_rows(texts, frequent).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
+    """(sig, doc, n, held) of the signatures that more than one node has, ``held`` by so many documents; a node's smallest id stands for it."""
+    shared = signature_rows(texts, frequent).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("held")).where(F.col("lo") != F.col("hi")).select("sig", "held")
     shared = space.keep(shared, "shared")
     rows = space.keep(signature_rows(texts, frequent).join(shared, "sig").distinct(), "by-node")
-    out = space.keep(rows.join(firsts, "node").select("sig", F.col("id").alias("doc"), "n"), "members")
+    out = space.keep(rows.join(firsts, "node").select("sig", F.col("id").alias("doc"), "n", "held"), "members")
     for label in ("shared", "by-node", "frequent"):
         space.drop(label)
     return out
@@ -194,53 +198,75 @@ def size_fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, space: Workspace, label: str) -> DataFrame:
-    """The pairs (x, y) whose sets link.
+def compared(pairs: DataFrame, sets: DataFrame, space: Workspace, label: str) -> DataFrame:
+    """The pairs (x, y) that link or are ``big``; the latter with y's shingles outside x.
 
+    ``most`` is the size of the largest set that y can link with by what it shares with x alone.
     y's set goes along with the pair to x. If one x is in very many pairs, that join can be
     split: both its sides are dealt out, and x's sets are those of the few that are an x.
     """
     heads = space.keep(sets.join(pairs.select(F.col("x").alias("doc")).distinct(), "doc", "left_semi"), f"{label}-heads")
     left = heads.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
     right = sets.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    both = F.size(F.array_intersect("tx", "ty"))
-    found = pairs.join(right, "y").join(left, "x").where(100 * both >= PERCENT * (F.col("nx") + F.col("ny") - both)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = space.keep(found, label)
+    out = pairs.join(right, "y").join(left, "x").withColumn("both", F.size(F.array_intersect("tx", "ty")))
+    linked = 100 * F.col("both") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("both"))
+    most = F.expr(f"{100 + PERCENT} * both div {PERCENT}").cast("int") - F.col("ny")
+    out = space.keep(out.select("x", "y", "big", "score", "ny", linked.alias("linked"), most.alias("most"), F.when(F.col("big"), F.array_except("ty", "tx")).alias("outside")).where("linked OR big"), label)
     space.drop(f"{label}-heads")
-    return found
+    return out
+
+
+def _other_signatures(found: DataFrame) -> DataFrame:
+    """Signatures (x, shingle outside x) of all that were compared with an x that not all link with."""
+    heads = found.where("big AND NOT linked").select("x").distinct()
+    rows = found.where("big").join(heads, "x", "left_semi")
+    return rows.select("x", F.explode("outside").alias("token"), F.col("y").alias("doc"), F.col("ny").alias("n"), "score").select(F.xxhash64("x", "token").alias("sig"), "doc", "n", "score", F.lit(ANY_SIZE).alias("most"))
 
 
 def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     """(a, b) edges that connect exactly the documents that links connect.
 
-    In each round every signature's members are compared with one of its members, drawn anew
-    by the round. Members of one component need no comparison. What is left after the rounds
-    are the pairs of different components under one signature; those are all compared.
+    In each round every signature's members are compared with one of them, its lead: the one
+    whose signatures most documents hold, in a group of edited copies the original or near it. Members of
+    one component need no more comparison. In signatures of more than SMALL members, what a
+    member y shares with the lead suffices for links with sets of up to some size, ``most``. Any
+    larger member that y links with shares a shingle outside the lead with it: all members get
+    signatures of the lead and one shingle outside it, and y is compared under the old one with
+    members up to that size only, or leaves it if there can be none. Copies that differ too
+    much to link have most such shingles for themselves, and are not compared with each other.
+    What is left after the rounds are the pairs of different components under one signature;
+    those are all compared.
     """
     edges, done = None, None
-    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    rows = rows.select("sig", "doc", "n", F.col("doc").alias("root"))
+    score = space.keep(rows.groupBy("doc").agg(F.sum("held").alias("score")), "score")
+    rows = rows.join(score, "doc").select("sig", "doc", "n", "score", F.lit(ANY_SIZE).alias("most"), F.col("doc").alias("root"))
     for k in range(STAR_ROUNDS + 1):
-        live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(k), "doc").alias("draw"), "doc", "n", "root")).alias("lead")).where(F.col("lo") != F.col("hi"))
-        rows = space.keep(rows.join(live.select("sig", "lead"), "sig"), f"live{k}")
-        if k:
-            space.drop(f"live{k - 1}")
+        lead = F.max(F.struct("score", F.xxhash64(F.lit(k), "doc").alias("draw"), "doc", "n", "root")).alias("lead")
+        live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead, (F.count("*") > SMALL).alias("big"), F.min("n").alias("least")).where(F.col("lo") != F.col("hi"))
+        rows = space.keep(rows.join(live.select("sig", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root"), "big", "least"), "sig"), f"live{k}")
         if k < STAR_ROUNDS:
-            found = rows.where((F.col("root") != F.col("lead.root")) & size_fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.doc").alias("x"), F.col("doc").alias("y"))
+            found = rows.where((F.col("lead") != F.col("doc")) & (F.col("big") | (F.col("root") != F.col("lead_root")) & size_fits(F.col("n"), F.col("lead_n"))))
+            found = found.select(F.col("lead").alias("x"), F.col("doc").alias("y"), "big", "score")
         else:
-            one = rows.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            two = rows.select(F.col("sig").alias("sig2"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            found = one.join(two, (F.col("sig") == F.col("sig2")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & size_fits(F.col("nx"), F.col("ny"))).select("x", "y")
-        pairs = found.groupBy(*pair).agg(F.min("x").alias("x"))
+            one = rows.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("most").alias("mx"))
+            two = rows.select(F.col("sig").alias("sig2"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("most").alias("my"), "score")
+            found = one.join(two, (F.col("sig") == F.col("sig2")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (F.col("nx") <= F.col("my")) & (F.col("ny") <= F.col("mx")) & size_fits(F.col("nx"), F.col("ny"))).select("x", "y", F.lit(False).alias("big"), "score")
+        pairs = found.groupBy("x", "y").agg(F.max("big").alias("big"), F.max("score").alias("score")).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = pairs.join(done.withColumn("known", F.lit(True)), ["a", "b"], "left").where("big OR known IS NULL").drop("known")
         pairs = space.keep(pairs, f"pairs{k}")
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        new = verified(pairs.select("x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y")), sets, space, f"links{k}")
+        found = compared(pairs.select("x", "y", "big", "score"), sets, space, f"compared{k}")
+        new = found.where("linked").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = new if edges is None else edges.unionByName(new)
-        if k < STAR_ROUNDS:
-            root = components(edges, space, f"round{k}").select(F.col("node").alias("doc"), F.col("root").alias("found"))
-            rows = rows.select("sig", "doc", "n").join(root, "doc", "left").select("sig", "doc", "n", F.coalesce("found", "doc").alias("root"))
+        if k == STAR_ROUNDS:
+            break
+        seen = pairs.select("a", "b").distinct()
+        done = seen if done is None else done.unionByName(seen).distinct()
+        root = components(edges, space, f"round{k}").select(F.col("node").alias("doc"), F.col("root").alias("found"))
+        bound = found.where("big").select(F.col("x").alias("lead"), F.col("y").alias("doc"), "big", F.col("most").alias("bound"))
+        kept = rows.where(F.col("doc") != F.col("lead")).join(bound, ["lead", "doc", "big"], "left").withColumn("most", F.least("most", "bound"))
+        kept = kept.where(F.col("most") >= F.greatest("least", F.ceil(PERCENT * F.col("n") / 100))).select("sig", "doc", "n", "score", "most")
+        rows = kept.unionByName(_other_signatures(found)).join(root, "doc", "left").select("sig", "doc", "n", "score", "most", F.coalesce("found", "doc").alias("root"))
     return edges
 
 

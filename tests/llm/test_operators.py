@@ -217,3 +217,33 @@ def test_empty_tables(spark):
     assert decontam.contaminated(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert quotes.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_set_join_of_large_groups_near_the_threshold(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = []
+    for k in range(150):
+        words = [w if rng.random() > (k % 10) * 0.008 else f"x{rng.randrange(30)}" for w in base]
+        texts.append(" ".join(words[: 120 - k % 4 * 7]))
+    texts += [" ".join(base + [f"t{k}-{i}" for i in range(k)]) for k in range(40)] + texts[:20] + [None, ""]
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.similar_documents(docs).collect()}
+    assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
+    assert len(set(map(top, range(150)))) > 20
