@@ -217,10 +217,27 @@ def compared(pairs: DataFrame, sets: DataFrame, space: Workspace, label: str) ->
 
 
 def _other_signatures(found: DataFrame) -> DataFrame:
-    """Signatures (x, shingle outside x) of all that were compared with an x that not all link with."""
+    """Signatures (x, shingle outside x) of all that were compared with an x that not all link with; ``found`` has y's root."""
     heads = found.where("big AND NOT linked").select("x").distinct()
     rows = found.where("big").join(heads, "x", "left_semi")
-    return rows.select("x", F.explode("outside").alias("token"), F.col("y").alias("doc"), F.col("ny").alias("n"), "score").select(F.xxhash64("x", "token").alias("sig"), "doc", "n", "score", F.lit(ANY_SIZE).alias("most"))
+    rows = rows.select("x", F.explode("outside").alias("token"), F.col("y").alias("doc"), F.col("ny").alias("n"), "score", "root")
+    return rows.select(F.xxhash64("x", "token").alias("sig"), "doc", "n", "score", F.lit(ANY_SIZE).alias("most"), "root")
+
+
+def live_signatures(rows: DataFrame, draw: int) -> DataFrame:
+    """(sig, lead, lead_n, lead_root, big, least) of the signatures that more than one component has.
+
+    Copies share many signatures that nobody else has: of signatures with the same members
+    under the same bounds one is kept. Members are told apart by their number and by two sums
+    of 31 bits of a hash, besides the ends of their roots and the lead.
+    """
+    h = F.xxhash64("doc", "most")
+    lead = F.max(F.struct("score", F.xxhash64(F.lit(draw), "doc").alias("draw"), "doc", "n", "root")).alias("lead")
+    sums = [F.count("*").alias("size"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(h, 33)).alias("s2")]
+    live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead, F.min("n").alias("least"), *sums).where(F.col("lo") != F.col("hi"))
+    live = live.select("sig", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root"), (F.col("size") > SMALL).alias("big"), "least", "lo", "hi", "size", "s1", "s2")
+    same = ["lead", "lead_n", "lead_root", "big", "least", "lo", "hi", "size", "s1", "s2"]
+    return live.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", *same[:5])
 
 
 def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
@@ -237,13 +254,11 @@ def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     What is left after the rounds are the pairs of different components under one signature;
     those are all compared.
     """
-    edges, done = None, None
+    tree, done = None, None
     score = space.keep(rows.groupBy("doc").agg(F.sum("held").alias("score")), "score")
     rows = rows.join(score, "doc").select("sig", "doc", "n", "score", F.lit(ANY_SIZE).alias("most"), F.col("doc").alias("root"))
     for k in range(STAR_ROUNDS + 1):
-        lead = F.max(F.struct("score", F.xxhash64(F.lit(k), "doc").alias("draw"), "doc", "n", "root")).alias("lead")
-        live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead, (F.count("*") > SMALL).alias("big"), F.min("n").alias("least")).where(F.col("lo") != F.col("hi"))
-        rows = space.keep(rows.join(live.select("sig", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root"), "big", "least"), "sig"), f"live{k}")
+        rows = space.keep(rows.join(live_signatures(rows, k), "sig"), f"live{k}")
         if k < STAR_ROUNDS:
             found = rows.where((F.col("lead") != F.col("doc")) & (F.col("big") | (F.col("root") != F.col("lead_root")) & size_fits(F.col("n"), F.col("lead_n"))))
             found = found.select(F.col("lead").alias("x"), F.col("doc").alias("y"), "big", "score")
@@ -257,16 +272,19 @@ def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
         pairs = space.keep(pairs, f"pairs{k}")
         found = compared(pairs.select("x", "y", "big", "score"), sets, space, f"compared{k}")
         new = found.where("linked").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = new if edges is None else edges.unionByName(new)
+        edges = new if tree is None else new.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
         if k == STAR_ROUNDS:
             break
         seen = pairs.select("a", "b").distinct()
         done = seen if done is None else done.unionByName(seen).distinct()
-        root = components(edges, space, f"round{k}").select(F.col("node").alias("doc"), F.col("root").alias("found"))
+        tree = components(edges, space, f"round{k}")
+        root = tree.select(F.col("node").alias("doc"), F.col("root").alias("found"))
         bound = found.where("big").select(F.col("x").alias("lead"), F.col("y").alias("doc"), "big", F.col("most").alias("bound"))
         kept = rows.where(F.col("doc") != F.col("lead")).join(bound, ["lead", "doc", "big"], "left").withColumn("most", F.least("most", "bound"))
         kept = kept.where(F.col("most") >= F.greatest("least", F.ceil(PERCENT * F.col("n") / 100))).select("sig", "doc", "n", "score", "most")
-        rows = kept.unionByName(_other_signatures(found)).join(root, "doc", "left").select("sig", "doc", "n", "score", "most", F.coalesce("found", "doc").alias("root"))
+        kept = kept.join(root, "doc", "left").select("sig", "doc", "n", "score", "most", F.coalesce("found", "doc").alias("root"))
+        with_root = found.where("big").join(root.select(F.col("doc").alias("y"), "found"), "y", "left").withColumn("root", F.coalesce("found", "y"))
+        rows = kept.unionByName(_other_signatures(with_root))
     return edges
 
 
