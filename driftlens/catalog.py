@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import sizes
-from driftlens.operators import background, classes, distributions, exports, filters, series
+from driftlens.operators import background, classes, distributions, exports, filters, particles, series
 from driftlens.sources import adapters
 
 PIXEL, PATH = 28.0, 40.0
@@ -341,9 +341,9 @@ FILES = ", f AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS
 
 
 def files(spark, sf_dir):
-    """The images as a numbered list of files, as a driver-side listing is."""
-    names = [r[0] for r in parts(spark, sf_dir).select("timestamp").distinct().orderBy("timestamp").collect()]
-    return spark.createDataFrame(list(zip(names, range(len(names)))), "timestamp timestamp_ntz, ord long"), len(names)
+    """The images as a numbered list of files, and how many there are."""
+    images = parts(spark, sf_dir).select("timestamp").distinct()
+    return exports.numbered(images), images.count()
 
 
 @query(from_particles(FILES + " SELECT timestamp, ord, floor(ord / ceil(n / 4.0))::bigint AS chunk FROM f"))
@@ -429,3 +429,31 @@ def coverage(spark, sf_dir):
 @query(PIXELS_SQL + " SELECT floor(frame / 10)::bigint AS stack, pos::int AS pos, round(stddev_pop(px), 6) AS std, round(max(px), 6) AS max FROM pixels GROUP BY 1, 2")
 def stack_summary(spark, sf_dir):
     return rounded(background.stack_summary(adapters.pixels(spark, sf_dir), 10))
+
+
+def masks(spark, sf_dir):
+    """Dark pixels of the frames of 8 x 8 pixels, a frame a row."""
+    dark = background.threshold_fast(adapters.pixels(spark, sf_dir))
+    return dark.groupBy("frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dark"))), lambda x: x["dark"]).alias("dark")).withColumn("cols", F.lit(8))
+
+
+LABEL_SQL = MASK_SQL.replace("WITH px AS", "WITH RECURSIVE px AS", 1) + """, dk AS (SELECT frame, pos, pos // 8 AS r, pos % 8 AS c FROM mask WHERE dark),
+ed AS (SELECT a.frame, a.pos AS a, b.pos AS b FROM dk a JOIN dk b ON a.frame = b.frame AND a.pos <> b.pos AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+rc AS (SELECT frame, pos, pos AS root FROM dk UNION SELECT rc.frame, ed.b, rc.root FROM rc JOIN ed ON ed.frame = rc.frame AND ed.a = rc.pos WHERE rc.root < ed.b),
+lb AS (SELECT dk.*, rt.root, dense_rank() OVER (PARTITION BY dk.frame ORDER BY rt.root) AS label FROM dk JOIN (SELECT frame, pos, min(root) AS root FROM rc GROUP BY 1, 2) rt USING (frame, pos)),
+ms AS (SELECT frame, label::int AS label, count(*) AS area, min(r)::double AS minr, min(c)::double AS minc, max(r)::double + 1 AS maxr, max(c)::double + 1 AS maxc, var_pop(r) AS vr, var_pop(c) AS vc, covar_pop(r, c) AS vrc FROM lb GROUP BY frame, label)"""
+
+
+@query(LABEL_SQL + " SELECT frame, label, area, minr, minc, maxr, maxc, round(4 * sqrt(greatest(round((vr + vc) / 2 + sqrt(((vr - vc) / 2) ** 2 + vrc ** 2), 9), 0)), 6) AS major_axis_length, round(4 * sqrt(greatest(round((vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + vrc ** 2), 9), 0)), 6) AS minor_axis_length, round(sqrt(4 * area / pi()), 6) AS equivalent_diameter FROM ms")
+def label_measure(spark, sf_dir):
+    return rounded(particles.measured(particles.labelled(masks(spark, sf_dir))).drop("error"))
+
+
+BOX = "abs(p.minr - g.minr) + abs(p.minc - g.minc) + abs(p.maxr - g.maxr) + abs(p.maxc - g.maxc)"
+
+
+@query(from_particles(f", p AS (SELECT timestamp AS frame, event_id AS particle, minr, minc, maxr, maxc FROM particles), g AS (SELECT frame, particle AS region, particle % 50 AS ifocus, minr, minc, maxr, maxc FROM p WHERE particle % 3 = 0), b AS (SELECT p.frame, p.particle, g.region, g.ifocus, row_number() OVER (PARTITION BY p.frame, p.particle ORDER BY {BOX}, g.region) AS k FROM p JOIN g ON p.frame = g.frame) SELECT p.particle, b.region::double AS region, b.ifocus::double AS ifocus, round(2.0::double + b.ifocus * 0.5::double, 6) AS z FROM p LEFT JOIN b ON p.frame = b.frame AND p.particle = b.particle AND k = 1"))
+def merge_stats(spark, sf_dir):
+    p = parts(spark, sf_dir).select(F.col("timestamp").alias("frame"), F.col("event_id").alias("particle"), "minr", "minc", "maxr", "maxc")
+    g = p.where("particle % 3 = 0").withColumnRenamed("particle", "region").withColumn("ifocus", F.col("region") % 50)
+    return rounded(particles.merged(p, g, 2.0, 0.5).select("particle", F.col("region").cast("double").alias("region"), F.col("ifocus").cast("double").alias("ifocus"), "z"))

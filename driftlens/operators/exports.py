@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns of the interchange table and where they come from.
@@ -18,6 +18,20 @@ def append(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(images: DataFrame, time: str = "timestamp") -> DataFrame:
+    """Add ``ord``, the place in time order from 0: rows before the day, and the place within it.
+
+    Only the counts of days meet in one task. Null times come first.
+    """
+    day = F.to_date(time)
+    counts = images.groupBy(day.alias("day")).agg(F.count("*").alias("in_day"))
+    before = F.coalesce(F.sum("in_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("day").alias("counted"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy(time)) - 1
+    rows = images.withColumn("day", day).withColumn("place", place)
+    return rows.join(counts, F.col("day").eqNullSafe(F.col("counted"))).withColumn("ord", F.col("before") + F.col("place")).drop("day", "counted", "place", "before")
+
+
 def chunked(files: DataFrame, chunks: int, total: int, strategy: str = "block") -> DataFrame:
     """Add ``chunk``: contiguous blocks of ceil(total / chunks), or every chunks-th file. ``ord`` counts from 0."""
     if not 1 <= chunks <= max(1, total // 2):
