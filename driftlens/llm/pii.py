@@ -23,14 +23,22 @@ NEUTRAL = ["Dr", "Prof"]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+# Shapes of card numbers: plain, in groups of four (up to 19 digits), 4-6-5 and 4-6-4.
+_FOURS = r"\d{4}(?:[ -]\d{4}){3}"
+_CARD = rf"(?:\d{{13,19}}|{_FOURS}(?:[ -]\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}})(?!\d)"
+# Groups of four that are more than one card but less than two: a year before or after is left out, other groups go with the card.
+_STRAY = rf"(?:(?:[ -](?!(?:19|20)\d\d(?!\d))\d{{4}}){{1,3}}(?!\d|[ -]\d{{4}}(?!\d)))?+"
+_YEAR_FIRST = rf"(?!(?:19|20)\d\d[ -]{_FOURS}(?!\d))"
+# Grouped cards straight ahead: a telephone number does not run on into them.
+_NEXT = r"(?:(?:[ -]\d{4}){4})++(?:[ -](?:(?:19|20)\d\d|\d{1,3}))?(?![ -]?\d)|[ -]\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)"
 #: Patterns in the order in which they are tried; an entity has the first type that matches it.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",
     "secret": r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_/+.~-]{8,200}\"?|\bAKIA[0-9A-Z]{16}\b|\b[0-9a-f]{32,128}\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)\d{3}-\d{3}-\d{4}(?!\d)",
+    "phone": rf"\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:(?!{_NEXT})[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<!\d)\d{{3}}-\d{{3}}-\d{{4}}(?!\d)",
     "number": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "card": r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": rf"(?<!\d)(?:{_YEAR_FIRST}{_FOURS}(?!\d){_STRAY}(?:[ -]\d{{1,3}}(?!\d))?|{_YEAR_FIRST}{_CARD}|(?<!\d[ -]){_YEAR_FIRST}\d(?:(?:[ -](?!{_CARD}))?\d){{12,18}}(?!\d))",
     "person": rf"\b(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())

@@ -145,6 +145,19 @@ def test_pii(spark):
     assert names and names[2] == names[3]
 
 
+def test_pii_cards_beside_numbers(spark):
+    texts = ["4785380592391139 2123465659789240", "70.23.22.57 4111111111111111", "2024 4111111111111111", "2024 4111 1111 1111 1111", "4111 1111 1111 1111 2027",
+             "4111-1111-1111-1111 4222-2222-2222-2222", "+1 (988) 555-2485 4041 8949 7460 8795", "+1 (988) 555-2485 3782 822463 10005", "id 7 4111111111111111"]
+    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    for i, t in enumerate(texts):
+        for part in re.findall(r"\d{4,}", t):
+            assert part in ("2024", "2027") or part not in by[i].text, (t, by[i].text)
+        assert re.sub(r"\d+", "0", by[i].text) == re.sub(r"\d+", "0", t)
+    assert [by[i].n_entities for i in range(9)] == [2, 2, 1, 1, 1, 2, 2, 2, 1]
+    plain = by[1].text.split()[1]
+    assert by[2].text == f"2024 {plain}" and by[8].text == f"id 7 {plain}" and by[3].text.replace(" ", "") == f"2024{plain}" and by[4].text.replace(" ", "") == f"{plain}2027"
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\n\nHow are you?"), (1, 1, "assistant", "> hello  there.\nFine, thanks\n> How are you?\nok"), (1, 2, "user", ">> How are you?\n> Fine, thanks\ngood"), (1, 3, "user", "> Hello there.\nlate"), (2, 0, "user", None), (3, 5, None, "> Fine, thanks\ncross"), (None, None, None, "> good\nlost")]
     got = sorted(tuple(r)[:10] for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id is not null").collect())
