@@ -23,6 +23,9 @@ NEUTRAL = ["Dr", "Prof"]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+# A secret runs to its closing quote in the line, else to white space or a double quote; it has no greatest length.
+_KEY = r"(?i:password|passwd|secret|token|api[_-]?key)\\?[\"']?\s*+[=:]\s*+"
+_VALUE = r"(?:\"(?!\")[^\n]*?(?<!\\)\"|'(?!')[^'\n]*+'|(?!'')\\?[\"']?[^\s\"]++)"
 # Shapes of card numbers: plain, in groups of four (up to 19 digits), 4-6-5 and 4-6-4.
 _FOURS = r"\d{4}(?:[ -]\d{4}){3}"
 _CARD = rf"(?:\d{{13,19}}|{_FOURS}(?:[ -]\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}})(?!\d)"
@@ -33,8 +36,8 @@ _YEAR_FIRST = rf"(?!(?:19|20)\d\d[ -]{_FOURS}(?!\d))"
 _NEXT = r"(?:(?:[ -]\d{4}){4})++(?:[ -](?:(?:19|20)\d\d|\d{1,3}))?(?![ -]?\d)|[ -]\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)"
 #: Patterns in the order in which they are tried; an entity has the first type that matches it.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",
-    "secret": r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_/+.~-]{8,200}\"?|\bAKIA[0-9A-Z]{16}\b|\b[0-9a-f]{32,128}\b",
+    "email": r"(?:(?<![A-Za-z0-9])|\G)[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.(?:xn--[A-Za-z0-9-]{1,59}|[A-Za-z]{2,63})",
+    "secret": rf"{_KEY}{_VALUE}|\bAKIA[0-9A-Z]{{16}}\b|\b[0-9a-f]{{32,}}+\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": rf"\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:(?!{_NEXT})[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<!\d)\d{{3}}-\d{{3}}-\d{{4}}(?!\d)",
     "number": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
@@ -96,8 +99,16 @@ def parts_of(raw: Column, kind: Column) -> Column:
             .otherwise(F.when(F.size(names) > 1, F.array(given, surname)).otherwise(F.array(surname))))
 
 
+def secret_parts(raw: Column) -> tuple[Column, Column, Column]:
+    """What stands before a secret's value (key word, opening quote), the value, and its closing quote."""
+    lead = F.regexp_extract(raw, rf"^((?:{_KEY})?\\?[\"']?)", 1)
+    body = F.substring(raw, F.char_length(lead) + 1, F.char_length(raw))
+    quote = F.when(lead.endswith('"') & body.endswith('"'), F.lit('"')).when(lead.endswith("'") & body.endswith("'"), F.lit("'")).otherwise(F.lit(""))
+    return lead, F.substring(body, F.lit(1), F.char_length(body) - F.char_length(quote)), quote
+
+
 def secret_value(raw: Column) -> Column:
-    return F.regexp_extract(raw, r"^(?i:(?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*)?\"?([^\"]*)\"?$", 1)
+    return secret_parts(raw)[1]
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -131,7 +142,11 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     mapped = F.transform(chars, same_class)
     text = F.array_join(mapped, "")
     email = F.concat(F.substring(text, F.lit(1), F.char_length(canon) - F.char_length(F.substring_index(canon, ".", -1))), F.substring_index(canon, ".", -1))
-    kept = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(text, 5, 1000))).otherwise(text)
+    # Of a secret every letter and digit changes, or every character if it has none; later attempts are longer, as short ones are few.
+    plain = ~canon.rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")
+    hidden = F.array_join(F.transform(chars, lambda c, i: F.when(plain | c.rlike(r"[^\x00-\x7f]"), _pick(low, _byte(digest, i))).otherwise(same_class(c, i))), "")
+    hidden = F.concat(hidden, F.substring(digest, F.lit(150), F.lit(max(0, attempt - 3))))
+    kept = F.when(canon.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(text, 5, 16))).otherwise(hidden)
     octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(F.char_length(o) == 3, 100 + F.pmod(_byte(digest, i), F.lit(156))).when(F.char_length(o) == 2, 10 + F.pmod(_byte(digest, i), F.lit(90))).otherwise(F.pmod(_byte(digest, i), F.lit(10))).cast("string"))
     first_kept = F.concat(F.substring(canon, 1, 1), F.substring(text, 2, 1000))
     digits = F.transform(F.split(first_kept, ""), lambda c, i: c.cast("int"))
@@ -155,7 +170,8 @@ def render(raw: Column, kind: Column, index: Column, found: Column) -> Column:
     chars = F.split(raw, "")
     numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.between("0", "9"), F.substring(found, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x.between("0", "9"))), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substring(found, i + 1, F.lit(1)))).otherwise(F.substring(found, i + 1, F.lit(1)))), "")
-    secret = F.concat(F.regexp_extract(raw, r"^((?i:(?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*)?\"?)", 1), found, F.when(raw.endswith('"'), F.lit('"')).otherwise(F.lit("")))
+    lead, _, quote = secret_parts(raw)
+    secret = F.concat(lead, found, quote)
     token = F.element_at(F.split(F.regexp_replace(raw, rf"^(?:{_TITLES})\.? ", ""), " "), F.when(index == 0, F.lit(1)).otherwise(F.lit(-1)))
     name = F.when(token == F.upper(token), F.upper(found)).otherwise(F.initcap(found))
     return F.when(kind.isin(*DIGITS_ONLY), numbered).when(kind == "email", cased).when(kind == "secret", secret).when(kind == "ip", found).otherwise(name)

@@ -158,6 +158,23 @@ def test_pii_cards_beside_numbers(spark):
     assert by[2].text == f"2024 {plain}" and by[8].text == f"id 7 {plain}" and by[3].text.replace(" ", "") == f"2024{plain}" and by[4].text.replace(" ", "") == f"{plain}2027"
 
 
+def test_pii_long_short_and_punctuated_secrets(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcXYZ019_-.") for _ in range(3000))
+    mail = "".join(rng.choice("abc019") for _ in range(90))
+    values = {0: (f"token={long} end", long), 1: ("".join(rng.choice("0123456789abcdef") for _ in range(300)),) * 2, 2: ("password: hunter2", "hunter2"), 3: ("password=P@ssw0rd!x9 end", "P@ssw0rd!x9"),
+              4: ('{"password": "correct horse \\" battery", "n": 1}', 'correct horse \\" battery'), 5: ("secret='a b c' end", "a b c"), 6: (f"to {mail}@a.b.c.d.e.f.g.h.example.com end", mail + "@a.b.c.d.e.f.g.h.example"), 7: ("token=пароль! end", "пароль"),
+              8: ("api_key = abc==def= end", "abc==def="), 9: ("password: **** end", "****"), 10: ('token="x', "x")}
+    values |= {20 + k: (f"token: {k}", str(k)) for k in range(10)}
+    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame([(k, t) for k, (t, _) in values.items()], DOC)).collect()}
+    for k, (t, v) in values.items():
+        head, tail = t.split(v) if k not in (9, 10) else t.rsplit(v, 1)
+        assert by[k].n_entities == 1 and by[k].text.startswith(head) and by[k].text.endswith(tail), (t, by[k].text)
+        new = by[k].text[len(head) : len(by[k].text) - len(tail)]
+        assert new and new != v and not (len(v) > 3 and any(v[i : i + 9] in new for i in range(max(1, len(v) - 8)))), (t, by[k].text)
+    assert len({by[20 + k].text for k in range(10)}) == 10
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\n\nHow are you?"), (1, 1, "assistant", "> hello  there.\nFine, thanks\n> How are you?\nok"), (1, 2, "user", ">> How are you?\n> Fine, thanks\ngood"), (1, 3, "user", "> Hello there.\nlate"), (2, 0, "user", None), (3, 5, None, "> Fine, thanks\ncross"), (None, None, None, "> good\nlost")]
     got = sorted(tuple(r)[:10] for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id is not null").collect())
