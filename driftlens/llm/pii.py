@@ -21,8 +21,19 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora", "го
 NEUTRAL = ["Dr", "Prof"]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+# A word of a name, without a possessive 's; an initial; a name of any number of both.
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-](?!s\b)\p{L}[\p{L}\p{M}]*+)*+"
+_INITIAL = r"\p{Lu}(?:\.|(?![\p{L}\p{M}'’-]))"
+_PARTICLE = r"(?:(?:von|van|vom|zu|der|den|de|del|della|di|da|dos|du|la|le|al|bin|ibn)[ ])*+"
+_NAME = rf"(?:{_INITIAL}[ ]?(?=\p{{Lu}}))*+{_PARTICLE}{_WORD}(?:[ ]{_PARTICLE}(?:{_INITIAL}(?=[ ]?\p{{Lu}})|{_WORD})|(?<=\.){_WORD})*+"
+WORDS = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_WORD}"
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+# What else stands before a name, in the languages of the titles.
+_SAYS = ["my name is", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε"]
+_FIELDS = ["full name", "name", "nom", "nombre", "имя", "όνομα"]
+_CLOSINGS = ["regards", "sincerely", "yours truly", "cheers", "mit freundlichen grüßen", "viele grüße", "cordialement", "saludos", "atentamente", "с уважением", "με εκτίμηση"]
+_TITLE = rf"\b(?:{_TITLES})\.? "
+_LEAD = rf"(?:(?:\b(?iu:{'|'.join(_SAYS)})[ ]|\b(?iu:{'|'.join(_FIELDS)})[ ]?:[ ]*+|\b(?iu:{'|'.join(_CLOSINGS)})[ ]?[,.!]?[ ]*+\r?\n\s*+)(?:{_TITLE})*+|(?:{_TITLE})++)"
 # A secret runs to its closing quote in the line, else to white space or a double quote; it has no greatest length.
 _KEY = r"(?i:password|passwd|secret|token|api[_-]?key)\\?[\"']?\s*+[=:]\s*+"
 _VALUE = r"(?:\"(?!\")[^\n]*?(?<!\\)\"|'(?!')[^'\n]*+'|(?!'')\\?[\"']?[^\s\"]++)"
@@ -42,9 +53,11 @@ PATTERNS = {
     "phone": rf"\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:(?!{_NEXT})[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<!\d)\d{{3}}-\d{{3}}-\d{{4}}(?!\d)",
     "number": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "card": rf"(?<!\d)(?:{_YEAR_FIRST}{_FOURS}(?!\d){_STRAY}(?:[ -]\d{{1,3}}(?!\d))?|{_YEAR_FIRST}{_CARD}|(?<!\d[ -]){_YEAR_FIRST}\d(?:(?:[ -](?!{_CARD}))?\d){{12,18}}(?!\d))",
-    "person": rf"\b(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"{_LEAD}{_NAME}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Letters that initials are drawn from, by script.
+CAPITALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 DIGITS_ONLY = ("phone", "number", "card")
 
 # Syllables and gendered endings of invented names, by script.
@@ -61,8 +74,8 @@ def entities(text: Column) -> Column:
 
 
 def may_hold(text: Column) -> Column:
-    """A cheap test that every text with an entity passes: a digit, @, a key word, a title, or a long run of a-f."""
-    words = [F.lower(text).contains(w) for w in ("password", "passwd", "secret", "token", "api")] + [text.contains(t) for t in [*MALE, *FEMALE, *NEUTRAL, "AKIA"]]
+    """A cheap test that every text with an entity passes: a digit, @, a key word, a title or other word before a name, or a long run of a-f."""
+    words = [F.lower(text).contains(w) for w in ("password", "passwd", "secret", "token", "api", *_SAYS, *_FIELDS, *_CLOSINGS)] + [text.contains(t) for t in [*MALE, *FEMALE, *NEUTRAL, "AKIA"]]
     out = text.rlike("[0-9@]")
     for w in words:
         out = out | w
@@ -78,25 +91,35 @@ def type_of(raw: Column) -> Column:
 
 
 def gender_of(raw: Column) -> Column:
-    starts = lambda titles: raw.rlike(rf"^(?:{'|'.join(titles)})\.? ")
+    lead = F.regexp_extract(raw, rf"^({_LEAD})", 1)
+    starts = lambda titles: lead.rlike(rf"(?:^|\W)(?:{'|'.join(titles)})\.? ")
     return F.when(starts(FEMALE), "f").when(starts(MALE), "m").otherwise("x")
 
 
 def parts_of(raw: Column, kind: Column) -> Column:
-    """The (type, canonical form) pairs of an entity: one, or given name and surname of a person.
+    """The (type, canonical form) pairs of an entity: one, or each word of a person's name, the last the surname.
 
     Canonical forms ignore what does not tell entities apart: case in emails and names,
     separators in numbers. A secret is its value, without the word before it.
     """
     one = lambda k, c: F.struct(k.cast("string").alias("kind"), c.alias("canon"))
-    names = F.split(F.regexp_replace(raw, rf"^(?:{_TITLES})\.? ", ""), " ")
-    given = one(F.concat(F.lit("given_"), gender_of(raw)), F.lower(F.element_at(names, 1)))
-    surname = one(F.lit("surname"), F.lower(F.element_at(names, -1)))
+    names = words_of(F.regexp_replace(raw, rf"^{_LEAD}", ""))
+    given = F.zip_with(F.slice(names, F.lit(1), F.size(names) - 1), F.array_repeat(gender_of(raw), F.size(names) - 1), lambda w, g: one(F.when(is_initial(w), F.lit("initial")).otherwise(F.concat(F.lit("given_"), g)), F.lower(w)))
+    person = F.concat(given, F.array(one(F.lit("surname"), F.lower(F.element_at(names, -1)))))
     return (F.when(kind == "email", F.array(one(kind, F.lower(raw))))
             .when(kind == "secret", F.array(one(kind, secret_value(raw))))
             .when(kind.isin(*DIGITS_ONLY), F.array(one(F.concat(kind, F.when(raw.startswith("+"), F.lit("+")).otherwise(F.lit(""))), F.regexp_replace(raw, r"\D", ""))))
             .when(kind == "ip", F.array(one(kind, raw)))
-            .otherwise(F.when(F.size(names) > 1, F.array(given, surname)).otherwise(F.array(surname))))
+            .otherwise(person))
+
+
+def words_of(name: Column) -> Column:
+    """The words and initials of a name or text, in order; an initial is without its point."""
+    return F.regexp_extract_all(name, F.lit(WORDS), 0)
+
+
+def is_initial(word: Column) -> Column:
+    return F.char_length(word) == 1
 
 
 def secret_parts(raw: Column) -> tuple[Column, Column, Column]:
@@ -127,24 +150,27 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(doubled, F.lit(0), lambda a, b: a + b), F.lit(10))
 
 
-def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
-    """The canonical surrogate of a canonical entity; other attempts give others."""
-    digest = F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt)), F.lit(str(k))), 256) for k in range(3)])
+def digest_of(kind: Column, canon: Column, key: str, attempt: int) -> Column:
+    return F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt)), F.lit(str(k))), 256) for k in range(3)])
+
+
+def surrogate(kind: Column, canon: Column, digest: Column, attempt: int) -> Column:
+    """The canonical surrogate of a canonical entity; other attempts, with their digests, give others."""
     chars = F.split(canon, "")
     low, up, dec = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa = canon.rlike("^[0-9a-f]+$")
 
-    def same_class(c: Column, i: Column) -> Column:
+    def same_class(c: Column, i: Column, small: str) -> Column:
         b = _byte(digest, i)
-        return (F.when(c.between("0", "9"), _pick(dec, b)).when(c.between("a", "z"), F.when(hexa, _pick("abcdef", b)).otherwise(_pick(low, b)))
-                .when(c.between("A", "Z"), _pick(up, b)).otherwise(c))
+        return F.when(c.between("0", "9"), _pick(dec, b)).when(c.between("a", "z"), _pick(small, b)).when(c.between("A", "Z"), _pick(up, b)).otherwise(c)
 
-    mapped = F.transform(chars, same_class)
+    mapped = F.when(hexa, F.transform(chars, lambda c, i: same_class(c, i, "abcdef"))).otherwise(F.transform(chars, lambda c, i: same_class(c, i, low)))
     text = F.array_join(mapped, "")
     email = F.concat(F.substring(text, F.lit(1), F.char_length(canon) - F.char_length(F.substring_index(canon, ".", -1))), F.substring_index(canon, ".", -1))
     # Of a secret every letter and digit changes, or every character if it has none; later attempts are longer, as short ones are few.
     plain = ~canon.rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")
-    hidden = F.array_join(F.transform(chars, lambda c, i: F.when(plain | c.rlike(r"[^\x00-\x7f]"), _pick(low, _byte(digest, i))).otherwise(same_class(c, i))), "")
+    letter = lambda c, i: _pick(low, _byte(digest, i))
+    hidden = F.array_join(F.when(plain, F.transform(chars, letter)).otherwise(F.transform(mapped, lambda c, i: F.when(c > "\x7f", letter(c, i)).otherwise(c))), "")
     hidden = F.concat(hidden, F.substring(digest, F.lit(150), F.lit(max(0, attempt - 3))))
     kept = F.when(canon.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(text, 5, 16))).otherwise(hidden)
     octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(F.char_length(o) == 3, 100 + F.pmod(_byte(digest, i), F.lit(156))).when(F.char_length(o) == 2, 10 + F.pmod(_byte(digest, i), F.lit(90))).otherwise(F.pmod(_byte(digest, i), F.lit(10))).cast("string"))
@@ -165,16 +191,33 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
             .when(kind == "phone+", first_kept).when(kind.isin("phone", "number"), text).otherwise(person))
 
 
-def render(raw: Column, kind: Column, index: Column, found: Column) -> Column:
-    """The surrogate in the entity's own format: its separators, its case, its quotes."""
+def render(raw: Column, kind: Column, found: Column) -> Column:
+    """The surrogate in the entity's own format: its separators, its case, its quotes; of a person's name in lower case."""
     chars = F.split(raw, "")
     numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.between("0", "9"), F.substring(found, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x.between("0", "9"))), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substring(found, i + 1, F.lit(1)))).otherwise(F.substring(found, i + 1, F.lit(1)))), "")
     lead, _, quote = secret_parts(raw)
     secret = F.concat(lead, found, quote)
-    token = F.element_at(F.split(F.regexp_replace(raw, rf"^(?:{_TITLES})\.? ", ""), " "), F.when(index == 0, F.lit(1)).otherwise(F.lit(-1)))
-    name = F.when(token == F.upper(token), F.upper(found)).otherwise(F.initcap(found))
-    return F.when(kind.isin(*DIGITS_ONLY), numbered).when(kind == "email", cased).when(kind == "secret", secret).when(kind == "ip", found).otherwise(name)
+    return F.when(kind.isin(*DIGITS_ONLY), numbered).when(kind == "email", cased).when(kind == "secret", secret).otherwise(found)
+
+
+def initial(letter: Column, key: str) -> Column:
+    """Another letter of its script for an initial, the same everywhere; initials are too few to differ among themselves."""
+    out = F.lit(None).cast("string")
+    for letters in CAPITALS:
+        step = 1 + F.pmod(F.xxhash64(F.lit(key), letter), F.lit(len(letters) - 1))
+        out = F.coalesce(out, F.when(F.instr(F.lit(letters), letter) > 0, F.substring(F.lit(letters), F.pmod(F.instr(F.lit(letters), letter) - 1 + step, F.lit(len(letters))).cast("int") + 1, F.lit(1))))
+    return F.coalesce(out, _pick(CAPITALS[0], F.xxhash64(F.lit(key), letter).cast("int")))
+
+
+def renamed(text: Column, names: Column, key: str, initials: bool) -> Column:
+    """The text with its capitalised words that are in ``names`` (lower case to lower case) replaced in their own case, and initials if asked for."""
+    def shown(w: Column) -> Column:
+        fake = F.element_at(names, F.lower(w))
+        cased = F.when((w == F.upper(w)) & ~is_initial(w), F.upper(fake)).otherwise(F.initcap(fake))
+        return F.coalesce(cased, F.when(is_initial(w), initial(w, key)).otherwise(w) if initials else w)
+
+    return F.array_join(F.zip_with(F.split(text, WORDS, -1), words_of(text), lambda g, w: F.concat(g, F.coalesce(shown(w), F.lit("")))), "")
 
 
 def assign(found: DataFrame, key: str, space: Workspace, most: int = 40) -> DataFrame:
@@ -188,7 +231,7 @@ def assign(found: DataFrame, key: str, space: Workspace, most: int = 40) -> Data
     ents = space.keep(found.groupBy("kind", "canon").agg(F.count("*").alias("n")).select("kind", "canon"), "entities")
     pending, taken = ents, None
     for k in range(most):
-        drawn = pending.withColumn("fake", surrogate(F.col("kind"), F.col("canon"), key, k))
+        drawn = pending.withColumn("digest", digest_of(F.col("kind"), F.col("canon"), key, k)).withColumn("fake", surrogate(F.col("kind"), F.col("canon"), F.col("digest"), k))
         won = drawn.groupBy("kind", "fake").agg(F.min("canon").alias("canon")).select("kind", "canon", "fake")
         won = won.join(ents.withColumnRenamed("canon", "fake"), ["kind", "fake"], "left_anti")
         if taken is not None:
@@ -206,7 +249,9 @@ def pseudonymise(docs: DataFrame, key: str = "driftlens", id_col: str = "doc_id"
 
     A null text stays null, and an empty one empty, with 0 entities. Rows that repeat are
     replaced alike; a null id stays null. Other columns are not looked at. Texts without
-    entities are not dealt out; the others meet their surrogates by a digest of the row.
+    entities are not dealt out; the others meet their surrogates by a digest of the row. The
+    words of the names that a document's entities hold are replaced wherever they stand
+    capitalised in that document; such mentions are not counted in ``n_entities``.
     """
     space = Workspace(docs.sparkSession, "pii")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -215,20 +260,23 @@ def pseudonymise(docs: DataFrame, key: str = "driftlens", id_col: str = "doc_id"
     some = space.keep(docs.where(holds).select("id", "text", k1, k2, entities(F.col("text")).alias("raws")), "some")
     raw = F.col("raw")
     occurrences = (some.select("k1", "k2", F.explode(F.array_distinct("raws")).alias("raw")).withColumn("type", type_of(raw))
-                   .select("k1", "k2", "raw", "type", F.posexplode(parts_of(raw, F.col("type"))).alias("nth", "part")).select("k1", "k2", "raw", "type", "nth", "part.kind", "part.canon"))
+                   .select("k1", "k2", "raw", "type", F.explode(parts_of(raw, F.col("type"))).alias("part")).select("k1", "k2", "raw", "type", "part.kind", "part.canon").where("kind != 'initial'"))
     occurrences = space.keep(occurrences, "occurrences")
     fakes = assign(occurrences, key, space)
-    nth = F.when(F.col("kind") == "surname", F.lit(1)).otherwise(F.lit(0))
-    shown = (occurrences.join(fakes, ["kind", "canon"]).select("k1", "k2", F.concat(raw, F.lit("\x1f"), F.col("nth")).alias("at"), render(raw, F.col("type"), nth, F.col("fake")).alias("shown")))
-    by_row = shown.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("at", "shown"))).alias("shown"))
+    shown = occurrences.join(fakes, ["kind", "canon"]).select("k1", "k2", "type", "kind", F.when(F.col("type") == "person", F.col("canon")).otherwise(raw).alias("at"), render(raw, F.col("type"), F.col("fake")).alias("shown"))
+    # A word of a document is one name there: a surname if it is one anywhere, else a given name, of known gender if it has one.
+    rank = F.when(F.col("kind") == "surname", F.lit("")).otherwise(F.col("kind"))
+    shown = shown.groupBy("k1", "k2", (F.col("type") == "person").alias("name"), "at").agg(F.min_by("shown", rank).alias("shown"))
+    table = lambda which: F.map_from_entries(F.collect_list(F.when(which, F.struct("at", "shown"))))
+    by_row = shown.groupBy("k1", "k2").agg(table(~F.col("name")).alias("shown"), table(F.col("name")).alias("names"))
 
     def replaced(r: Column) -> Column:
-        first, second = (F.element_at("shown", F.concat(r, F.lit(f"\x1f{k}"))) for k in (0, 1))
-        title = F.regexp_extract(r, rf"^((?:{_TITLES})\.? ){_NAME}", 1)
-        return F.concat(title, F.coalesce(first, r), F.when(second.isNotNull(), F.concat(F.lit(" "), second)).otherwise(F.lit("")))
+        lead = F.regexp_extract(r, rf"^({_LEAD})", 1)
+        return F.coalesce(F.element_at("shown", r), F.concat(lead, renamed(F.substring(r, F.char_length(lead) + 1, F.char_length(r)), F.col("names"), key, True)))
 
     gaps = F.split("text", PATTERN, -1)
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size("raws"), replaced(F.get("raws", i))).otherwise(F.lit(""))))
+    gap = lambda g: F.when(F.size("names") > 0, renamed(g, F.col("names"), key, False)).otherwise(g)
+    pieces = F.transform(gaps, lambda g, i: F.concat(gap(g), F.when(i < F.size("raws"), replaced(F.get("raws", i))).otherwise(F.lit(""))))
     done = some.join(by_row, ["k1", "k2"]).select("id", F.array_join(pieces, "").alias("text"), F.size("raws").cast("long").alias("n_entities"))
     rest = docs.where(~holds).select("id", "text", F.lit(0).cast("long").alias("n_entities"))
     return done.unionByName(rest).withColumnRenamed("id", id_col)

@@ -175,6 +175,21 @@ def test_pii_long_short_and_punctuated_secrets(spark):
     assert len({by[20 + k].text for k in range(10)}) == 10
 
 
+def test_pii_names_and_later_mentions(spark):
+    texts = ["Mrs. Anna Schmidt came. Anna Schmidt left; SCHMIDT's car, Schmidt, Smith", "Mr. J. Smith", "Dr. Anna Maria Schmidt and Maria", "my name is Anna Schmidt. Anna!", "Name: Anna von Schmidt\nx@y.org", "Best regards,\nAnna Schmidt", "Prof. Dr. Anna Schmidt", "Anna Schmidt", "Herr J.R.R. Tolkien", "Меня зовут Анна Иванова", "Mr " + "Anna " * 5000]
+    by = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    for i in (0, 2, 3, 4, 5, 6, 10):
+        assert not re.search("anna|maria|schmidt", by[i], re.I), by[i]
+    first = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. (\w+) (\w+) left; (\w+)'s car, (\w+), Smith", by[0])
+    assert first and first[1] == first[3] and first[2] == first[4] == first[6] and first[5] == first[2].upper()
+    assert re.fullmatch(r"Mr\. [A-IK-Z]\. \w+", by[1]) and "Smith" not in by[1]
+    second = re.fullmatch(r"Dr\. (\w+) (\w+) (\w+) and (\w+)", by[2])
+    assert second and second[3] == first[2] and second[2] == second[4] != second[1]
+    assert re.fullmatch(r"my name is (\w+) (\w+)\. \1!", by[3]) and re.match(r"Name: \w+ von \w+\n", by[4]) and re.fullmatch(r"Best regards,\n\w+ \w+", by[5]) and re.fullmatch(r"Prof\. Dr\. \w+ \w+", by[6])
+    assert by[7] == texts[7]  # nothing says that this is a name
+    assert "J.R.R." not in by[8] and "Tolkien" not in by[8] and "Анна" not in by[9] and "Иванова" not in by[9]
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there.\n\nHow are you?"), (1, 1, "assistant", "> hello  there.\nFine, thanks\n> How are you?\nok"), (1, 2, "user", ">> How are you?\n> Fine, thanks\ngood"), (1, 3, "user", "> Hello there.\nlate"), (2, 0, "user", None), (3, 5, None, "> Fine, thanks\ncross"), (None, None, None, "> good\nlost")]
     got = sorted(tuple(r)[:10] for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id is not null").collect())
