@@ -68,18 +68,22 @@ def link_quotes(messages: DataFrame, space: Workspace | None = None) -> DataFram
 
     The original is the earliest message of the same conversation, before the quoting one, that
     says the passage; else the earliest of all conversations other than the own one. Originals
-    are summed to one a hash before the join, so a passage that a third of all messages say
-    makes one row a quotation.
+    are cut to those of the two least conversations a hash before the join (one may be the own),
+    so a passage that a third of all messages say makes one row a quotation. Messages without
+    a conversation or turn are no originals.
     """
     space = space or Workspace(messages.sparkSession, "quotes")
-    said = says(own_texts(messages))
+    said = says(own_texts(messages.where("conv_id is not null and turn is not null")))
     quoted = passages(messages).where(F.col("level") > 0).select(*MESSAGE, "run", "level", normalised(F.col("passage")).alias("passage")).where(F.col("passage") != "")
     quoted = space.keep(quoted.select(*MESSAGE, "run", "level", *hashed(F.col("passage"))), "quoted")
     wanted = quoted.select("h1", "h2").distinct()
     said = space.keep(said.join(wanted, ["h1", "h2"], "left_semi"), "said")
     here = said.groupBy("conv_id", "h1", "h2").agg(F.min(F.struct("turn", "msg")).alias("here"))
-    there = said.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn", "msg")).alias("there"))
+    least = here.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("conv_id"))).where("nth <= 2")
+    one = F.struct("conv_id", "here.turn", "here.msg")
+    there = least.groupBy("h1", "h2").agg(F.min(one).alias("first"), F.max(one).alias("second"))
     both = quoted.join(here, ["conv_id", "h1", "h2"], "left").join(there, ["h1", "h2"], "left")
+    both = both.withColumn("there", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second")))
     own = F.col("here.turn") < F.col("turn")
     away = F.col("there.conv_id") != F.col("conv_id")
     choice = F.when(own, F.struct(F.col("conv_id").alias("c"), F.col("here.turn").alias("t"), F.col("here.msg").alias("m"))).when(away, F.struct(F.col("there.conv_id").alias("c"), F.col("there.turn").alias("t"), F.col("there.msg").alias("m")))

@@ -196,6 +196,13 @@ def test_quotes(spark):
     assert [(r[0], r[1], r[2], r[4], r[7], r[8], r[9]) for r in got] == [(1, 0, 0, "Hello there.\n\nHow are you?", None, 0, 0), (1, 1, 1, "Fine, thanks\nok", 0, 0, 1), (1, 2, 2, "good", 1, 0, 2), (1, 3, 3, "late", 0, 0, 1), (2, 0, 0, "", None, 0, 0), (3, 0, 5, "cross", None, 5, 0)]
 
 
+def test_quotes_pass_over_originals_that_cannot_be(spark):
+    rows = [(1, 0, "user", "> said later\nfirst"), (1, 1, "user", "said later"), (2, 3, "user", "said later"), (3, 0, "user", "said later"), (4, 5, "user", "> said later\nthanks"),
+            (None, 0, "user", "said later"), (1, None, "user", "said later"), (5, 0, "user", "own words"), (5, None, "user", "own words"), (5, 1, "user", "> own words\nyes"), (None, 1, "user", "> own words\nno")]
+    got = quotes.link_quotes(quotes.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), quotes.Workspace(spark, "quotes"))).collect()
+    assert sorted((r.conv_id, r.turn, r.from_conv, r.from_turn) for r in got) == [(1, 0, 2, 3), (4, 5, 1, 1), (5, 1, 5, 0)]
+
+
 def test_decontamination_recall(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
