@@ -75,11 +75,8 @@ def entities(text: Column) -> Column:
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes: a digit, @, a key word, a title or other word before a name, or a long run of a-f."""
-    words = [F.lower(text).contains(w) for w in ("password", "passwd", "secret", "token", "api", *_SAYS, *_FIELDS, *_CLOSINGS)] + [text.contains(t) for t in [*MALE, *FEMALE, *NEUTRAL, "AKIA"]]
-    out = text.rlike("[0-9@]")
-    for w in words:
-        out = out | w
-    return out | text.rlike("[a-f]{32}")
+    words = "|".join(["password", "passwd", "secret", "token", "api", *_SAYS, *_FIELDS, *_CLOSINGS])
+    return text.rlike("[0-9@]") | F.lower(text).rlike(words) | text.rlike(f"{_TITLES}|AKIA|[a-f]{{32}}")
 
 
 def type_of(raw: Column) -> Column:
