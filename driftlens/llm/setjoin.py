@@ -7,9 +7,10 @@ signatures by themselves. Frequent ones are dealt into classes by hash and are i
 pairs within a class; each class costs the prefix one more shingle, as one left over makes no
 pair. Two sets that link share a signature, whichever classes their common shingles are in.
 
-Candidates of a signature are compared with one of them after another, and only while the
-signature still holds more than one component: a group of copies makes one pair a member.
-Members too far from the one compared go on under signatures made of shingles outside it.
+Candidates of a signature are compared with one of them, then with a few, then with more, and
+only while the signature still holds more than one component: a group of copies makes one pair
+a member. Members too far from the one compared go on under a combination of more shingles:
+what they share with it, and one shingle outside it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,12 @@ PERCENT = 75
 FREQUENT = 8
 #: ... unless more than so many are: then the bound doubles until the list, which is broadcast, fits.
 MOST_FREQUENT = 1 << 18
-#: Rounds of comparing with one member before the pairs of different components that are left.
+#: Rounds of comparing with one member of each signature; after them the number of members
+#: that the others are compared with grows by LEADS_GROW from round to round.
 STAR_ROUNDS = 3
+LEADS_GROW = 4
+#: Signatures of a document that tell whether it meets another under an earlier one, at most.
+LOW = 32
 #: Signatures of at most so many members go on as they are, without signatures outside the lead.
 SMALL = 16
 ANY_SIZE = (1 << 31) - 1
@@ -45,11 +51,11 @@ def misses(n: np.ndarray | int) -> np.ndarray | int:
     return n // 4
 
 
-def node_ids(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set's content; equal sets are one node."""
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(values), dtype=U64)))
+def node_ids(values: np.ndarray, offs: np.ndarray, draw: int = 0) -> np.ndarray:
+    """64 bits of each set's content; two draws make the id under which equal sets are one node."""
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(values + U64(draw * 0xA24BAED4963EE407 & (1 << 64) - 1)), dtype=U64)))
     size = np.diff(offs).astype(U64)
-    return mix((total[offs[1:]] - total[offs[:-1]]) ^ mix(size)).view(np.int64)
+    return mix((total[offs[1:]] - total[offs[:-1]]) ^ mix(size + U64(draw))).view(np.int64)
 
 
 def band(n: int) -> int:
@@ -97,10 +103,11 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's node and set size."""
+    """Each document's node (128 bits) and set size."""
     for batch in batches:
         for a, b, values, at in _sets(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node_ids(values, at)), pa.array(np.diff(at).astype(np.int64))], names=["id", "node", "n"])
+            arrays = [batch.column(0).slice(a, b - a), *(pa.array(node_ids(values, at, d)) for d in (0, 1)), pa.array(np.diff(at).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "node", "node2", "n"])
 
 
 def _first_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +144,14 @@ def frequent_shingles(texts: DataFrame, space: Workspace) -> np.ndarray:
 
 
 def signature_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, n) of every document's set."""
+    """(sig, id, node, n) of every document's set."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for _, _, values, at in _sets(batch):
+            for a, b, values, at in _sets(batch):
                 if not len(values):
                     continue
                 if len(known):
@@ -151,24 +159,26 @@ def signature_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                     often = known[k] == values
                 else:
                     often = np.zeros(len(values), bool)
-                n, node = np.diff(at), node_ids(values, at)
-                _, once = np.unique(node, return_index=True)
+                ids, n, node = batch.column(0).slice(a, b - a), np.diff(at), node_ids(values, at)
+                order = pc.sort_indices(pa.table({"node": node, "id": ids}), [("node", "ascending"), ("id", "ascending")]).to_numpy()
+                once = order[np.concatenate(([True], np.diff(node[order]) != 0))]  # of equal sets, the smallest id stands for all
                 once = once[n[once] > 1]  # a set of one shingle links with its equals only
                 sigs = [signatures(values[at[i] : at[i + 1]], often[at[i] : at[i + 1]]) for i in once]
                 size = np.array([len(s) for s in sigs], np.int64)
                 if size.sum():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(node[once], size)), pa.array(np.repeat(n[once], size).astype(np.int32))], names=["sig", "node", "n"])
+                    arrays = [pa.array(np.concatenate(sigs).view(np.int64)), ids.take(pa.array(np.repeat(once, size))), pa.array(np.repeat(node[once], size)), pa.array(np.repeat(n[once], size).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["sig", "id", "node", "n"])
 
-    return texts.mapInArrow(run, "sig bigint, node bigint, n int")
+    return texts.mapInArrow(run, f"sig bigint, id {id_type}, node bigint, n int")
 
 
 def members(texts: DataFrame, frequent: np.ndarray, firsts: DataFrame, space: Workspace) -> DataFrame:
-    """(sig, doc, n, held) of the signatures that more than one node has, ``held`` by so many documents; a node's smallest id stands for it."""
+    """(sig, doc, n, held) of the signatures that more than one node has, ``held`` by so many rows; a node's smallest id stands for it."""
     shared = signature_rows(texts, frequent).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("held")).where(F.col("lo") != F.col("hi")).select("sig", "held")
     shared = space.keep(shared, "shared")
-    rows = space.keep(signature_rows(texts, frequent).join(shared, "sig").distinct(), "by-node")
-    out = space.keep(rows.join(firsts, "node").select("sig", F.col("id").alias("doc"), "n", "held"), "members")
-    for label in ("shared", "by-node", "frequent"):
+    rows = space.keep(signature_rows(texts, frequent).select("sig", F.col("id").alias("doc"), "n").join(shared, "sig"), "by-sig")
+    out = space.keep(rows.join(firsts.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi"), "members")
+    for label in ("shared", "by-sig", "frequent"):
         space.drop(label)
     return out
 
@@ -211,81 +221,120 @@ def compared(pairs: DataFrame, sets: DataFrame, space: Workspace, label: str) ->
     out = pairs.join(right, "y").join(left, "x").withColumn("both", F.size(F.array_intersect("tx", "ty")))
     linked = 100 * F.col("both") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("both"))
     most = F.expr(f"{100 + PERCENT} * both div {PERCENT}").cast("int") - F.col("ny")
-    out = space.keep(out.select("x", "y", "big", "score", "ny", linked.alias("linked"), most.alias("most"), F.when(F.col("big"), F.array_except("ty", "tx")).alias("outside")).where("linked OR big"), label)
+    out = space.keep(out.select("x", "y", "big", "score", "before", "ny", linked.alias("linked"), most.alias("most"), F.when(F.col("big"), F.array_except("ty", "tx")).alias("outside")).where("linked OR big"), label)
     space.drop(f"{label}-heads")
     return out
 
 
 def _other_signatures(found: DataFrame) -> DataFrame:
-    """Signatures (x, shingle outside x) of all that were compared with an x that not all link with; ``found`` has y's root."""
+    """Signatures (x, shingle outside x) of all that were compared with an x that not all link with; ``found`` has y's root.
+
+    A pair that goes on under them was to be found under the old signature, so the old bounds hold.
+    """
     heads = found.where("big AND NOT linked").select("x").distinct()
     rows = found.where("big").join(heads, "x", "left_semi")
-    rows = rows.select("x", F.explode("outside").alias("token"), F.col("y").alias("doc"), F.col("ny").alias("n"), "score", "root")
-    return rows.select(F.xxhash64("x", "token").alias("sig"), "doc", "n", "score", F.lit(ANY_SIZE).alias("most"), "root")
+    rows = rows.select("x", F.explode("outside").alias("token"), F.col("y").alias("doc"), F.col("ny").alias("n"), "score", "before", "root")
+    return rows.select(F.xxhash64("x", "token").alias("sig"), "doc", "n", "score", F.col("before").alias("most"), "root")
 
 
 def live_signatures(rows: DataFrame, draw: int) -> DataFrame:
-    """(sig, lead, lead_n, lead_root, big, least) of the signatures that more than one component has.
+    """(sig, lead, lead_n, lead_root, lead_most, big, least, size) of the signatures that more than one component has.
 
     Copies share many signatures that nobody else has: of signatures with the same members
-    under the same bounds one is kept. Members are told apart by their number and by two sums
-    of 31 bits of a hash, besides the ends of their roots and the lead.
+    under the same bounds one is kept. Members are told apart by 128 bits of exclusive-ors and
+    62 bits of sums of their hashes, besides their number, the ends of their roots and the lead.
     """
-    h = F.xxhash64("doc", "most")
-    lead = F.max(F.struct("score", F.xxhash64(F.lit(draw), "doc").alias("draw"), "doc", "n", "root")).alias("lead")
-    sums = [F.count("*").alias("size"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(h, 33)).alias("s2")]
-    live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead, F.min("n").alias("least"), *sums).where(F.col("lo") != F.col("hi"))
-    live = live.select("sig", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root"), (F.col("size") > SMALL).alias("big"), "least", "lo", "hi", "size", "s1", "s2")
-    same = ["lead", "lead_n", "lead_root", "big", "least", "lo", "hi", "size", "s1", "s2"]
-    return live.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", *same[:5])
+    h, g = F.xxhash64("doc", "most"), F.xxhash64(F.lit("second"), "most", "doc")
+    lead = F.max(F.struct("score", F.xxhash64(F.lit(draw), "doc").alias("draw"), "doc", "n", "root", "most")).alias("lead")
+    marks = [F.count("*").alias("size"), F.bit_xor(h).alias("x1"), F.bit_xor(g).alias("x2"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(h, 33)).alias("s2")]
+    live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead, F.min("n").alias("least"), *marks).where(F.col("lo") != F.col("hi"))
+    live = live.select("sig", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root"), F.col("lead.most").alias("lead_most"), (F.col("size") > SMALL).alias("big"), "least", "size", "lo", "hi", "x1", "x2", "s1", "s2")
+    same = live.columns[1:]
+    return live.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", *same[:7])
+
+
+def may_link(n: Column, most: Column, root: Column, other_n: Column, other_most: Column, other_root: Column) -> Column:
+    """Of two members of a signature: not of one component, and neither too large for the other."""
+    return (root != other_root) & (n <= other_most) & (other_n <= most) & size_fits(n, other_n)
+
+
+def with_first_signatures(rows: DataFrame) -> DataFrame:
+    """Add ``low``: the LOW smallest of the document's signatures under which its bound is the largest.
+
+    A pair that may link under one signature may link under each that both lists have, so it
+    needs to be compared under the smallest of those only.
+    """
+    own = F.array_sort(F.collect_list(F.struct((-F.col("most").cast("long")).alias("bound"), "sig")))
+    low = rows.groupBy("doc").agg(F.slice(own, 1, LOW).alias("own"))
+    low = low.select("doc", F.transform(F.filter("own", lambda x: x["bound"] == F.col("own")[0]["bound"]), lambda x: x["sig"]).alias("low"))
+    return rows.join(low, "doc")
+
+
+def more_leads(rows: DataFrame, many: int) -> DataFrame:
+    """(sig, x, nx, rx, mx, lx): of each signature about ``many`` of the members outside the lead's component, drawn by hash; all if there are no more."""
+    others = rows.where(F.col("root") != F.col("lead_root"))
+    count = others.groupBy("sig").agg(F.count("*").alias("others"))
+    drawn = others.join(count, "sig").where(F.pmod(F.xxhash64(F.lit(many), "sig", "doc"), F.col("others")) < many)
+    drawn = with_first_signatures(drawn.select("sig", "doc", "n", "root", "most"))
+    return drawn.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("most").alias("mx"), F.col("low").alias("lx"))
 
 
 def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     """(a, b) edges that connect exactly the documents that links connect.
 
-    In each round every signature's members are compared with one of them, its lead: the one
-    whose signatures most documents hold, in a group of edited copies the original or near it. Members of
-    one component need no more comparison. In signatures of more than SMALL members, what a
-    member y shares with the lead suffices for links with sets of up to some size, ``most``. Any
-    larger member that y links with shares a shingle outside the lead with it: all members get
-    signatures of the lead and one shingle outside it, and y is compared under the old one with
-    members up to that size only, or leaves it if there can be none. Copies that differ too
-    much to link have most such shingles for themselves, and are not compared with each other.
-    What is left after the rounds are the pairs of different components under one signature;
-    those are all compared.
+    In each of the first rounds every signature's members are compared with one of them, its
+    lead: the one whose signatures most documents hold, in a group of edited copies the original
+    or near it. Members of one component need no more comparison. In signatures of more than
+    SMALL members, what a member y shares with the lead suffices for links with sets of up to
+    some size, ``most``. Any larger member that y links with shares a shingle outside the lead
+    with it: all members get signatures of the lead and one shingle outside it, and y is compared
+    under the old one with members up to that size only, or leaves it if there can be none.
+    Copies that differ too much to link have most such shingles for themselves, and are not
+    compared with each other.
+
+    In later rounds several members outside the lead's component are leads. They are compared
+    with those that they can link with by size, bounds and component only, and then leave. A
+    signature ends when all are of one component; more leads from round to round keep the
+    number of rounds to the logarithm of its members.
     """
-    tree, done = None, None
+    tree, done, k, many = None, None, 0, 1
     score = space.keep(rows.groupBy("doc").agg(F.sum("held").alias("score")), "score")
     rows = rows.join(score, "doc").select("sig", "doc", "n", "score", F.lit(ANY_SIZE).alias("most"), F.col("doc").alias("root"))
-    for k in range(STAR_ROUNDS + 1):
-        rows = space.keep(rows.join(live_signatures(rows, k), "sig"), f"live{k}")
-        if k < STAR_ROUNDS:
-            found = rows.where((F.col("lead") != F.col("doc")) & (F.col("big") | (F.col("root") != F.col("lead_root")) & size_fits(F.col("n"), F.col("lead_n"))))
-            found = found.select(F.col("lead").alias("x"), F.col("doc").alias("y"), "big", "score")
+    edges = None
+    while True:
+        rows = space.keep(rows.join(live_signatures(rows, k), "sig").where(F.col("most") >= F.greatest("least", F.ceil(PERCENT * F.col("n") / 100))), f"live{k}")
+        if k and rows.isEmpty():
+            return edges
+        own = may_link(*(F.col(c) for c in ("n", "most", "root", "lead_n", "lead_most", "lead_root")))
+        if many == 1:
+            pairs = rows.where((F.col("lead") != F.col("doc")) & (F.col("big") | own)).select(F.col("lead").alias("x"), F.col("doc").alias("y"), "big", "score", F.when(F.col("big"), F.col("most")).alias("before"))
         else:
-            one = rows.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("most").alias("mx"))
-            two = rows.select(F.col("sig").alias("sig2"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("most").alias("my"), "score")
-            found = one.join(two, (F.col("sig") == F.col("sig2")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (F.col("nx") <= F.col("my")) & (F.col("ny") <= F.col("mx")) & size_fits(F.col("nx"), F.col("ny"))).select("x", "y", F.lit(False).alias("big"), "score")
-        pairs = found.groupBy("x", "y").agg(F.max("big").alias("big"), F.max("score").alias("score")).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
+            leads = space.keep(more_leads(rows, many), f"leads{k}")
+            first = F.coalesce(F.array_min(F.array_intersect("low", "lx")) >= F.col("sig"), F.lit(True))
+            both = with_first_signatures(rows).join(leads, "sig").where((F.col("x") != F.col("doc")) & may_link(*(F.col(c) for c in ("n", "most", "root", "nx", "mx", "rx"))) & first)
+            pairs = both.select(F.least("x", "doc").alias("x"), F.greatest("x", "doc").alias("y"), F.lit(False).alias("big"), "score", F.lit(None).cast("int").alias("before"))
+        pairs = pairs.groupBy("x", "y").agg(F.max("big").alias("big"), F.max("score").alias("score"), F.max("before").alias("before")).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
         if done is not None:
             pairs = pairs.join(done.withColumn("known", F.lit(True)), ["a", "b"], "left").where("big OR known IS NULL").drop("known")
         pairs = space.keep(pairs, f"pairs{k}")
-        found = compared(pairs.select("x", "y", "big", "score"), sets, space, f"compared{k}")
+        found = compared(pairs.select("x", "y", "big", "score", "before"), sets, space, f"compared{k}")
         new = found.where("linked").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = new if tree is None else new.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        if k == STAR_ROUNDS:
-            break
         seen = pairs.select("a", "b").distinct()
         done = seen if done is None else done.unionByName(seen).distinct()
         tree = components(edges, space, f"round{k}")
         root = tree.select(F.col("node").alias("doc"), F.col("root").alias("found"))
-        bound = found.where("big").select(F.col("x").alias("lead"), F.col("y").alias("doc"), "big", F.col("most").alias("bound"))
-        kept = rows.where(F.col("doc") != F.col("lead")).join(bound, ["lead", "doc", "big"], "left").withColumn("most", F.least("most", "bound"))
-        kept = kept.where(F.col("most") >= F.greatest("least", F.ceil(PERCENT * F.col("n") / 100))).select("sig", "doc", "n", "score", "most")
+        if many == 1:
+            bound = found.where("big").select(F.col("x").alias("lead"), F.col("y").alias("doc"), "big", F.col("most").alias("bound"))
+            kept = rows.where(F.col("doc") != F.col("lead")).join(bound, ["lead", "doc", "big"], "left").withColumn("most", F.least("most", "bound"))
+        else:
+            kept = rows.join(leads.select("sig", F.col("x").alias("doc")), ["sig", "doc"], "left_anti")
         kept = kept.join(root, "doc", "left").select("sig", "doc", "n", "score", "most", F.coalesce("found", "doc").alias("root"))
-        with_root = found.where("big").join(root.select(F.col("doc").alias("y"), "found"), "y", "left").withColumn("root", F.coalesce("found", "y"))
-        rows = kept.unionByName(_other_signatures(with_root))
-    return edges
+        if many == 1:
+            with_root = found.where("big").join(root.select(F.col("doc").alias("y"), "found"), "y", "left").withColumn("root", F.coalesce("found", "y"))
+            kept = kept.unionByName(_other_signatures(with_root))
+        rows, k = kept, k + 1
+        many = many * LEADS_GROW if k >= STAR_ROUNDS else 1
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,15 +347,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     space = Workspace(docs.sparkSession, "setjoin")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    nodes = space.keep(docs.mapInArrow(_nodes, "id " + docs.schema["id"].dataType.simpleString() + ", node bigint, n bigint"), "nodes")
+    nodes = space.keep(docs.mapInArrow(_nodes, "id " + docs.schema["id"].dataType.simpleString() + ", node bigint, node2 bigint, n bigint"), "nodes")
     texts = docs.where(F.col("id").isNotNull())
-    firsts = space.keep(nodes.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id")), "firsts")
+    firsts = space.keep(nodes.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("node", "node2").agg(F.min("id").alias("id")), "firsts")
     rows = members(texts, frequent_shingles(texts, space), firsts, space)
     sets = wanted_sets(texts, rows.select(F.col("doc").alias("id")).distinct(), space)
-    edges = links(rows, docs.sparkSession.table(sets), space)
-    docs.sparkSession.sql(f"DROP TABLE {sets}")
-    space.drop("sets")
+    try:
+        edges = links(rows, docs.sparkSession.table(sets), space)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {sets}")
+        space.drop("sets")
     root = components(edges, space, "all").select(F.col("node").alias("first"), "root")
-    classes = firsts.select("node", F.col("id").alias("first")).join(root, "first", "left").select("node", F.coalesce("root", "first").alias("component"))
-    own = F.when(F.col("n") > 0, F.col("node"))
-    return nodes.withColumn("node", own).join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+    classes = firsts.select("node", "node2", F.col("id").alias("first")).join(root, "first", "left").select("node", "node2", F.coalesce("root", "first").alias("component"))
+    own = nodes.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
+    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component"))
+    return own.join(classes, ["node", "node2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
