@@ -23,6 +23,8 @@ from driftlens.llm.textkernel import LOWER, U64, counts_of, prefix_sums, span_ha
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 BLOCK = 32
+#: Bytes of text whose words are labelled together (a longer text is a step of its own).
+STEP = 256 << 10
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
 
@@ -117,8 +119,8 @@ def marginals(e: np.ndarray, transition: np.ndarray, row: np.ndarray, n: int) ->
     words, labels = e.shape
     if not words:
         return e
-    t = np.exp(transition - transition.max())
-    p = np.exp(e - e.max(axis=1, keepdims=True)) + 1e-12
+    t = np.exp(transition - transition.max()).astype(np.float32)
+    p = (np.exp(e - e.max(axis=1, keepdims=True)) + 1e-12).astype(np.float32)
     count, at = counts_of(row, n)
     blocks = -(-count // BLOCK)
     first = np.concatenate(([0], np.cumsum(blocks)))
@@ -128,12 +130,12 @@ def marginals(e: np.ndarray, transition: np.ndarray, row: np.ndarray, n: int) ->
     live = index < at[owner + 1][:, None]
     index = np.minimum(index, words - 1)
     q = p[index]
-    product = np.broadcast_to(np.eye(labels), (len(owner), labels, labels)).copy()
+    product = np.broadcast_to(np.eye(labels, dtype=np.float32), (len(owner), labels, labels)).copy()
     for k in range(BLOCK):
         nxt = (product @ t) * q[:, k, None, :]
         nxt /= nxt.sum(axis=(1, 2), keepdims=True)
         product = np.where(live[:, k, None, None], nxt, product)
-    into, out = np.full((len(owner), labels), 1.0 / labels), np.ones((len(owner), labels))
+    into, out = np.full((len(owner), labels), 1.0 / labels, np.float32), np.ones((len(owner), labels), np.float32)
     order = np.argsort(-blocks, kind="stable")
     longest = int(blocks.max())
     sizes = np.searchsorted(-blocks[order], -np.arange(1, longest + 1), "right")
@@ -144,7 +146,7 @@ def marginals(e: np.ndarray, transition: np.ndarray, row: np.ndarray, n: int) ->
         b = first[order[: sizes[j]] + 1] - 1 - j
         v = np.einsum("bij,bj->bi", product[b + 1], out[b + 1])
         out[b] = v / v.sum(axis=1, keepdims=True)
-    alpha = np.empty((len(owner), BLOCK, labels))
+    alpha = np.empty((len(owner), BLOCK, labels), np.float32)
     v = into
     for k in range(BLOCK):
         nxt = (v @ t) * q[:, k]
@@ -280,7 +282,7 @@ def word_marginals(model: LanguageModel, buf: np.ndarray, offs: np.ndarray) -> t
 
 def _predicted(m: LanguageModel, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, languages, scores) of parts of a column of texts."""
-    for a, b, buf, offs in steps(pa.RecordBatch.from_arrays([text], names=["text"])):
+    for a, b, buf, offs in steps(pa.RecordBatch.from_arrays([text], names=["text"]), step_bytes=STEP):
         n = b - a
         letters = pc.fill_null(pc.match_substring_regex(text.slice(a, n).cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
         lang, score = np.full(n, "und", object), np.zeros(n)
@@ -319,9 +321,8 @@ def accepted(docs: DataFrame, model: LanguageModel, min_score: float, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(lang != "und") & (score >= min_score) for _, _, lang, score in _predicted(shared.value, batch.column(at))]
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep).astype(bool)))
+            for a, b, lang, score in _predicted(shared.value, batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(((lang != "und") & (score >= min_score)).astype(bool)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -334,7 +335,7 @@ def label_words(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b, buf, offs in steps(batch.select(["text"])):
+            for a, b, buf, offs in steps(batch.select(["text"]), step_bytes=STEP):
                 _, _, row, gamma = word_marginals(m, buf, offs)
                 if not len(row) or not m.labels:
                     continue
