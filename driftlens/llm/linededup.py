@@ -4,7 +4,8 @@ The store is a log-structured set of runs. A run is a Parquet table of distinct
 bucketed and sorted by hash, so a batch is merge-joined with it without dealing the run out
 again. A batch looks its lines up in the runs (those that no run has are its anti-join), drops what an earlier batch
 or a smaller document of its own batch holds, and adds its new hashes as a run of level 0.
-When a level has ``fan_out`` runs they are compacted into one run of the next level.
+When a level has ``fan_out`` runs they are compacted into one run of the next level: runs have no
+hash in common, so their sorted buckets are merged file by file and nothing is dealt out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from driftlens.llm.workspace import Workspace, shuffle_cleanup
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HASHES = ["h1", "h2"]
+#: Text of one batch, at most, and text whose line hashes make one bucket of a run.
+BATCH_BYTES = 1 << 40
+BUCKET_BYTES = 4 << 30
 
 
 def lines_of(text: Column) -> Column:
@@ -50,8 +54,7 @@ class LineRuns:
     def _write(self, hashes: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
         with shuffle_cleanup(self.spark):
-            (hashes.select(*HASHES).repartition(self.buckets, *HASHES).write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES)
-             .option("path", f"{self.space.path}/{name}").saveAsTable(name))
+            hashes.write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", f"{self.space.path}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -70,7 +73,7 @@ class LineRuns:
 
     def add(self, hashes: DataFrame) -> None:
         """Add a batch's new hashes as a run; compact full levels."""
-        self._write(hashes, 0)
+        self._write(hashes.select(*HASHES).repartition(self.buckets, *HASHES), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fan_out:
             full, self.levels[level] = self.levels[level], []
@@ -91,36 +94,47 @@ class LineRuns:
         self.levels = []
 
 
+def batch_bounds(docs: DataFrame, batches: int, id_col: str, text_col: str) -> tuple[list, int]:
+    """First ids of the batches after the first one, at even shares of the documents, and the bytes of all texts.
+
+    At least ``batches``, and more where a batch would have over BATCH_BYTES. Bounds need not be
+    exact: any bounds keep smaller ids in earlier batches.
+    """
+    total = int(docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
+    n = max(batches, -(-total // BATCH_BYTES))
+    bounds = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)])).first()[0] if n > 1 else None
+    return sorted(set(bounds or [])), total
+
+
 def duplicate_lines(docs: DataFrame, space: Workspace, min_chars: int = 10, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h1, h2) of each document's lines that a smaller document holds.
+    """(id, text_hash, pos) of each document's lines that a smaller document holds; pos counts from 0.
 
-    Documents go through the store in ``batches`` batches of ascending ids. The bounds are
-    even steps between the smallest and the largest id, as ids are dense; uneven batches
-    change the speed only.
+    Documents go through the store in batches of ascending ids, which are numbers of any size.
     """
     spark = docs.sparkSession
-    lo, hi = docs.agg(F.min(id_col), F.max(id_col)).first()
+    bounds, total = batch_bounds(docs, batches, id_col, text_col)
     key = F.col("key")
-    rows = (docs.select(F.col(id_col).alias("id"), F.explode(lines_of(F.col(text_col))).alias("line"))
-            .select("id", line_key(F.col("line")).alias("key")).where(F.char_length(key) >= min_chars))
-    step = ((hi - lo) // batches + 1) if lo is not None else 1
-    part = F.floor((F.col("id") - F.lit(lo if lo is not None else 0)) / F.lit(step)).cast("int").alias("batch")
-    staged = space.keep(rows.select("id", *key_hashes(key), part), "lines", partition_by="batch")
-    store = LineRuns(spark, space)
-    dropped = None
-    for k in range(batches if lo is not None else 0):
-        batch = staged.where(F.col("batch") == k).select("id", *HASHES)
-        firsts = store.mark_known(batch.groupBy(*HASHES).agg(F.min("id").alias("first"), F.max("id").alias("last")))
-        firsts = space.keep(firsts, f"firsts{k}")
-        shared = firsts.where(F.col("known") | (F.col("first") != F.col("last"))).select(*HASHES, F.when(~F.col("known"), F.col("first")).alias("holder"))
-        hits = batch.join(shared, HASHES).where(F.col("holder").isNull() | (F.col("id") != F.col("holder"))).select("id", *HASHES)
-        hits = space.keep(hits, f"dropped{k}")
-        dropped = hits if dropped is None else dropped.unionByName(hits)
-        if k < batches - 1:
-            store.add(firsts.where(~F.col("known")))
-    store.close()
-    if dropped is None:
-        dropped = staged.select("id", *HASHES)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), lines_of(F.col(text_col)).alias("lines"))  # the text itself goes along with no line
+    rows = (rows.select("id", "text_hash", F.posexplode("lines").alias("pos", "line"))
+            .select("id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length(key) >= min_chars))
+    part = F.when(F.col("id").isNotNull(), sum([F.when(F.col("id") >= F.lit(x), 1).otherwise(0) for x in bounds], F.lit(0))).alias("batch")
+    staged = space.keep(rows.select("id", "text_hash", "pos", *key_hashes(key), part), "lines", partition_by="batch")
+    store = LineRuns(spark, space, buckets=max(16, -(-total // BUCKET_BYTES)))
+    dropped = staged.select("id", "text_hash", "pos").limit(0)
+    try:
+        for k in range(len(bounds) + 1):
+            batch = staged.where(F.col("batch") == k).select("id", "text_hash", "pos", *HASHES)
+            firsts = store.mark_known(batch.groupBy(*HASHES).agg(F.min("id").alias("first"), F.max("id").alias("last")))
+            firsts = space.keep(firsts, f"firsts{k}")
+            shared = firsts.where(F.col("known") | (F.col("first") != F.col("last"))).select(*HASHES, F.when(~F.col("known"), F.col("first")).alias("holder"))
+            hits = batch.join(shared, HASHES).where(F.col("holder").isNull() | (F.col("id") != F.col("holder"))).select("id", "text_hash", "pos")
+            dropped = dropped.unionByName(space.keep(hits, f"dropped{k}"))
+            if k < len(bounds):
+                store.add(firsts.where(~F.col("known")))
+            space.drop(f"firsts{k}")
+    finally:
+        store.close()
+        space.drop("lines")
     return dropped
 
 
@@ -131,20 +145,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, id_col:
     Null and empty texts have one empty line, which stays. Lines whose key is shorter than
     ``min_chars`` code points always stay. A line that one document repeats, and no other
     holds, stays. Rows that repeat an id count as one document; a row without an id keeps its text and
-    counts for no other.
+    counts for no other. Ids are numbers. Work and memory grow in proportion to a text's lines.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "linededup")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"))
     dropped = duplicate_lines(docs, space, min_chars, batches, "id", "text")
-    per_doc = dropped.groupBy("id").agg(F.collect_set(F.struct(*HASHES)).alias("gone"))
+    gone = dropped.groupBy("id", "text_hash").agg(F.collect_list("pos").alias("gone"))
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["id", "text_hash"], "left")
+    rows = rows.select("id", "rest", lines_of(F.col("text")).alias("lines"), "gone")
     lines = F.col("lines")
-
-    def stays(line: Column) -> Column:
-        return ~F.coalesce(F.array_contains(F.col("gone"), F.struct(*key_hashes(line_key(line)))), F.lit(False)) | (F.char_length(line_key(line)) < min_chars)
-
-    out = docs.join(per_doc, "id", "left").select("id", "rest", lines_of(F.col("text")).alias("lines"), "gone")
-    out = out.select("id", "rest", lines, F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays)).alias("kept"))
-    return out.select(F.col("id").alias(id_col), F.array_join("kept", "\n").alias(text_col), F.size("lines").cast("long").alias("n_lines"),
-                      (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), *(["rest.*"] if rest else []))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    rows = rows.select("id", "rest", lines, F.when(F.col("gone").isNull(), lines).otherwise(F.transform(places, lambda i: F.get(lines, i))).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), F.array_join("kept", "\n").alias(text_col), F.size("lines").cast("long").alias("n_lines"),
+                       (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), *(["rest.*"] if rest else []))

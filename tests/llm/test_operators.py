@@ -299,3 +299,13 @@ def test_set_join_of_large_groups_near_the_threshold(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.similar_documents(docs).collect()}
     assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
     assert len(set(map(top, range(150)))) > 20
+
+
+def test_lines_of_wide_ids_and_long_texts(spark):
+    text = "a line of many documents\nother"
+    ids = [2**60, 0, -(2**62 + 5), 2**62 + 5, None]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in linededup.dedup_lines(spark.createDataFrame([(i, text) for i in ids], DOC)).collect()}
+    assert got == {i: (0, text) if i in (None, min(ids[:4])) else (1, "other") for i in ids}
+    long = "\n".join(f"line number {i} of a long text" for i in range(100_000))
+    got = linededup.dedup_lines(spark.createDataFrame([(1, long), (2, long + "\nnew")], DOC), batches=2).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got} == {1: (100_000, 0), 2: (100_001, 100_000)} and [r.text for r in got if r.doc_id == 2] == ["new"]
