@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm.workspace import Workspace
@@ -24,17 +24,26 @@ from driftlens.llm.workspace import Workspace
 #: Records whose gap in the file is at most this are read together, up to READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Bytes of records that one reading task is dealt on average.
+TASK_BYTES = 32 << 20
 INDEX = "page_id bigint, file string, offset bigint, length bigint, url string, payload_digest string, record_type string, refers_to bigint"
 RESULT = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 DATE = "2000-01-01T00:00:00Z"  # fixed, so that archives are reproducible
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark resolves it by, so that tasks mean the same place."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A file system that tasks can write to, from a path with or without a scheme."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
+    """A file system that tasks can read and write, from a path with its scheme."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        raise ValueError(f"a path without a scheme: {uri}")
     return pafs.FileSystem.from_uri(uri)
 
 
@@ -90,9 +99,12 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sp
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1")).join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
 
+    folder = qualified(pages.sparkSession, folder)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = filesystem(folder)
-        name = f"{path}/part-{uuid.uuid4().hex}.warc.gz"
+        file = f"part-{uuid.uuid4().hex}.warc.gz"
+        name = f"{folder}/{file}"
         out, offset, made = None, 0, []
         try:
             for batch in batches:
@@ -100,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sp
                 for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None:
                         system.create_dir(path, recursive=True)
-                        out = system.open_output_stream(name, compression=None)
+                        out = system.open_output_stream(f"{path}/{file}", compression=None)
                     payload = html.encode()
                     digest = digest_of(payload)
                     data = record(page_id, url or "", payload, digest, refers_to)
@@ -139,7 +151,9 @@ def read_records(index: DataFrame) -> DataFrame:
     the record's own digest; a revisit gives the payload's length by its HTTP head.
     """
     chunk = F.floor(F.col("offset") / F.lit(READ_BYTES))
-    rows = index.select("file", "offset", "length", chunk.alias("chunk")).repartition("file", "chunk").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # the index is small, what it points at is not
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_BYTES))
+    rows = index.select("file", "offset", "length", chunk.alias("chunk")).repartition(tasks, "file", "chunk").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
