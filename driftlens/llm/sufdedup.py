@@ -6,8 +6,8 @@ around equal anchors: from LENGTH - GRAM bytes before to LENGTH after the anchor
 windows of an anchor, laid one under another by the anchor, are a document collection. Its
 suffixes are sorted column by column from the right: each round inserts one symbol of every
 window, the collection's Burrows-Wheeler segment of that round gives the next order (LF
-mapping), and common prefixes follow by range minima. Columns are read from, and segments
-appended to, sequential files; memory holds a few numbers a window. As equal strings stand in
+mapping), and common prefixes follow by range minima. A task holds one group of windows, of
+bounded size, and the order and prefixes of the last round. As equal strings stand in
 the same column, each column's order is all that is looked at, and no merge of columns is needed.
 
 A start whose suffix has LENGTH bytes in common with a neighbour in the order is repeated.
@@ -16,7 +16,6 @@ A start whose suffix has LENGTH bytes in common with a neighbour in the order is
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,8 @@ GRAM = 200
 SIDE = LENGTH - GRAM
 #: An anchor with more different windows than this is split by longer common pieces.
 MOST_WINDOWS = 20_000
+#: Parts that an anchor's windows are dealt out in while it is not known how many there are.
+PARTS = 64
 #: Windows sorted together.
 COLLECTION = 20_000
 _PART = 1 << 21
@@ -149,28 +150,24 @@ def repeated_starts(windows: list[bytes], left: list[int]) -> tuple[np.ndarray,
     table = np.full((n, width), NONE, np.uint16)
     for i, (data, a) in enumerate(zip(windows, left)):
         table[i, SIDE - a : SIDE - a + len(data)] = np.frombuffer(data, np.uint8)
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as transform:
-        columns.write(np.ascontiguousarray(table[:, ::-1].T).tobytes())
-        del table
-        columns.seek(0)
-        order, lcp = np.arange(n), np.zeros(n, np.uint16)
-        for c in range(width - 1, -1, -1):
-            segment = np.frombuffer(columns.read(2 * n), np.uint16)[order]  # this round's part of the transform
-            step = np.argsort(segment, kind="stable")
-            symbol = segment[step]
-            new = np.zeros(n, np.uint16)
-            same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] != NONE)) + 1
-            if len(same):
-                new[same] = np.minimum(range_minima(lcp, step[same - 1] + 1, step[same]) + np.uint16(1), np.uint16(LENGTH))
-            order, lcp = order[step], new
-            transform.write(segment.tobytes())
-            transform.write(lcp.tobytes())
-            if c <= SIDE:
-                full = np.flatnonzero(lcp >= LENGTH)
-                if len(full):
-                    hit = order[np.unique(np.concatenate((full, full - 1)))]
-                    first[hit] = c
-                    last[hit] = np.where(last[hit] < 0, c, last[hit])
+    order, lcp = np.arange(n), np.zeros(n, np.uint16)
+    columns = np.ascontiguousarray(table.T)
+    del table
+    for c in range(width - 1, -1, -1):
+        segment = columns[c][order]  # this round's part of the transform
+        step = np.argsort(segment, kind="stable")
+        symbol = segment[step]
+        new = np.zeros(n, np.uint16)
+        same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] != NONE)) + 1
+        if len(same):
+            new[same] = np.minimum(range_minima(lcp, step[same - 1] + 1, step[same]) + np.uint16(1), np.uint16(LENGTH))
+        order, lcp = order[step], new
+        if c <= SIDE:
+            full = np.flatnonzero(lcp >= LENGTH)
+            if len(full):
+                hit = order[np.unique(np.concatenate((full, full - 1)))]
+                first[hit] = c
+                last[hit] = np.where(last[hit] < 0, c, last[hit])
     return first, last
 
 
@@ -251,7 +248,7 @@ def repeated_spans(contents: DataFrame, space: Workspace, most_windows: int = MO
 
 
 def _cut(with_bytes: bool, id_col: str):
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeat"] + ["kept"] * with_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,9 +266,9 @@ def _cut(with_bytes: bool, id_col: str):
                     removed, n, at = removed + e - s, n + 1, e
                 kept.append(data[at:])
                 left = b"".join(kept)
-                rows.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), left))
+                rows.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), n > 0, left))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary())
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: len(names) - 1]], names=names)
 
@@ -282,7 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove each byte covered by a string of LENGTH bytes that starts anywhere else too.
 
     Returns the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs),
-    ``kept_sha256`` (of the remaining bytes) and, if asked for, ``kept`` (those bytes). Texts are
+    ``kept_sha256`` (of the remaining bytes), ``has_repeat`` (whether any byte is removed) and, if
+    asked for, ``kept`` (the remaining bytes). Texts are
     UTF-8 bytes; null and empty ones have none. Strings never cross texts and are judged on the
     input. Rows that repeat are texts of their own, so each is a repeat of the other. Ids may
     repeat or be null. Other columns are not looked at.
@@ -290,14 +288,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     space = Workspace(spark, "sufdedup")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = docs.withColumn("k", F.xxhash64("id", "text"))
+    keyed = docs.withColumn("k", F.struct(F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "id").alias("k2")))
     texts = keyed.where(F.octet_length("text") >= LENGTH).select("k", "text")
     shared = space.keep(texts.mapInArrow(_keys, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key"), "shared")
-    found = texts.mapInArrow(_occurrences, "k bigint, at bigint, key bigint, w1 bigint, w2 bigint")
+    found = texts.mapInArrow(_occurrences, "k struct<k1:bigint,k2:bigint>, at bigint, key bigint, w1 bigint, w2 bigint")
     found = space.keep(found.join(shared, "key", "left_semi").select("k", "at", "key", "w1", "w2"), "occurrences")
     windows = space.keep(found.groupBy("key", "w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("of")), "windows")
-    several = windows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
-    wanted = windows.join(several, "key", "left_semi").groupBy("of.k").agg(F.collect_list(F.struct(F.col("of.at").alias("at"), "key", "w1", "w2")).alias("wanted"))
+    # an anchor of very many windows is dealt out in PARTS parts
+    parted = windows.withColumn("part", F.pmod("w1", F.lit(PARTS)))
+    several = parted.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where(F.col("n") > 1).select("key", F.explode("parts").alias("part"))
+    wanted = parted.join(several, ["key", "part"], "left_semi").groupBy("of.k").agg(F.collect_list(F.struct(F.col("of.at").alias("at"), "key", "w1", "w2")).alias("wanted"))
     wanted = space.keep(wanted, "wanted")
     contents = space.keep(texts.join(wanted, "k").select("text", "wanted").mapInArrow(_contents, CONTENT).dropDuplicates(["key", "w1", "w2"]), "contents")
     sorted_spans = repeated_spans(contents, space, most_windows)
@@ -310,4 +310,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_text = space.keep(by_text.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "removed")
     joined = keyed.join(by_text, "k", "left").select("id", "text", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), F.least(x["e"], size).alias("e"))).alias("spans"))
     id_type = docs.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(_cut(with_bytes, id_col), f"`{id_col}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes)
+    return joined.mapInArrow(_cut(with_bytes, id_col), f"`{id_col}` {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, has_repeat boolean" + ", kept binary" * with_bytes)
