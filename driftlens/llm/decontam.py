@@ -1,8 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-A document is contaminated by an item if, from some word start on, its normalised text is
-within ``floor(max_edit * n)`` edits of the item's n bytes. Item-sized windows at word starts
-are embedded by the CGK random walk, which maps edit distance to Hamming distance; sampled
+A document is contaminated by an item if, from some start on, its normalised text is within ``floor(max_edit * n)`` edits of the item's n bytes. Starts are the characters after a space,
+another ASCII character that is no letter or digit, or a character outside ASCII, so items inside
+unspaced text or after ``Question:`` are seen. Item-sized windows at starts are embedded by the CGK random walk, which maps edit distance to Hamming distance; sampled
 coordinates of the embedding are the LSH keys, drawn anew ``repeats`` times so that the
 target recall is reached; colliding pairs are verified exactly.
 
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftlens.llm.textkernel import LOWER, U64, WHITE, steps
+from driftlens.llm.textkernel import LOWER, U64, WHITE, mix, steps
 
 Q = 9
 GRAM_BITS = 21
@@ -29,8 +29,12 @@ MAX_EDIT = 0.08
 #: LSH: sampled coordinates in a key, and independent walks.
 SAMPLES = 4
 REPEATS = 12
-#: Windows that are embedded together.
+#: Windows of one class that are embedded together, and their bytes.
 WINDOWS = 20_000
+WINDOW_BYTES = 4 << 20
+#: Bytes after which a window may start: all but ASCII letters and digits.
+BREAK = np.ones(256, bool)
+BREAK[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = False
 #: Bytes of items in one index; more items are taken in blocks of this size.
 BLOCK_BYTES = 8 << 20
 RESULT = "item_id bigint, position bigint, n_edits int"
@@ -132,9 +136,7 @@ class ItemIndex:
         #: for each gram, a bit for each (folded) class that has it
         self.known = np.zeros(1 << GRAM_BITS, np.uint32)
         rng = np.random.default_rng(seed)
-        longest = max([len(t) for _, t in self.items], default=1)
-        #: advance[r, j, c]: whether walk r moves on after writing symbol c as coordinate j
-        self.advance = rng.integers(0, 2, (repeats, 2 * longest + 2, 256)).astype(np.uint8)
+        self.seed = int(rng.integers(1, 1 << 62))
         self.weights = rng.integers(1, 1 << 62, samples).astype(U64) | U64(1)
         by_length: dict[int, list[int]] = {}
         for k, (_, text) in enumerate(self.items):
@@ -159,6 +161,11 @@ class ItemIndex:
                 c.owners.append(np.array(members)[order])
             self.classes.append(c)
 
+    def advance(self, r: int, j: int) -> np.ndarray:
+        """Whether walk r moves on after writing each symbol as coordinates j to j + 255: hashed coins, so that no table grows with the items."""
+        coins = np.arange(1 << 16, dtype=U64) + U64((self.seed + (r << 48) + (j << 8)) % (1 << 63))
+        return (mix(coins) >> U64(63)).astype(np.int64).reshape(256, 256)
+
     def embed(self, windows: np.ndarray, c: LengthClass) -> Iterator[np.ndarray]:
         """For each repeat, the key of every window: its CGK symbols at the sampled coordinates."""
         flat = np.ascontiguousarray(windows).ravel()
@@ -174,11 +181,13 @@ class ItemIndex:
                     key += (symbol.astype(U64) + U64(1)) * self.weights[sample]
                     key *= U64(0x9E3779B97F4A7C15)
                     sample += 1
-                at += self.advance[r, j][symbol]
+                if j % 256 == 0:
+                    moves = self.advance(r, j)
+                at += moves[j % 256][symbol]
             yield key
 
     def starts(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each class: word starts whose window may hold an item by the q-gram lemma, and their rows."""
+        """For each class: starts whose window may hold an item by the q-gram lemma, and their rows."""
         if not self.classes:
             return
         bits = self.known.take(grams(buf))
@@ -186,8 +195,8 @@ class ItemIndex:
         np.cumsum(bits != 0, out=hit[1:])
         first = np.zeros(len(buf) + 1, bool)
         first[offs] = True
-        begin = buf != 32
-        begin[1:] &= (buf[:-1] == 32) | first[1:-1]
+        begin = (buf != 32) & ((buf & 0xC0) != 0x80)
+        begin[1:] &= BREAK[buf[:-1]] | first[1:-1]
         begin = np.flatnonzero(begin)
         widest, least = max(c.width for c in self.classes), min(c.need for c in self.classes)
         begin = begin[hit[np.minimum(begin + widest, len(buf))] - hit[begin] >= least]
@@ -262,8 +271,8 @@ def find_items(docs: DataFrame, index: ItemIndex, id_col: str = "doc_id", text_c
                     width = items.classes[k].width
                     for s, r in zip(begin.tolist(), row.tolist()):
                         waiting[k].append((ids[r].as_py(), s - int(offs[r]), buf[s : min(s + width, int(offs[r + 1]))].tobytes().ljust(width, b"\0"), seen + r))
-                    if len(waiting[k]) >= WINDOWS and (out := flush(k)):
-                        yield out
+                        if len(waiting[k]) >= min(WINDOWS, WINDOW_BYTES // width + 1) and (out := flush(k)):
+                            yield out
                 seen += b - a
         for k in waiting:
             if waiting[k] and (out := flush(k)):

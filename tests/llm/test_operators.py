@@ -309,3 +309,38 @@ def test_lines_of_wide_ids_and_long_texts(spark):
     long = "\n".join(f"line number {i} of a long text" for i in range(100_000))
     got = linededup.dedup_lines(spark.createDataFrame([(1, long), (2, long + "\nnew")], DOC), batches=2).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got} == {1: (100_000, 0), 2: (100_001, 100_000)} and [r.text for r in got if r.doc_id == 2] == ["new"]
+
+
+def test_decontamination_against_all_documents_and_items(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(10)] + [(10, "北京大学是中国的一所著名大学位于北京市海淀区"), (11, ""), (None, "no id"), (12, "It costs $5: (really)! " * 4)]
+    docs = []
+    for k in range(60):
+        b = list(items[rng.choice([*range(11), 13])][1])
+        for _ in range(rng.randint(0, max(1, len(b) // 9))):
+            b[rng.randrange(len(b))] = rng.choice("etao")
+        docs.append((k, rng.choice(["", "Question:", "前文", word() + " "]) + "".join(b) + rng.choice(["", " ", "后文"]) + " ".join(word() for _ in range(20))))
+    docs += [(3, docs[3][1]), (100, None), (101, ""), (None, items[0][1])]
+    want = set()
+    for i, text in docs:
+        t = decontam.normalised_text(text)
+        starts = [p for p in range(len(t)) if t[p] != 32 and t[p] & 0xC0 != 0x80 and (p == 0 or decontam.BREAK[t[p - 1]])]
+        for item, content in items:
+            c = decontam.normalised_text(content)
+            k = decontam.allowed(len(c), decontam.MAX_EDIT)
+            if item is not None and len(c) >= decontam.Q and any(decontam.within(c, t[p:], k) is not None for p in starts):
+                want.add((i, item))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 30 and (None, 0) in got
+
+
+def test_decontamination_memory_of_a_long_item():
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("etaoin ") for _ in range(100_000)).encode()
+    tracemalloc.start()
+    decontam.ItemIndex([(1, text)])
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
