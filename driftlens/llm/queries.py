@@ -102,4 +102,30 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op7_set_join": OP7_SQL, "op10_line_dedup": OP10_SQL}
+# Messages are told apart by conversation and turn here, as in the tables given.
+OP2_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m),
+v AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level,
+      trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '')), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said FROM l),
+o AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level = 0), ''), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS own,
+      coalesce(list(said ORDER BY pos) FILTER (WHERE level = 0 AND said <> ''), []) AS lines FROM v GROUP BY conv_id, turn),
+b AS (SELECT *, level <> lag(level, 1, -1) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS new FROM v),
+r AS (SELECT *, sum(new::int) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM b),
+q AS (SELECT conv_id, turn, run, level, coalesce(list(said ORDER BY pos) FILTER (WHERE said <> ''), []) AS lines FROM r WHERE level > 0 GROUP BY conv_id, turn, run, level),
+p AS (SELECT *, array_to_string(lines, ' ') AS passage, len(lines) AS size FROM q WHERE len(lines) > 0),
+sizes AS (SELECT DISTINCT size FROM p),
+s AS (SELECT DISTINCT conv_id, turn, array_to_string(lines[i + 1 : i + size], ' ') AS passage
+      FROM (SELECT o.*, size, unnest(range(0, len(lines) - size + 1)) AS i FROM o JOIN sizes ON size <= len(lines))),
+here AS (SELECT p.conv_id, p.turn, p.run, min(s.turn) AS t FROM p JOIN s ON s.passage = p.passage AND s.conv_id = p.conv_id GROUP BY ALL),
+there AS (SELECT p.conv_id, p.turn, p.run, min(s.conv_id) AS c FROM p JOIN s ON s.passage = p.passage AND s.conv_id <> p.conv_id GROUP BY ALL),
+k AS (SELECT p.conv_id, p.turn, p.level, CASE WHEN here.t < p.turn THEN here.t END AS t, coalesce(here.t < p.turn, false) OR there.c IS NOT NULL AS linked
+      FROM p LEFT JOIN here USING (conv_id, turn, run) LEFT JOIN there USING (conv_id, turn, run)),
+n AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (WHERE linked) AS n_linked, arg_min(t, level * 1e9 - t) FILTER (WHERE t IS NOT NULL) AS reply_to FROM k GROUP BY conv_id, turn),
+t AS (SELECT conv_id, turn, turn AS thread, 0 AS depth FROM o LEFT JOIN n USING (conv_id, turn) WHERE reply_to IS NULL
+      UNION ALL SELECT n.conv_id, n.turn, t.thread, t.depth + 1 FROM n JOIN t ON n.conv_id = t.conv_id AND n.reply_to = t.turn)
+SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY t.thread, m.turn) - 1 AS position, m.turn, m.role, o.own AS text,
+       coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, reply_to, t.thread, t.depth
+FROM m JOIN o USING (conv_id, turn) JOIN t USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quotes": OP2_SQL, "op7_set_join": OP7_SQL, "op10_line_dedup": OP10_SQL}

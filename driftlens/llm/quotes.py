@@ -2,7 +2,8 @@
 
 Quoted lines start with one ``>`` for each level (``> >`` and ``>>`` alike). Runs of lines of
 one level are passages; a passage's normalised text is hashed and joined with the hashes of
-what the messages say themselves: their whole own text, its paragraphs and its lines.
+what the messages say themselves: the runs of their own lines that begin like a passage and have
+as many lines. So a quotation of any consecutive lines meets its original.
 """
 
 from __future__ import annotations
@@ -56,11 +57,31 @@ def own_texts(messages: DataFrame) -> DataFrame:
     return messages.withColumn("own", F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", ""))
 
 
-def says(own: DataFrame) -> DataFrame:
-    """(conv_id, turn, msg, h1, h2): hashes of what each message says: all of it, its paragraphs, its lines."""
-    units = F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n"))
-    unit = normalised(F.col("unit"))
-    return own.select(*MESSAGE, F.explode(F.array_distinct(units)).alias("unit")).select(*MESSAGE, unit.alias("unit")).where(F.col("unit") != "").select(*MESSAGE, *hashed(F.col("unit"))).distinct()
+def own_lines(text: Column) -> Column:
+    """The normalised lines of a message's own words, without blank ones."""
+    return spoken(F.filter(F.split(text, "\n", -1), lambda x: level_of(x) == 0))
+
+
+def spoken(lines: Column) -> Column:
+    return F.filter(F.transform(lines, normalised), lambda x: x != "")
+
+
+def says(messages: DataFrame, begins: DataFrame) -> DataFrame:
+    """(conv_id, turn, msg, h1, h2): hashes of the runs of own lines that a passage may quote.
+
+    ``begins`` has the hash of the first line (head) and the number of lines (size) of every
+    quoted passage, so runs are made only where one begins.
+    """
+    lines = messages.select(*MESSAGE, own_lines(F.col("text")).alias("lines"))
+    each = lines.select("msg", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    each = each.select("msg", "n", "pos", F.xxhash64("line").alias("head"))
+    starts = each.join(begins, "head").where(F.col("pos") + F.col("size") <= F.col("n")).groupBy("msg").agg(F.collect_set(F.struct("pos", "size")).alias("starts"))
+
+    def run(x: Column) -> Column:
+        text = F.array_join(F.slice("lines", x["pos"] + 1, x["size"]), " ")
+        return F.struct(*hashed(text))
+
+    return lines.join(starts, "msg").select(*MESSAGE, F.explode(F.array_distinct(F.transform("starts", run))).alias("h")).select(*MESSAGE, "h.h1", "h.h2")
 
 
 def link_quotes(messages: DataFrame, space: Workspace | None = None) -> DataFrame:
@@ -73,16 +94,16 @@ def link_quotes(messages: DataFrame, space: Workspace | None = None) -> DataFram
     a conversation or turn are no originals.
     """
     space = space or Workspace(messages.sparkSession, "quotes")
-    said = says(own_texts(messages.where("conv_id is not null and turn is not null")))
-    quoted = passages(messages).where(F.col("level") > 0).select(*MESSAGE, "run", "level", normalised(F.col("passage")).alias("passage")).where(F.col("passage") != "")
-    quoted = space.keep(quoted.select(*MESSAGE, "run", "level", *hashed(F.col("passage"))), "quoted")
+    quoted = passages(messages).where(F.col("level") > 0).select(*MESSAGE, "run", "level", spoken(F.split("passage", "\n", -1)).alias("lines")).where(F.size("lines") > 0)
+    quoted = space.keep(quoted.select(*MESSAGE, "run", "level", *hashed(F.array_join("lines", " ")), F.xxhash64(F.col("lines")[0]).alias("head"), F.size("lines").alias("size")), "quoted")
+    said = says(messages.where("conv_id is not null and turn is not null"), quoted.select("head", "size").distinct())
     wanted = quoted.select("h1", "h2").distinct()
     said = space.keep(said.join(wanted, ["h1", "h2"], "left_semi"), "said")
     here = said.groupBy("conv_id", "h1", "h2").agg(F.min(F.struct("turn", "msg")).alias("here"))
     least = here.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("conv_id"))).where("nth <= 2")
     one = F.struct("conv_id", "here.turn", "here.msg")
     there = least.groupBy("h1", "h2").agg(F.min(one).alias("first"), F.max(one).alias("second"))
-    both = quoted.join(here, ["conv_id", "h1", "h2"], "left").join(there, ["h1", "h2"], "left")
+    both = quoted.drop("head", "size").join(here, ["conv_id", "h1", "h2"], "left").join(there, ["h1", "h2"], "left")
     both = both.withColumn("there", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second")))
     own = F.col("here.turn") < F.col("turn")
     away = F.col("there.conv_id") != F.col("conv_id")
@@ -90,6 +111,11 @@ def link_quotes(messages: DataFrame, space: Workspace | None = None) -> DataFram
     return both.withColumn("choice", choice).where(F.col("choice").isNotNull()).select(*MESSAGE, "run", "level", F.col("choice.m").alias("from_msg"), F.col("choice.c").alias("from_conv"), F.col("choice.t").alias("from_turn"))
 
 
+def quoted_schema(messages: DataFrame) -> str:
+    kinds = dict(messages.dtypes)
+    return f"msg long, conv_id {kinds['conv_id']}, turn {kinds['turn']}, run long, level int, h1 long, h2 long, head long, size int"
+
+
 def roots(parents: DataFrame, space: Workspace) -> DataFrame:
     """(msg, root, depth) from (msg, parent), by doubling: each step joins every path with the next.
 
@@ -140,7 +166,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     parent = space.keep(parent.select("msg", F.col("best.from_msg").alias("parent"), (-F.col("best.late")).alias("reply_to")), "parents")
     path = roots(parent, space)
     start = path.join(rows.select(F.col("msg").alias("root"), F.col("turn").alias("thread")), "root").select("msg", "thread", "depth")
-    quotes = space.read("quoted", "msg long, conv_id long, turn long, run long, level int, h1 long, h2 long").groupBy("msg").agg(F.count("*").alias("n_quotes"))
+    quotes = space.read("quoted", quoted_schema(rows)).groupBy("msg").agg(F.count("*").alias("n_quotes"))
     out = own_texts(rows).join(per_message, "msg", "left").join(quotes, "msg", "left").join(parent.drop("parent"), "msg", "left").join(start, "msg", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = out.select("msg", "conv_id", "turn", "role", F.col("own").alias("text"), zero("n_quotes"), zero("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), zero("depth"))

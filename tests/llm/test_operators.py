@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftlens.llm import bpe, decontam, langid, linededup, pii, quality, queries, quotes, setjoin, sufdedup, warc
@@ -344,3 +345,36 @@ def test_decontamination_memory_of_a_long_item():
     decontam.ItemIndex([(1, text)])
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
+
+
+def test_quotes_of_a_generated_exchange_are_those_of_sql(spark):
+    """Known links: any consecutive lines of an earlier message; and every column equals the SQL."""
+    import duckdb
+
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(rng.randint(3, 7)))
+    rows, known = [], 0
+    for conv in range(30):
+        said = []
+        for turn in range(rng.randint(1, 8)):
+            parts = []
+            if said and rng.random() < 0.7:
+                lines = rng.choice(said[-3:])
+                a = rng.randrange(len(lines))
+                cut = lines[a : a + rng.randint(1, 4)]
+                parts += [rng.choice(["> ", ">", ">> ", "> > "]) + x.upper() for x in cut]
+                known += 1
+            own = [line() for _ in range(rng.randint(1, 5))]
+            if rng.random() < 0.3:
+                own.insert(1, "")
+            said.append([x for x in own if x])
+            rows.append((conv, turn, rng.choice(["user", None]), "\n".join(parts + own)))
+    rows += [(100, 0, "user", None), (100, 1, "user", ""), (101, 0, "user", "\n".join(f"> {line()}" for _ in range(3))), (102, 3, "user", "common line of all"), (103, 1, "user", "> common line of all\nyes"), (104, 0, "user", "x\n" * 20_000)]
+    got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("msg", queries.F.lit("clash")))
+    have = [tuple(r) for r in got.collect()]
+    assert known > 60 and sum(r.n_linked for r in got.collect()) >= 0.95 * known
+    con = duckdb.connect()
+    con.register("conversations", pa.table(list(zip(*rows)), names=["conv_id", "turn", "role", "text"]))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.OP2_SQL})").fetchall()
+    key = lambda r: r[:2]
+    assert sorted(have, key=key) == sorted(want, key=key)
