@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.workspace import Workspace
 
-# Titles before a name, by gender.
+# Titles before a name, by gender.
 MALE = ["Mr", "Herr", "Monsieur", "Sr", "Señor", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora", "госпожа", "κυρία"]
 NEUTRAL = ["Dr", "Prof"]
@@ -28,7 +28,7 @@ _PARTICLE = r"(?:(?:von|van|vom|zu|der|den|de|del|della|di|da|dos|du|la|le|al|bi
 _NAME = rf"(?:{_INITIAL}[ ]?(?=\p{{Lu}}))*+{_PARTICLE}{_WORD}(?:[ ]{_PARTICLE}(?:{_INITIAL}(?=[ ]?\p{{Lu}})|{_WORD})|(?<=\.){_WORD})*+"
 WORDS = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_WORD}"
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
-# What else stands before a name, in the languages of the titles.
+# What else stands before a name, in the languages of the titles.
 _SAYS = ["my name is", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε"]
 _FIELDS = ["full name", "name", "nom", "nombre", "имя", "όνομα"]
 _CLOSINGS = ["regards", "sincerely", "yours truly", "cheers", "mit freundlichen grüßen", "viele grüße", "cordialement", "saludos", "atentamente", "с уважением", "με εκτίμηση"]
@@ -59,8 +59,10 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Letters that initials are drawn from, by script.
 CAPITALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 DIGITS_ONLY = ("phone", "number", "card")
+#: Attempts before surrogates get longer than what they stand for.
+FULL = 3
 
-# Syllables and gendered endings of invented names, by script.
+# Syllables and gendered endings of invented names, by script.
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "to", "va", "we", "ri", "lu"],
     "cyrillic": ["ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "си", "то", "ва", "ве", "ри", "лу"],
@@ -163,14 +165,17 @@ def surrogate(kind: Column, canon: Column, digest: Column, attempt: int) -> Colu
 
     mapped = F.when(hexa, F.transform(chars, lambda c, i: same_class(c, i, "abcdef"))).otherwise(F.transform(chars, lambda c, i: same_class(c, i, low)))
     text = F.array_join(mapped, "")
-    email = F.concat(F.substring(text, F.lit(1), F.char_length(canon) - F.char_length(F.substring_index(canon, ".", -1))), F.substring_index(canon, ".", -1))
+    # Formats with few values are left after FULL attempts: later surrogates are longer from attempt to attempt.
+    extra = max(0, attempt - FULL)
+    email = F.concat(F.substring(digest, F.lit(150), F.lit(extra)), F.substring(text, F.lit(1), F.char_length(canon) - F.char_length(F.substring_index(canon, ".", -1))), F.substring_index(canon, ".", -1))
     # Of a secret every letter and digit changes, or every character if it has none; later attempts are longer, as short ones are few.
     plain = ~canon.rlike(r"[0-9A-Za-z]|[^\x00-\x7f]")
     letter = lambda c, i: _pick(low, _byte(digest, i))
     hidden = F.array_join(F.when(plain, F.transform(chars, letter)).otherwise(F.transform(mapped, lambda c, i: F.when(c > "\x7f", letter(c, i)).otherwise(c))), "")
     hidden = F.concat(hidden, F.substring(digest, F.lit(150), F.lit(max(0, attempt - 3))))
     kept = F.when(canon.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(text, 5, 16))).otherwise(hidden)
-    octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(F.char_length(o) == 3, 100 + F.pmod(_byte(digest, i), F.lit(156))).when(F.char_length(o) == 2, 10 + F.pmod(_byte(digest, i), F.lit(90))).otherwise(F.pmod(_byte(digest, i), F.lit(10))).cast("string"))
+    width = lambda o: F.least(F.lit(3), F.char_length(o) + extra)
+    octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(width(o) == 3, 100 + F.pmod(_byte(digest, i), F.lit(156))).when(width(o) == 2, 10 + F.pmod(_byte(digest, i), F.lit(90))).otherwise(F.pmod(_byte(digest, i), F.lit(10))).cast("string"))
     first_kept = F.concat(F.substring(canon, 1, 1), F.substring(text, 2, 1000))
     digits = F.transform(F.split(first_kept, ""), lambda c, i: c.cast("int"))
     head = F.slice(digits, F.lit(1), F.size(digits) - 1)
@@ -183,9 +188,11 @@ def surrogate(kind: Column, canon: Column, digest: Column, attempt: int) -> Colu
         stem = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2 + attempt)), syllable), "")
         return F.concat(stem, F.when(kind == "given_f", female).when(kind == "given_m", male).otherwise(neutral))
 
+    more = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(extra)), lambda i: _pick(dec, _byte(digest, i + 40))), "").substr(2, 100) if extra else F.lit("")
+    ip = F.array_join(octets, ".") if extra < 9 else F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(digest, i * 4 + F.lit(1), F.lit(4))), ":")
     person = F.when(canon.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
-    return (F.when(kind == "email", email).when(kind == "secret", kept).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card)
-            .when(kind == "phone+", first_kept).when(kind.isin("phone", "number"), text).otherwise(person))
+    return (F.when(kind == "email", email).when(kind == "secret", kept).when(kind == "ip", ip).when(kind == "card", F.concat(card, more))
+            .when(kind == "phone+", F.concat(first_kept, more)).when(kind.isin("phone", "number"), F.concat(text, more)).otherwise(person))
 
 
 def render(raw: Column, kind: Column, found: Column) -> Column:
@@ -195,7 +202,9 @@ def render(raw: Column, kind: Column, found: Column) -> Column:
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substring(found, i + 1, F.lit(1)))).otherwise(F.substring(found, i + 1, F.lit(1)))), "")
     lead, _, quote = secret_parts(raw)
     secret = F.concat(lead, found, quote)
-    return F.when(kind.isin(*DIGITS_ONLY), numbered).when(kind == "email", cased).when(kind == "secret", secret).otherwise(found)
+    digits = F.size(F.filter(chars, lambda x: x.between("0", "9")))
+    rest = lambda n: F.substring(found, n + F.lit(1), F.char_length(found))
+    return F.when(kind.isin(*DIGITS_ONLY), F.concat(numbered, rest(digits))).when(kind == "email", F.concat(cased, rest(F.size(chars)))).when(kind == "secret", secret).otherwise(found)
 
 
 def initial(letter: Column, key: str) -> Column:
@@ -217,28 +226,36 @@ def renamed(text: Column, names: Column, key: str, initials: bool) -> Column:
     return F.array_join(F.zip_with(F.split(text, WORDS, -1), words_of(text), lambda g, w: F.concat(g, F.coalesce(shown(w), F.lit("")))), "")
 
 
-def assign(found: DataFrame, key: str, space: Workspace, most: int = 40) -> DataFrame:
+def with_known_gender(parts: DataFrame) -> DataFrame:
+    """Given names without a title that tells a gender take that of their other occurrences, if there is one only: 'Dr. Peter' is the person of 'Mr Peter'."""
+    known = parts.where(F.col("kind").isin("given_m", "given_f")).groupBy("canon").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo = hi").select("canon", F.lit("given_x").alias("kind"), F.col("lo").alias("gendered"))
+    return parts.join(known, ["kind", "canon"], "left").withColumn("kind", F.coalesce("gendered", "kind")).drop("gendered")
+
+
+def assign(found: DataFrame, key: str, space: Workspace) -> DataFrame:
     """(kind, canon, fake) for every distinct (kind, canon): different entities have different
     surrogates, none of which is an entity itself.
 
     Each attempt draws for the entities that are still without; the smallest that drew a free
-    surrogate keeps it. Raises if ``most`` attempts leave entities without, as when a format
-    has fewer values than the corpus has entities: nothing is left unreplaced.
+    surrogate keeps it. From attempt to attempt there are more values to draw from, also where
+    the corpus fills a format, so the attempts end.
     """
     ents = space.keep(found.groupBy("kind", "canon").agg(F.count("*").alias("n")).select("kind", "canon"), "entities")
-    pending, taken = ents, None
-    for k in range(most):
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pending, taken, k = ents.repartition(tasks, "kind", "canon"), None, 0  # few bytes, but much work for each
+    while True:
         drawn = pending.withColumn("digest", digest_of(F.col("kind"), F.col("canon"), key, k)).withColumn("fake", surrogate(F.col("kind"), F.col("canon"), F.col("digest"), k))
+        drawn = space.keep(drawn.select("kind", "canon", "fake"), f"drawn{k}")
         won = drawn.groupBy("kind", "fake").agg(F.min("canon").alias("canon")).select("kind", "canon", "fake")
         won = won.join(ents.withColumnRenamed("canon", "fake"), ["kind", "fake"], "left_anti")
         if taken is not None:
             won = won.join(taken, ["kind", "fake"], "left_anti")
         won = space.keep(won.select("kind", "canon", "fake"), f"won{k}")
         taken = won if taken is None else taken.unionByName(won)
-        pending = space.keep(pending.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), f"pending{k}")
+        pending = space.keep(drawn.select("kind", "canon").join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), f"pending{k}")
         if pending.isEmpty():
             return taken
-    raise ValueError(f"entities without a surrogate after {most} attempts")
+        k += 1
 
 
 def pseudonymise(docs: DataFrame, key: str = "driftlens", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +275,7 @@ def pseudonymise(docs: DataFrame, key: str = "driftlens", id_col: str = "doc_id"
     raw = F.col("raw")
     occurrences = (some.select("k1", "k2", F.explode(F.array_distinct("raws")).alias("raw")).withColumn("type", type_of(raw))
                    .select("k1", "k2", "raw", "type", F.explode(parts_of(raw, F.col("type"))).alias("part")).select("k1", "k2", "raw", "type", "part.kind", "part.canon").where("kind != 'initial'"))
-    occurrences = space.keep(occurrences, "occurrences")
+    occurrences = space.keep(with_known_gender(space.keep(occurrences, "parts")), "occurrences")
     fakes = assign(occurrences, key, space)
     shown = occurrences.join(fakes, ["kind", "canon"]).select("k1", "k2", "type", "kind", F.when(F.col("type") == "person", F.col("canon")).otherwise(raw).alias("at"), render(raw, F.col("type"), F.col("fake")).alias("shown"))
     # A word of a document is one name there: a surname if it is one anywhere, else a given name, of known gender if it has one.

@@ -378,3 +378,23 @@ def test_quotes_of_a_generated_exchange_are_those_of_sql(spark):
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.OP2_SQL})").fetchall()
     key = lambda r: r[:2]
     assert sorted(have, key=key) == sorted(want, key=key)
+
+
+def test_pii_full_formats_and_one_surrogate_a_person(spark):
+    """Every value of a format in use: surrogates stay distinct, none is an entity, and no entity is left."""
+    low = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{x}@{y}.co" for x in low for y in low]
+    addresses = [f"{a}.{b}.0.{c}" for a in range(1, 10) for b in range(10) for c in range(10)]
+    texts = [" ".join(mails[k::4]) for k in range(4)] + [", ".join(addresses)] + ["Dr. Peter Novak and Mr Peter Novak", "Mrs Kim Oz, Mr Kim Oz, Prof. Kim Oz", None]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], DOC + ", raws int")
+    by = {r.doc_id: r.text for r in pii.pseudonymise(frame).collect()}
+    new = [w for k in range(4) for w in by[k].split()]
+    old = [w for k in range(4) for w in texts[k].split()]
+    assert len(set(new)) == len(set(old)) == 676 and not set(new) & set(old) and all(w.endswith(".co") for w in new)
+    ips = by[4].split(", ")
+    assert len(set(ips)) == len(addresses) and not set(ips) & set(addresses)
+    same = re.fullmatch(r"Dr\. (\w+) (\w+) and Mr (\w+) (\w+)", by[5])
+    assert same and same[1] == same[3] and same[2] == same[4]
+    kim = re.fullmatch(r"Mrs (\w+) (\w+), Mr (\w+) (\w+), Prof\. (\w+) (\w+)", by[6])
+    assert kim and kim[2] == kim[4] == kim[6]
