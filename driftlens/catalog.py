@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import sizes
-from driftlens.operators import background, classes, distributions, exports, filters, particles, series
+from driftlens.operators import background, classes, distributions, exports, filters, particles, profiles, series
 from driftlens.sources import adapters
 
 PIXEL, PATH = 28.0, 40.0
@@ -43,6 +43,7 @@ PARTICLES_SQL = """particles AS (
     value * (0.2::double + 0.1::double * (event_id % 8)) AS minor_axis_length, 0.9::double + 0.01::double * (event_id % 10) AS solidity,
     ((user_id * 13) % 2048)::double AS minr, ((event_id * 7) % 2448)::double AS minc,
     ((user_id * 13) % 2048 + 1 + event_id % 40)::double AS maxr, ((event_id * 7) % 2448 + 1 + event_id % 30)::double AS maxc,
+    (hour(ts) * 4)::double AS saturation, strftime(date_trunc('hour', ts), 'D%Y%m%dT%H%M%S.%f') || '.silc' AS filename,
     ((event_id * 7) % 100) / 100.0::double AS probability_oil, (1 - ((event_id * 7) % 100) / 100.0::double) * 0.6::double AS probability_bubble,
     (1 - ((event_id * 7) % 100) / 100.0::double) * 0.4::double AS probability_oily_gas,
     CASE WHEN event_type = 'error' THEN 'not_exported' ELSE strftime(date_trunc('hour', ts), 'D%Y%m%dT%H%M%S.%f') || '-PN' || event_id END AS export_name
@@ -172,13 +173,17 @@ def junge_slope(spark, sf_dir):
     return rounded(distributions.junge(image_nd(spark, sf_dir), KEY))
 
 
-@query(ND_IMAGE + NC_VC_SQL + ", " + d50_cte("timestamp") + f""", p AS (SELECT timestamp, count(*) AS particle_count FROM particles GROUP BY timestamp)
-SELECT timestamp, particle_count, round(d50, 5) AS d50, round(nc, 5) AS nc, round(vc, 5) AS vc, round({d(VOLUME)}, 5) AS sample_volume, round(junge, 5) AS junge FROM p JOIN t USING (timestamp) JOIN j USING (timestamp) JOIN d50 USING (timestamp)""")
+STATS_SQL = ND_IMAGE + NC_VC_SQL + ", " + d50_cte("timestamp") + f""", p AS (
+  SELECT timestamp, min(filename) AS filename, max(saturation) AS saturation, count(*) AS particle_count FROM particles GROUP BY timestamp),
+stats AS (
+  SELECT timestamp, filename, particle_count, saturation, round(d50, 5) AS d50, round(nc, 5) AS nc, round(vc, 5) AS vc,
+         round({d(VOLUME)}, 5) AS sample_volume, round(junge, 5) AS junge
+  FROM p JOIN t USING (timestamp) JOIN j USING (timestamp) JOIN d50 USING (timestamp))"""
+
+
+@query(STATS_SQL + " SELECT * FROM stats")
 def image_stats(spark, sf_dir):
-    p = parts(spark, sf_dir)
-    every = image_nd(spark, sf_dir)
-    out = p.groupBy("timestamp").agg(F.count("*").alias("particle_count")).join(distributions.d50(every, KEY), KEY).join(distributions.concentrations(every, KEY, VOLUME), KEY)
-    return rounded(out.select("timestamp", "particle_count", "d50", "nc", "vc", F.lit(VOLUME).alias("sample_volume"), "junge"), 5)
+    return rounded(profiles.image_stats(parts(spark, sf_dir), PIXEL, VOLUME), 5)
 
 
 SERIES_SQL = nd_sql("timestamp", "SELECT unnest(generate_series((SELECT min(timestamp) FROM particles), (SELECT max(timestamp) FROM particles), INTERVAL 1 HOUR)) AS timestamp")
@@ -331,10 +336,10 @@ def depth_interp(spark, sf_dir):
     return rounded(series.interpolated(parts(spark, sf_dir), adapters.auxiliary(spark, sf_dir), "depth", clamp=True))
 
 
-@query(from_particles("SELECT event_id, round(solidity, 6) AS solidity, NULL::double AS minor_axis_length FROM particles WHERE event_id % 2 = 0 UNION ALL SELECT event_id, NULL, round(minor_axis_length, 6) FROM particles WHERE event_id % 3 = 0"))
+@query(from_particles("SELECT event_id, round(solidity, 6) AS solidity, NULL::double AS minor_axis_length FROM particles UNION ALL SELECT event_id, NULL, round(minor_axis_length, 6) FROM particles"))
 def append_union(spark, sf_dir):
     p = rounded(parts(spark, sf_dir))
-    return exports.append(p.where("event_id % 2 = 0").select("event_id", "solidity"), p.where("event_id % 3 = 0").select("event_id", "minor_axis_length"))
+    return exports.append(p.select("event_id", "solidity"), p.select("event_id", "minor_axis_length"))
 
 
 FILES = ", f AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS ord, count(*) OVER () AS n FROM (SELECT DISTINCT timestamp FROM particles))"
@@ -370,11 +375,6 @@ def timestamp_parse(spark, sf_dir):
     return parts(spark, sf_dir).select("event_id", exports.parse_timestamp(name).alias("parsed"))
 
 
-@query(from_particles(f"SELECT export_name AS object_id, round(equivalent_diameter * {d(PIXEL)}, 6) AS object_area_dia, round(major_axis_length * {d(PIXEL)}, 6) AS object_major, round(minor_axis_length * {d(PIXEL)}, 6) AS object_minor, round(solidity, 6) AS object_solidity, strftime(timestamp, '%Y%m%d') AS object_date, strftime(timestamp, '%H%M%S') AS object_time, export_name || '.png' AS img_file_name, 0::bigint AS img_rank, 'p-s' AS sample_stationid FROM particles WHERE export_name <> 'not_exported'"))
-def ecotaxa_rows(spark, sf_dir):
-    return rounded(exports.interchange(parts(spark, sf_dir), PIXEL, "p", "s"))
-
-
 @query(from_particles("SELECT event_id, " + ", ".join(f"{g}({a} {s} {e}, {z}) AS {a}" for a, s, e, g, z in (("minr", "-", "round_even((maxr - minr) * 0.3::double / 2, 0)", "greatest", "0.0::double"), ("maxr", "+", "round_even((maxr - minr) * 0.3::double / 2, 0)", "least", "2048.0::double"), ("minc", "-", "round_even((maxc - minc) * 0.3::double / 2, 0)", "greatest", "0.0::double"), ("maxc", "+", "round_even((maxc - minc) * 0.3::double / 2, 0)", "least", "2448.0::double"))) + " FROM particles"))
 def expand_bbox(spark, sf_dir):
     return exports.expand_bbox(parts(spark, sf_dir), 0.3, 2048, 2448).select("event_id", "minr", "maxr", "minc", "maxc")
@@ -452,8 +452,9 @@ def label_measure(spark, sf_dir):
 BOX = "abs(p.minr - g.minr) + abs(p.minc - g.minc) + abs(p.maxr - g.maxr) + abs(p.maxc - g.maxc)"
 
 
-@query(from_particles(f", p AS (SELECT timestamp AS frame, event_id AS particle, minr, minc, maxr, maxc FROM particles), g AS (SELECT frame, particle AS region, particle % 50 AS ifocus, minr, minc, maxr, maxc FROM p WHERE particle % 3 = 0), b AS (SELECT p.frame, p.particle, g.region, g.ifocus, row_number() OVER (PARTITION BY p.frame, p.particle ORDER BY {BOX}, g.region) AS k FROM p JOIN g ON p.frame = g.frame) SELECT p.particle, b.region::double AS region, b.ifocus::double AS ifocus, round(2.0::double + b.ifocus * 0.5::double, 6) AS z FROM p LEFT JOIN b ON p.frame = b.frame AND p.particle = b.particle AND k = 1"))
+@query(from_particles(f", p AS (SELECT timestamp AS frame, event_id AS particle, minr, minc, maxr, maxc FROM particles), g AS (SELECT frame, particle AS region, particle % 50 AS ifocus, minr + 30 AS minr, minc + 30 AS minc, maxr + 30 AS maxr, maxc + 30 AS maxc FROM p), b AS (SELECT p.frame, p.particle, g.region, g.ifocus, row_number() OVER (PARTITION BY p.frame, p.particle ORDER BY {BOX}, g.region) AS k FROM p JOIN g ON p.frame = g.frame) SELECT p.particle, b.region::double AS region, b.ifocus::double AS ifocus, round(2.0::double + b.ifocus * 0.5::double, 6) AS z FROM p LEFT JOIN b ON p.frame = b.frame AND p.particle = b.particle AND k = 1"))
 def merge_stats(spark, sf_dir):
     p = parts(spark, sf_dir).select(F.col("timestamp").alias("frame"), F.col("event_id").alias("particle"), "minr", "minc", "maxr", "maxc")
-    g = p.where("particle % 3 = 0").withColumnRenamed("particle", "region").withColumn("ifocus", F.col("region") % 50)
+    moved = {c: F.col(c) + 30 for c in ("minr", "minc", "maxr", "maxc")}  # boxes of the regions, a little off those of the particles
+    g = p.withColumns(moved).withColumnRenamed("particle", "region").withColumn("ifocus", F.col("region") % 50)
     return rounded(particles.merged(p, g, 2.0, 0.5).select("particle", F.col("region").cast("double").alias("region"), F.col("ifocus").cast("double").alias("ifocus"), "z"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def moving_background(pixels: DataFrame, frames: int, block: int = 256) -> DataFrame:
     """Add ``bg``, the mean of the pixel in the ``frames`` frames before; the first ``frames`` frames go.
 
-    ``frame`` counts the frames without gaps. Frames are dealt out in blocks, each with the
-    last ``frames`` frames of the block before, so no task holds a pixel's whole history.
+    ``frame`` counts the frames without gaps. Frames are dealt out in blocks of at least
+    ``frames`` frames, each with the last ``frames`` frames of the block before, so no task
+    holds a pixel's whole history.
     """
+    block = max(block, frames)
     own = F.floor(F.col("frame") / block)
     also = F.when(F.col("frame") % block >= block - frames, F.array(own, own + 1)).otherwise(F.array(own))
     by = Window.partitionBy("block", "pos").orderBy("frame").rowsBetween(-frames, -1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.sources import stores
+
 
 def crop(particles: DataFrame, lower: tuple[float, float], upper: tuple[float, float]) -> DataFrame:
     """Centre of the bounding box inside the rectangle, edges included; corners are (row, col)."""
@@ -46,6 +48,12 @@ def in_range(particles: DataFrame, name: str, low: float, high: float, complete:
     return kept.dropna("any") if complete else kept
 
 
+def nulled_outside(particles: DataFrame, name: str, low: float, high: float, columns: list[str]) -> DataFrame:
+    """All rows; where ``name`` is not from low to high, or is null, ``columns`` are null."""
+    inside = F.coalesce(F.col(name).between(low, high), F.lit(False))
+    return particles.withColumns({c: F.when(inside, F.col(c)) for c in columns})
+
+
 def shorter_than(particles: DataFrame, pixel_size: float, max_length: float) -> DataFrame:
     return particles.where(F.col("major_axis_length") * pixel_size < max_length)
 
@@ -64,7 +72,7 @@ def stride_sample(particles: DataFrame, order: list[str], about: int = 500) -> D
     Rows are numbered over the range-dealt partitions: a partition's share is counted and the
     shares before it are added, so no task sees all rows.
     """
-    rows = exported(particles).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = stores.kept(exported(particles).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "stride")  # both uses see one deal
     n = rows.groupBy("part").agg(F.count("*").alias("size"))
     before = n.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     total = n.agg(F.greatest(F.bround(F.sum("size") / about), F.lit(1)).cast("long").alias("step"))

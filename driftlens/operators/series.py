@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import sizes
-from driftlens.operators import distributions
+from driftlens.operators import profiles
 
 
 def interpolated(points: DataFrame, series: DataFrame, value: str, clamp: bool = False, block_hours: int = 24) -> DataFrame:
@@ -37,7 +37,8 @@ def interpolated(points: DataFrame, series: DataFrame, value: str, clamp: bool =
 
 
 def volume_series(particles: DataFrame, times: DataFrame, pixel_size: float, sample_volume: float) -> DataFrame:
-    """A row for each time: 52 volume columns (vd_0 ...), and d50; zeros and null where a time has no particles."""
-    nd = distributions.distribution(particles.join(times, "timestamp", "left_semi"), pixel_size, ["timestamp"], times)
-    wide = nd.groupBy("timestamp").agg(*[F.sum(F.when(F.col("bin") == k, sizes.volume(F.col("n"), F.col("dia"), sample_volume))).alias(f"vd_{k}") for k in range(sizes.COUNT)])
-    return wide.join(distributions.d50(nd, ["timestamp"]), "timestamp", "left")
+    """A row for each time, in order: 52 volume columns (vd_0 ...), and d50; zeros and null where a time has no particles."""
+    rows = times.select("timestamp").distinct().join(profiles.profiles(particles, pixel_size, ["timestamp"]), "timestamp", "left")
+    rows = rows.select("timestamp", F.coalesce("n", profiles.counted(F.create_map().cast("map<int,double>"))).alias("n"))
+    wide = profiles.measured(rows, sample_volume)
+    return wide.select("timestamp", *[F.get("v", F.lit(k)).alias(f"vd_{k}") for k in range(sizes.COUNT)], "d50").orderBy("timestamp")

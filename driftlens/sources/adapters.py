@@ -25,6 +25,7 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", ts.alias("timestamp"), v.alias("equivalent_diameter"), (v * 1.5).alias("major_axis_length"), (v * (F.lit(0.2) + F.lit(0.1) * (e % 8))).alias("minor_axis_length"),
         (F.lit(0.9) + F.lit(0.01) * (e % 10)).alias("solidity"), ((F.col("user_id") * 13) % 2048).cast("double").alias("minr"), ((e * 7) % 2448).cast("double").alias("minc"),
         ((F.col("user_id") * 13) % 2048 + 1 + e % 40).cast("double").alias("maxr"), ((e * 7) % 2448 + 1 + e % 30).cast("double").alias("maxc"),
+        (F.hour(ts) * 4).cast("double").alias("saturation"), F.concat(F.date_format(ts, "'D'yyyyMMdd'T'HHmmss.SSSSSS"), F.lit(".silc")).alias("filename"),
         oil.alias("probability_oil"), ((1 - oil) * 0.6).alias("probability_bubble"), ((1 - oil) * 0.4).alias("probability_oily_gas"), name.alias("export_name"))
 
 

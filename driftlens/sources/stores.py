@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Units and names of the particle columns.
+#: Units and names of the particle columns.
 COLUMN_METADATA = {
     "equivalent_diameter": {"units": "pixels", "long_name": "diameter of a circle of the same area"},
     "major_axis_length": {"units": "pixels", "long_name": "major axis of the ellipse with the same second moments"},
@@ -17,6 +19,34 @@ COLUMN_METADATA = {
 }
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which the cluster shares; a local one only where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="driftlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once and read back: their deal does not change from use to use."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def holds_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has anything but marks such as _SUCCESS."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found, "[^_.]*"))
+    return listed is not None and len(listed) > 0
+
+
 def described(table: DataFrame, extra: dict[str, dict] | None = None) -> DataFrame:
     """The same columns with units and names as column metadata; what a column has already stays."""
     known = {**COLUMN_METADATA, **(extra or {})}
@@ -34,8 +64,13 @@ def append(table: DataFrame, path: str, time: str = "timestamp", about: dict | N
 
 
 def load(spark: SparkSession, *paths: str) -> DataFrame:
-    """Tables of one or more folders as one, by column name; missing columns are null. Filters on ``day`` prune folders."""
-    tables = [spark.read.option("mergeSchema", "true").parquet(p) for p in paths]
+    """Tables of one or more folders as one, by column name; missing columns are null. Filters on ``day`` prune folders.
+
+    A folder to which only empty tables were appended has no schema and is passed over.
+    """
+    tables = [spark.read.option("mergeSchema", "true").parquet(p) for p in paths if holds_rows(spark, p)]
+    if not tables:
+        raise ValueError("no stored rows")
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
@@ -52,10 +87,38 @@ def merge(spark: SparkSession, paths: list[str], target: str, time: str = "times
     """One table of many small ones, in ranges of time, so that files can be skipped by their statistics."""
     if not paths:
         raise ValueError("nothing to merge")
+    if not any(holds_rows(spark, p) for p in paths):
+        return  # empty tables only
     rows = load(spark, *paths).drop("day").withColumn("day", F.to_date(time))
     rows.repartitionByRange("day", time).sortWithinPartitions("day", time).write.mode("overwrite").partitionBy("day").parquet(target)
 
 
+def merge_in_parts(spark: SparkSession, paths: list[str], parts: str, target: str, part_size: int, overwrite_parts: bool = False, time: str = "timestamp") -> None:
+    """``merge`` by way of one table for each ``part_size`` paths in order of name; finished parts are used as they are unless ``overwrite_parts``."""
+    if part_size < 1:
+        raise ValueError("part_size must be at least 1")
+    names, ordered = [], sorted(paths)
+    for k in range(0, len(ordered), part_size):
+        names.append(f"{parts}/part-{k // part_size:04d}")
+        if overwrite_parts or not exists(spark, f"{names[-1]}/_SUCCESS"):
+            merge(spark, ordered[k : k + part_size], names[-1], time)
+    merge(spark, names, target, time)
+
+
+def write_file_list(files: DataFrame, path: str) -> None:
+    """The column ``path`` as lines of text."""
+    files.select("path").write.text(path)
+
+
+def ordered_files(files: DataFrame) -> DataFrame:
+    """Add ``ord``, the place of ``path`` from 0 in order of name; the list's own order does not count."""
+    dealt = kept(files.repartitionByRange("path").withColumn("part", F.spark_partition_id()), "files")
+    share = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    before = share.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("path")) - 1
+    return dealt.withColumn("place", place).join(F.broadcast(before), "part").select("path", (F.col("before") + F.col("place")).alias("ord"))
+
+
 def from_csv(spark: SparkSession, source: str, target: str) -> None:
     """A table of comma-separated values with a header, stored as Parquet."""
     spark.read.csv(source, header=True, inferSchema=True).write.mode("overwrite").parquet(target)

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from driftlens import catalog
+from driftlens import catalog, tables  # noqa: F401  (tables adds queries)
 
 SF = "/root/testdata/sf0.001"
 

@@ -57,3 +57,51 @@ def test_chunk_rules(spark):
     with pytest.raises(ValueError):
         exports.chunked(files, 3, 5)
     assert [r["chunk"] for r in exports.chunked(files, 2, 5).orderBy("ord").collect()] == [0, 0, 0, 1, 1]
+
+
+def test_moving_background_above_a_block(spark):
+    from driftlens.operators import background
+
+    pixels = spark.range(600).selectExpr("id AS frame", "0 AS pos", "double(id * id % 17) AS px")
+    got = {r.frame: r.bg for r in background.moving_background(pixels, 300).collect()}
+    want = {k: sum(i * i % 17 for i in range(k - 300, k)) / 300 for k in range(300, 600)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_image_stats_keeps_frames_without_particles(spark):
+    from driftlens.operators import profiles
+
+    rows = [("a", None, 100.0, "a.silc"), ("b", 9.0, 1.0, "b.silc"), ("b", 1e9, 1.0, "b.silc"), ("c", 10.0, 2.0, None), ("c", 12.0, 2.0, None)]
+    got = {r.timestamp: r for r in profiles.image_stats(spark.createDataFrame(rows, "timestamp string, equivalent_diameter double, saturation double, filename string"), 28.0, 0.5).collect()}
+    assert [(got[k].particle_count, got[k].nc, got[k].filename, got[k].saturation) for k in "abc"] == [(0, 0.0, "a.silc", 100.0), (2, 2.0, "b.silc", 1.0), (2, 4.0, None, 2.0)]
+    assert got["a"].d50 is None and got["a"].junge is None and got["b"].d50 > 0
+
+
+def test_chunks_and_append(spark):
+    import pytest
+
+    from driftlens.operators import exports
+
+    exports.check_chunks(1, True)
+    exports.check_chunks(4, False)
+    for bad in ((0, False), (2, True)):
+        with pytest.raises(ValueError):
+            exports.check_chunks(*bad)
+
+
+def test_merge_in_parts_uses_finished_parts(spark, tmp_path):
+    from driftlens.sources import stores
+
+    make = lambda k: spark.sql(f"SELECT TIMESTAMP_NTZ '2024-01-0{k} 00:00:00' AS timestamp, {k} AS x")
+    paths = [f"file://{tmp_path}/{k}" for k in (1, 2, 3)]
+    for k, p in enumerate(paths, 1):
+        stores.append(make(k), p)
+    stores.append(make(4).limit(0), f"file://{tmp_path}/4")
+    where = (f"file://{tmp_path}/parts", f"file://{tmp_path}/all", 2)
+    stores.merge_in_parts(spark, [*paths, f"file://{tmp_path}/4"], *where)
+    assert sorted(r.x for r in stores.load(spark, where[1]).collect()) == [1, 2, 3]
+    stores.append(make(5), paths[0])
+    stores.merge_in_parts(spark, paths, *where)
+    assert sorted(r.x for r in stores.load(spark, where[1]).collect()) == [1, 2, 3]
+    stores.merge_in_parts(spark, paths, *where, overwrite_parts=True)
+    assert sorted(r.x for r in stores.load(spark, where[1]).collect()) == [1, 2, 3, 5]
