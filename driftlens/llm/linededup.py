@@ -54,7 +54,8 @@ class LineRuns:
     def _write(self, hashes: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
         with shuffle_cleanup(self.spark):
-            hashes.write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", f"{self.space.path}/{name}").saveAsTable(name)
+            # no more writing tasks than buckets: each leaves a file in every bucket that it has rows of
+            hashes.coalesce(self.buckets).write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", f"{self.space.path}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
