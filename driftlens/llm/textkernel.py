@@ -17,7 +17,7 @@ _BI = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 #: Bytes of text that one step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
