@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import bpe, decontam, langid, linededup, pii, quality, quotes, setjoin, sufdedup, warc
+from driftlens.llm import bpe, curriculum, decontam, deltalloyd, langid, linededup, oracles, pii, quality, quotes, setjoin, sufdedup, turnscan, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +64,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deltalloyd.described(*deltalloyd.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_turn_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnscan.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.taken_words(curriculum.training_order(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii, "op2_quotes": op2_quotes, "op6_suffix_dedup": op6_suffix_dedup,
     "op3_quality": op3_quality, "op4_warc": op4_warc, "op5_bpe": op5_bpe, "op7_set_join": op7_set_join,
     "op8_decontaminate": op8_decontaminate, "op9_language": op9_language, "op10_line_dedup": op10_line_dedup,
+    "op11_delta_lloyd": op11_delta_lloyd, "op12_turn_scan": op12_turn_scan, "op13_curriculum": op13_curriculum,
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -128,4 +141,5 @@ SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY t.thread, m
        coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, reply_to, t.thread, t.depth
 FROM m JOIN o USING (conv_id, turn) JOIN t USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_quotes": OP2_SQL, "op7_set_join": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quotes": OP2_SQL, "op7_set_join": OP7_SQL, "op10_line_dedup": OP10_SQL,
+                              "op11_delta_lloyd": oracles.OP11_SQL, "op12_turn_scan": oracles.OP12_SQL, "op13_curriculum": oracles.OP13_SQL}

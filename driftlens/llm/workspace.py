@@ -8,7 +8,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go as soon as an action ends; a bucket of one file counts as sorted.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,13 +23,15 @@ def shared_root(spark: SparkSession) -> str:
 
 @contextmanager
 def shuffle_cleanup(spark: SparkSession):
-    """Shuffle files of the actions inside go as soon as each action ends: their result is on disk."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """For actions whose result is on disk when they end: their shuffle files go then, and sorted buckets are not sorted again."""
+    before = {key: spark.conf.get(key, "false") for key in _WHILE_WRITING}
+    for key, value in _WHILE_WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class Workspace:
@@ -41,6 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def keep(self, df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
@@ -58,3 +62,23 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep_bucketed(self, df: DataFrame, label: str, buckets: int, *columns: str, partition_by: str | None = None) -> DataFrame:
+        """A table of ``buckets`` by ``columns``, sorted by them: joins on them deal nothing out."""
+        name = f"{label}_{uuid.uuid4().hex}"
+        writer = df.write.bucketBy(buckets, *columns).sortBy(*columns).option("path", f"{self.path}/{name}")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        with shuffle_cleanup(self.spark):
+            writer.saveAsTable(name)
+        self.tables[label] = name
+        return self.spark.table(name)
+
+    def drop_bucketed(self, label: str) -> None:
+        name = self.tables.pop(label)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.drop(name)
+
+    def drop_all_bucketed(self) -> None:
+        for label in list(self.tables):
+            self.drop_bucketed(label)
