@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.operators import ranks
+
 # Columns of the interchange table, what each comes from, and its type there.
 INTERCHANGE = {
     "img_file_name": ("export_name", "[t]"), "img_rank": ("img_rank", "[f]"), "object_id": ("export_name", "[t]"), "object_lat": ("latitude", "[f]"), "object_lon": ("longitude", "[f]"),
@@ -25,18 +27,12 @@ def append(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def numbered(images: DataFrame, time: str = "timestamp") -> DataFrame:
-    """Add ``ord``, the place in time order from 0: rows before the day, and the place within it.
+def numbered(images: DataFrame, time: str = "timestamp", *ties: str) -> DataFrame:
+    """Add ``ord``, the place in time order from 0; null times come first.
 
-    Only the counts of days meet in one task. Null times come first.
+    Rows of equal times go by ``ties``; without them their order is that of this run only.
     """
-    day = F.to_date(time)
-    counts = images.groupBy(day.alias("day")).agg(F.count("*").alias("in_day"))
-    before = F.coalesce(F.sum("in_day").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("day").alias("counted"), before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("day").orderBy(time)) - 1
-    rows = images.withColumn("day", day).withColumn("place", place)
-    return rows.join(counts, F.col("day").eqNullSafe(F.col("counted"))).withColumn("ord", F.col("before") + F.col("place")).drop("day", "counted", "place", "before")
+    return ranks.numbered(images, F.col(time).asc_nulls_first(), *ties, name="ord")
 
 
 def chunked(files: DataFrame, chunks: int, total: int, strategy: str = "block") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.sources import stores
+from driftlens.operators import ranks
 
 
 def crop(particles: DataFrame, lower: tuple[float, float], upper: tuple[float, float]) -> DataFrame:
@@ -67,17 +67,10 @@ def exportable(particles: DataFrame, min_length: float) -> DataFrame:
 
 
 def stride_sample(particles: DataFrame, order: list[str], about: int = 500) -> DataFrame:
-    """Every k-th exported particle in ``order``, k = max(round(n / about), 1), halves to even.
-
-    Rows are numbered over the range-dealt partitions: a partition's share is counted and the
-    shares before it are added, so no task sees all rows.
-    """
-    rows = stores.kept(exported(particles).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "stride")  # both uses see one deal
-    n = rows.groupBy("part").agg(F.count("*").alias("size"))
-    before = n.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    total = n.agg(F.greatest(F.bround(F.sum("size") / about), F.lit(1)).cast("long").alias("step"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return rows.withColumn("within", within).join(F.broadcast(before), "part").crossJoin(F.broadcast(total)).where((F.col("before") + F.col("within")) % F.col("step") == 0).drop("part", "within", "size", "before", "step")
+    """Every k-th exported particle in ``order``, k = max(round(n / about), 1), halves to even."""
+    rows = ranks.numbered(exported(particles), *order, name="place")
+    step = rows.agg(F.greatest(F.bround(F.count("*") / about), F.lit(1)).cast("long").alias("step"))  # one row
+    return rows.crossJoin(F.broadcast(step)).where(F.col("place") % F.col("step") == 0).drop("place", "step")
 
 
 def nth_by(particles: DataFrame, column: str, n: int, tie: str = "event_id") -> DataFrame:

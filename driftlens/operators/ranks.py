@@ -37,5 +37,8 @@ def running(table: DataFrame, value: Column, groups: list[str], before: str) ->
 
 def numbered(rows: DataFrame, *order: str | Column, name: str = "ord") -> DataFrame:
     """Add ``name``, the place from 0 in ``order``."""
-    table = dealt(rows.withColumn("__all", F.lit(0)), *order)
-    return running(table, F.lit(1).cast("long"), ["__all"], name).drop("__all", PART, AT)
+    table = dealt(rows, *order)
+    sizes = table.groupBy(PART).agg(F.count("*").alias("__size"), F.min(AT).alias("__first"))  # a row a range
+    before = F.coalesce(F.sum("__size").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = sizes.select(PART, (before - F.col("__first")).alias("__moved"))
+    return table.join(F.broadcast(moved), PART).withColumn(name, F.col(AT) + F.col("__moved")).drop(PART, AT, "__moved")

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Units and names of the particle columns.
@@ -19,13 +19,20 @@ COLUMN_METADATA = {
 }
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which the cluster shares; a local one only where that is unset (tests)."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the cluster shares. Where it is unset a session on one machine (tests) gets a folder there; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="driftlens-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -93,16 +100,12 @@ def merge(spark: SparkSession, paths: list[str], target: str, time: str = "times
     rows.repartitionByRange("day", time).sortWithinPartitions("day", time).write.mode("overwrite").partitionBy("day").parquet(target)
 
 
-def merge_in_parts(spark: SparkSession, paths: list[str], parts: str, target: str, part_size: int, overwrite_parts: bool = False, time: str = "timestamp") -> None:
-    """``merge`` by way of one table for each ``part_size`` paths in order of name; finished parts are used as they are unless ``overwrite_parts``."""
-    if part_size < 1:
-        raise ValueError("part_size must be at least 1")
-    names, ordered = [], sorted(paths)
-    for k in range(0, len(ordered), part_size):
-        names.append(f"{parts}/part-{k // part_size:04d}")
-        if overwrite_parts or not exists(spark, f"{names[-1]}/_SUCCESS"):
-            merge(spark, ordered[k : k + part_size], names[-1], time)
-    merge(spark, names, target, time)
+def put(table: DataFrame, path: str, part: str) -> None:
+    """Write rows so that writing them again changes nothing: what is stored under the same values of ``part`` is replaced, the rest stays.
+
+    Writers of different parts do not disturb each other. A part without rows is not touched.
+    """
+    table.repartition(part, F.xxhash64(*[f"`{c}`" for c in table.columns])).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
 def write_file_list(files: DataFrame, path: str) -> None:
@@ -110,15 +113,6 @@ def write_file_list(files: DataFrame, path: str) -> None:
     files.select("path").write.text(path)
 
 
-def ordered_files(files: DataFrame) -> DataFrame:
-    """Add ``ord``, the place of ``path`` from 0 in order of name; the list's own order does not count."""
-    dealt = kept(files.repartitionByRange("path").withColumn("part", F.spark_partition_id()), "files")
-    share = dealt.groupBy("part").agg(F.count("*").alias("size"))
-    before = share.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
-    place = F.row_number().over(Window.partitionBy("part").orderBy("path")) - 1
-    return dealt.withColumn("place", place).join(F.broadcast(before), "part").select("path", (F.col("before") + F.col("place")).alias("ord"))
-
-
 def from_csv(spark: SparkSession, source: str, target: str) -> None:
     """A table of comma-separated values with a header, stored as Parquet."""
     spark.read.csv(source, header=True, inferSchema=True).write.mode("overwrite").parquet(target)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlens.catalog import PIXEL, PIXELS_SQL, STATS_SQL, VOLUME, FILES, d, files, from_particles, parts, query, rounded
-from driftlens.operators import background, classes, exports, filters, profiles
-from driftlens.sources import adapters, stores
+from driftlens.operators import background, classes, exports, filters, profiles, ranks
+from driftlens.sources import adapters, merges, stores
 
 HALF = "2024-01-10 00:00:00"
 
@@ -32,14 +32,15 @@ def image_stats_union(spark, sf_dir):
 
 @query(from_particles("SELECT event_id, timestamp, round(equivalent_diameter, 6) AS equivalent_diameter, CASE WHEN event_id >= 500 THEN round(solidity, 6) END AS solidity FROM particles"))
 def stored_merge(spark, sf_dir):
-    """Particles appended to three tables, one without solidity, merged two at a time."""
+    """Particles appended to three tables, one without solidity; two are merged, then all three, so that the second comes between."""
     rows = rounded(parts(spark, sf_dir).select("event_id", "timestamp", "equivalent_diameter", "solidity"))
     folder = stores.scratch(spark, "particles")
     pieces = [rows.where("event_id < 500").drop("solidity"), rows.where("event_id >= 500 AND event_id < 800"), rows.where("event_id >= 800")]
     for k, piece in enumerate(pieces):
         stores.append(piece, f"{folder}/{k}", about={"piece": k})
-    stores.merge_in_parts(spark, [f"{folder}/{k}" for k in range(len(pieces))], f"{folder}/parts", f"{folder}/all", 2)
-    return stores.load(spark, f"{folder}/all").drop("day")
+    for names in ((0, 2), (0, 1, 2)):
+        merges.merge_in_parts(spark, [f"{folder}/{k}" for k in names], f"{folder}/all", 2)
+    return merges.merged(spark, f"{folder}/all").drop("day")
 
 
 @query(from_particles("SELECT filename AS path, row_number() OVER (ORDER BY filename) - 1 AS ord FROM (SELECT DISTINCT filename FROM particles)"))
@@ -47,7 +48,7 @@ def file_list(spark, sf_dir):
     """The names of the images written as a list, read back and put in order."""
     path = stores.scratch(spark, "files")
     stores.write_file_list(parts(spark, sf_dir).select(F.col("filename").alias("path")).distinct(), path)
-    return stores.ordered_files(stores.file_list(spark, path))
+    return ranks.numbered(stores.file_list(spark, path), "path")
 
 
 @query(from_particles(FILES + ", c AS (SELECT timestamp, ord, floor(ord / ceil(n / 4.0))::bigint AS chunk FROM f) SELECT timestamp, ord, chunk, false AS is_background FROM c UNION ALL SELECT c.timestamp, c.ord, s.chunk, true FROM c CROSS JOIN (SELECT DISTINCT chunk FROM c WHERE chunk > 0) s WHERE c.ord < 5"))

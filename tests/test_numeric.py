@@ -87,21 +87,3 @@ def test_chunks_and_append(spark):
     for bad in ((0, False), (2, True)):
         with pytest.raises(ValueError):
             exports.check_chunks(*bad)
-
-
-def test_merge_in_parts_uses_finished_parts(spark, tmp_path):
-    from driftlens.sources import stores
-
-    make = lambda k: spark.sql(f"SELECT TIMESTAMP_NTZ '2024-01-0{k} 00:00:00' AS timestamp, {k} AS x")
-    paths = [f"file://{tmp_path}/{k}" for k in (1, 2, 3)]
-    for k, p in enumerate(paths, 1):
-        stores.append(make(k), p)
-    stores.append(make(4).limit(0), f"file://{tmp_path}/4")
-    where = (f"file://{tmp_path}/parts", f"file://{tmp_path}/all", 2)
-    stores.merge_in_parts(spark, [*paths, f"file://{tmp_path}/4"], *where)
-    assert sorted(r.x for r in stores.load(spark, where[1]).collect()) == [1, 2, 3]
-    stores.append(make(5), paths[0])
-    stores.merge_in_parts(spark, paths, *where)
-    assert sorted(r.x for r in stores.load(spark, where[1]).collect()) == [1, 2, 3]
-    stores.merge_in_parts(spark, paths, *where, overwrite_parts=True)
-    assert sorted(r.x for r in stores.load(spark, where[1]).collect()) == [1, 2, 3, 5]
