@@ -33,6 +33,21 @@ def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     return out.reshape(rows, cols)
 
 
+def crops(im: np.ndarray, label: np.ndarray, expansion: float = 0.0) -> list[np.ndarray]:
+    """The pixels of each label's box, grown by round(size * expansion / 2) on every side (halves to even) and kept inside the frame."""
+    rows, cols = label.shape
+    at = np.flatnonzero(label)
+    of = label.ravel()[at] - 1
+    n = int(label.max())
+    low, high = np.full((2, n), max(rows, cols)), np.zeros((2, n), int)
+    for k, x in enumerate((at // cols, at % cols)):
+        np.minimum.at(low[k], of, x)
+        np.maximum.at(high[k], of, x + 1)
+    pad = np.rint((high - low) * expansion / 2).astype(int)
+    low, high = np.maximum(low - pad, 0), np.minimum(high + pad, [[rows], [cols]])
+    return [im[low[0, k] : high[0, k], low[1, k] : high[1, k]] for k in range(n)]
+
+
 def without_small(mask: np.ndarray, least: int) -> np.ndarray:
     """Components (sides only) of fewer than ``least`` pixels go."""
     label = components(mask, diagonal=False)

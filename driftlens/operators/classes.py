@@ -39,16 +39,18 @@ def per_class(particles: DataFrame, images: DataFrame, threshold: float, sample_
 
 
 def split_per_class(rows: DataFrame, label: str, identity: str, per_class: int, seed: int = 0) -> DataFrame:
-    """Add ``part``: of each class min(per_class, n - 1) rows, drawn by a hash, are for validation, the others for training.
+    """Add ``part``: of each class min(per_class, n - 1) of its n identities, drawn by a hash, are for validation, the others for training.
 
-    The draw keeps ``per_class`` rows a class before they meet, so a large class is in no one task.
+    Rows that repeat an identity of a class go to the same part. The draw keeps ``per_class``
+    identities a class before they meet, so a large class is in no one task. Rows without a class or an identity are for training.
     """
     draw = F.md5(F.concat(F.col(identity).cast("string"), F.lit(f"-{seed}")))
+    each = rows.where(F.col(identity).isNotNull() & F.col(label).isNotNull()).select(label, identity).distinct()
     place = F.row_number().over(Window.partitionBy(label).orderBy("draw", identity))
-    few = rows.select(identity, label, draw.alias("draw")).withColumn("place", place).where(F.col("place") <= per_class)
-    sizes = rows.groupBy(label).agg(F.count("*").alias("size"))
-    chosen = few.join(sizes, label).where(F.col("place") <= F.col("size") - 1).select(identity, F.lit("validation").alias("drawn"))
-    return rows.join(chosen, identity, "left").withColumn("part", F.coalesce("drawn", F.lit("training"))).drop("drawn")
+    few = each.withColumn("draw", draw).withColumn("place", place).where(F.col("place") <= per_class)
+    sizes = each.groupBy(label).agg(F.count("*").alias("size"))
+    chosen = few.join(sizes, label).where(F.col("place") <= F.col("size") - 1).select(label, identity, F.lit("validation").alias("drawn"))
+    return rows.join(chosen, [label, identity], "left").withColumn("part", F.coalesce("drawn", F.lit("training"))).drop("drawn")
 
 
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -79,16 +79,19 @@ def measured(rows: DataFrame, sample_volume: float) -> DataFrame:
     return rows.drop("_run", "_below", "_first", "_points", "_x", "_y")
 
 
-def image_stats(particles: DataFrame, pixel_size: float, sample_volume: float, key: str = "timestamp") -> DataFrame:
-    """A row an image: filename, particle_count, saturation, d50, nc, vc, sample_volume and junge.
+def image_stats(particles: DataFrame, pixel_size: float, sample_volume: float, key: str | list[str] = "timestamp", also: tuple[str, ...] = ()) -> DataFrame:
+    """A row an image: filename, particle_count, saturation, d50, nc, vc, sample_volume, junge and ``also``.
 
-    An image without particles is one row with a null diameter, so refused and empty
-    frames are kept: they have counts and concentrations of 0 and no d50 or junge.
+    An image without particles is one row with a null diameter, as ``particles.extracted`` makes them, so refused, broken and empty
+    frames are kept: they have counts and concentrations of 0 and no d50 or junge. ``also``
+    are columns that are the same for all rows of an image.
     """
-    rows = profiles(particles, pixel_size, [key], ["filename", "saturation"])
-    return measured(rows, sample_volume).select(key, "filename", "particle_count", "saturation", "d50", "nc", "vc", F.lit(sample_volume).alias("sample_volume"), "junge")
+    keys = [key] if isinstance(key, str) else key
+    firsts = [c for c in ("filename", "saturation", *also) if c not in keys]
+    rows = measured(profiles(particles, pixel_size, keys, firsts), sample_volume)
+    return rows.select(*dict.fromkeys([*keys, "filename", "particle_count", "saturation", "d50", "nc", "vc"]), F.lit(sample_volume).alias("sample_volume"), "junge", *also)
 
 
 def last_image(stats: DataFrame, key: str = "timestamp") -> DataFrame:
-    """The row of the latest image."""
-    return stats.orderBy(F.col(key).desc_nulls_last()).limit(1)
+    """The row of the latest image; of equal times that with the greatest filename."""
+    return stats.orderBy(F.col(key).desc_nulls_last(), F.col("filename").desc_nulls_last()).limit(1)

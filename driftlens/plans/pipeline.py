@@ -5,14 +5,47 @@ from __future__ import annotations
 import importlib
 import tomllib
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import kernels
-from driftlens.operators import particles
+from driftlens.operators import exports, particles, profiles
+from driftlens.sources import stores
+
+@dataclass
+class Project:
+    """What is told of a deployment; other values go into ``more``."""
+
+    title: str = "NOT_SPECIFIED"
+    project_name: str = "NOT_SPECIFIED"
+    instrument: str = "NOT_SPECIFIED"
+    seavox_instrument_identifier: str = "NOT_SPECIFIED"
+    longitude: float | None = None
+    latitude: float | None = None
+    station: str = "NOT_SPECIFIED"
+    creator_name: str = "NOT_SPECIFIED"
+    creator_email: str = "NOT_SPECIFIED"
+    creator_url: str = "NOT_SPECIFIED"
+    institution: str = "NOT_SPECIFIED"
+    license: str = "CC BY-SA 4.0 https://creativecommons.org/licenses/by-sa/4.0/"
+    more: dict = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, told: dict) -> Project:
+        """From a dictionary, as read from JSON; a known field of the wrong type is an error."""
+        known = {f.name: f.type for f in fields(cls) if f.name != "more"}
+        for name in known:
+            value = told.get(name)
+            fits = isinstance(value, (int, float)) and not isinstance(value, bool) or value is None if "float" in known[name] else isinstance(value, str)
+            if name in told and not fits:
+                raise ValueError(f"{name} may not be {value!r}")
+        more = {**told.get("more", {}), **{k: v for k, v in told.items() if k not in known and k != "more"}}
+        return cls(**{k: told[k] for k in known if k in told}, more=more)
+
 
 STEPS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -63,18 +96,47 @@ def darkest_channel(frames: DataFrame) -> DataFrame:
 
 
 @step
-def segment(frames: DataFrame, threshold: float = 0.98, minimum_area: int = 12, fill_holes: bool = True) -> DataFrame:
+def segment(frames: DataFrame, threshold: float = 0.98, minimum_area: int = 12, fill_holes: bool = True, method: str = "fast") -> DataFrame:
     """Add ``dark array<boolean>``."""
+    if method != "fast":
+        raise ValueError(f"unknown segmentation method {method!r}")
     return _per_frame(frames, "dark", "array<boolean>", lambda im: kernels.segmented(im, threshold, minimum_area, fill_holes))
 
 
 @step
-def statistics(frames: DataFrame, max_coverage: float = 30.0, max_particles: int = 5000, frame: str = "timestamp") -> DataFrame:
-    """One row a particle, with the frame's ``saturation``. Frames covered as much as allowed or more have no particles."""
-    dark = F.aggregate("dark", F.lit(0), lambda n, x: n + x.cast("int"))
-    masks = frames.where("dark IS NOT NULL").withColumn("saturation", dark / F.size("dark") * 100 / max_coverage * 100).withColumn("frame", F.col(frame))
-    found = particles.measured(particles.labelled(masks.where("saturation < 100")), max_particles)
-    return found.join(masks.select("frame", "saturation"), "frame").withColumnRenamed("frame", frame)
+def statistics(frames: DataFrame, max_coverage: float = 30.0, max_particles: int = 5000, frame: str = "timestamp", export: bool = False, min_length: float = 0.0, bbox_expansion: float = 0.0) -> DataFrame:
+    """One row a particle and one for each frame without any (see ``particles.extracted``), so empty, refused and broken frames stay.
+
+    ``export_name`` is ``D<time>-PN<n>`` for particles longer than ``min_length`` and wider than 2
+    pixels if ``export`` is set, which also adds their pixels as ``roi``, else ``not_exported``.
+    """
+    keys = [c for c in dict.fromkeys((frame, "path", "timestamp")) if c in frames.columns]
+    rows = particles.extracted(frames, keys, max_coverage, max_particles, export, bbox_expansion)
+    name = F.concat(F.date_format("timestamp", "'D'yyyyMMdd'T'HHmmss.SSSSSS"), F.lit("-PN"), (F.col("label") - 1).cast("string"))
+    chosen = (F.col("major_axis_length") > min_length) & (F.col("minor_axis_length") > 2)
+    rows = rows.withColumn("export_name", F.coalesce(F.when(chosen & F.lit(export), name), F.lit("not_exported")))
+    if export:
+        rows = rows.withColumn("roi", F.when(F.col("export_name") != "not_exported", F.col("roi")))
+    return rows.withColumnRenamed("path", "filename") if "path" in keys else rows.withColumn("filename", F.lit(None).cast("string"))
+
+
+@dataclass
+class Outputs:
+    """Particles, a row of image statistics for every frame, and the pixels of exported particles; all read the rows that were written once."""
+
+    particles: DataFrame
+    frames: DataFrame
+    rois: DataFrame | None
+
+
+def outputs(rows: DataFrame, pixel_size: float, sample_volume: float, key: str | list[str] = "timestamp") -> Outputs:
+    """Write the result of ``statistics`` once and read it as three tables. ``frames`` has the ``reason`` of frames without particles."""
+    held = stores.kept(rows, "statistics")
+    frames = profiles.image_stats(held, pixel_size, sample_volume, key, ("reason",))
+    rois = None
+    if "roi" in held.columns:
+        rois = held.where("roi IS NOT NULL").select(*exports.roi_place(F.col("export_name")), "roi.*")
+    return Outputs(held.where("label IS NOT NULL").drop("roi", "reason"), frames, rois)
 
 
 def load(path: str) -> dict:
@@ -96,15 +158,44 @@ def find(name: str) -> Callable[..., DataFrame]:
     return getattr(importlib.import_module(module), function)
 
 
-def build(frames: DataFrame, settings: dict) -> DataFrame:
-    """The plan of all steps in their order; nothing runs until its result is read."""
+def build(frames: DataFrame, settings: dict, only: list[str] | None = None) -> DataFrame:
+    """The plan of all steps in their order, or of those named in ``only``; nothing runs until its result is read."""
+    missing = set(only or []) - set(settings["steps"])
+    if missing:
+        raise ValueError(f"unknown steps {sorted(missing)}")
     out = frames
-    for options in settings["steps"].values():
-        options = dict(options)
-        out = find(options.pop("step"))(out, **options)
+    for name, options in settings["steps"].items():
+        if only is None or name in only:
+            options = dict(options)
+            out = find(options.pop("step"))(out, **options)
     return out
 
 
+def changed(settings: dict, **changes: object) -> dict:
+    """A copy with other values: ``changed(settings, segment__threshold=0.8)`` sets a step's option, ``general__pixel_size=...`` a general one."""
+    out = {"general": dict(settings.get("general", {})), "steps": {k: dict(v) for k, v in settings["steps"].items()}}
+    for name, value in changes.items():
+        group, _, option = name.partition("__")
+        target = out["general"] if group == "general" else out["steps"].get(group)
+        if not option or target is None:
+            raise ValueError(f"nothing to set for {name!r}")
+        target[option] = value
+    return out
+
+
+def stored_with(rows: DataFrame, settings: dict, project: Project | None, path: str) -> None:
+    """Append rows with the settings that made them and the project's metadata (see ``again``)."""
+    stores.append(rows, path, about={"settings": settings, "project": asdict(project or Project())})
+
+
+def again(spark: SparkSession, path: str, frames: DataFrame, **changes: object) -> tuple[DataFrame, Project]:
+    """The plan that made a stored table, built anew over ``frames`` with ``changed`` settings, and the project it was stored with."""
+    told = stores.about(stores.load(spark, path))
+    if not told:
+        raise ValueError(f"{path} has no settings")
+    return build(frames, changed(told["settings"], **changes)), Project.of(told["project"])
+
+
 def describe(settings: dict) -> str:
     lines = []
     for k, (name, options) in enumerate(settings["steps"].items(), 1):

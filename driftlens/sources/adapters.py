@@ -16,12 +16,22 @@ def image_time() -> Column:
 
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A particle for each event; an image is an hour."""
+    return as_particles(events(spark, sf_dir))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The particles as a stream of files; a pattern takes a file as well as a folder."""
+    path = f"{sf_dir}/events.parquet"
+    return as_particles(spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path + "*"))
+
+
+def as_particles(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     oil = ((e * 7) % 100) / F.lit(100.0)
     ts = image_time()
     name = F.when(F.col("event_type") == "error", F.lit("not_exported")).otherwise(F.concat(F.date_format(ts, "'D'yyyyMMdd'T'HHmmss.SSSSSS"), F.lit("-PN"), e.cast("string")))
     v = F.col("value")
-    return events(spark, sf_dir).select(
+    return events.select(
         "event_id", ts.alias("timestamp"), v.alias("equivalent_diameter"), (v * 1.5).alias("major_axis_length"), (v * (F.lit(0.2) + F.lit(0.1) * (e % 8))).alias("minor_axis_length"),
         (F.lit(0.9) + F.lit(0.01) * (e % 10)).alias("solidity"), ((F.col("user_id") * 13) % 2048).cast("double").alias("minr"), ((e * 7) % 2448).cast("double").alias("minc"),
         ((F.col("user_id") * 13) % 2048 + 1 + e % 40).cast("double").alias("maxr"), ((e * 7) % 2448 + 1 + e % 30).cast("double").alias("maxc"),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from driftlens.catalog import PIXEL, PIXELS_SQL, STATS_SQL, VOLUME, FILES, d, files, from_particles, parts, query, rounded
+from driftlens.catalog import GUESS, LABEL_SQL, PIXEL, PIXELS_SQL, STATS_SQL, TOP, VOLUME, FILES, d, files, from_particles, masks, parts, query, rounded
 from driftlens.operators import background, classes, exports, filters, profiles, ranks
-from driftlens.sources import adapters, merges, stores
+from driftlens.plans import pipeline
+from driftlens.sources import adapters, merges, rois, stores
+from driftlens.streaming import runner
 
 HALF = "2024-01-10 00:00:00"
 
@@ -109,3 +113,71 @@ def ecotaxa_rows(spark, sf_dir):
 @query("SELECT " + ", ".join(f"'{kind}' AS {name.rstrip('.').replace('?m', 'um')}" for name, (_, kind) in exports.INTERCHANGE.items()))
 def ecotaxa_header(spark, sf_dir):
     return plain(exports.type_header(spark))
+
+
+@query(from_particles("SELECT event_id, timestamp, export_name FROM particles WHERE export_name <> 'not_exported'"))
+def stream_plan(spark, sf_dir):
+    """A configured plan on the particles as a stream, read back from its target."""
+    folder = stores.scratch(spark, "stream")
+    settings = {"steps": {"exported": {"step": "driftlens.operators.filters.exported"}}}
+    runner.run(adapters.event_stream(spark, sf_dir), settings, f"{folder}/rows", f"{folder}/log", available_now=True).awaitTermination()
+    return runner.stored(spark, f"{folder}/rows").select("event_id", "timestamp", "export_name")
+
+
+@query(from_particles("SELECT event_id FROM particles WHERE major_axis_length BETWEEN 10 AND 200 AND export_name <> 'not_exported'"))
+def plan_again(spark, sf_dir):
+    """A table stored with the settings that made it; its plan is built again with another upper limit."""
+    path = stores.scratch(spark, "again")
+    steps = {"range": {"step": "driftlens.operators.filters.in_range", "name": "major_axis_length", "low": 10, "high": 100}, "exported": {"step": "driftlens.operators.filters.exported"}}
+    settings = {"general": {"pixel_size": PIXEL}, "steps": steps}
+    pipeline.stored_with(pipeline.build(parts(spark, sf_dir), settings), settings, pipeline.Project(title="again"), path)
+    return pipeline.again(spark, path, parts(spark, sf_dir), range__high=200)[0].select("event_id")
+
+
+CLASSES = ("oil", "bubble", "oily_gas", "unclassified")
+
+
+@query(from_particles(FILES + f""", c AS (SELECT timestamp, CASE WHEN {TOP} >= 0.5::double THEN replace({GUESS}, 'probability_', '') ELSE 'unclassified' END AS class FROM particles)
+SELECT f.timestamp, floor(ord / ceil(n / 4.0))::bigint AS chunk, """ + ", ".join(f"round(count(*) FILTER (class = '{c}') / {d(VOLUME)}, 6) AS {c}" for c in CLASSES) + f", round(count(class) / {d(VOLUME)}, 6) AS total FROM f LEFT JOIN c USING (timestamp) GROUP BY ALL"))
+def class_sink(spark, sf_dir):
+    """Concentrations by class, written chunk by chunk; one chunk is written twice."""
+    path, (f, n) = stores.scratch(spark, "classes"), files(spark, sf_dir)
+    chunks = exports.chunked(f, 4, n).select("timestamp", "chunk")
+    rows = rounded(classes.per_class(parts(spark, sf_dir), chunks.select("timestamp"), 0.5, VOLUME)).join(chunks, "timestamp")
+    for of in ((0, 1), (1,), (2, 3)):
+        stores.put(rows.where(F.col("chunk").isin(*of)), path, "chunk")
+    return spark.read.parquet(path).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+COVERED, MOST = 60, 3
+
+
+def plan_rows(spark, sf_dir):
+    """Statistics of the frames of 8 x 8 pixels, with pixels of the larger particles; every 17th frame is broken."""
+    px = adapters.pixels(spark, sf_dir).groupBy("frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "px"))), lambda x: x["px"]).alias("px"))  # 64
+    broken = F.col("frame") % 17 == 0
+    time = F.timestamp_seconds(F.col("frame")).cast("timestamp_ntz")
+    rows = masks(spark, sf_dir).join(px, "frame").select("frame", time.alias("timestamp"), F.lit(8).alias("rows"), "cols", F.lit(1).alias("channels"), "px",
+                                                        F.when(~broken, F.col("dark")).alias("dark"), F.when(broken, F.lit("broken")).alias("error"))
+    return pipeline.outputs(pipeline.statistics(rows, COVERED, MOST, "frame", export=True, min_length=3.0), PIXEL, VOLUME, "frame")
+
+
+@query(LABEL_SQL + f""", n AS (SELECT frame, count(*) AS k FROM ms GROUP BY frame), c AS (SELECT frame, avg(dark::int) * 100 / {d(float(COVERED))} * 100 AS s FROM mask GROUP BY frame)
+SELECT frame, CASE WHEN frame % 17 = 0 OR s >= 100 OR k > {MOST} THEN 0 ELSE coalesce(k, 0) END AS particle_count, CASE WHEN frame % 17 <> 0 THEN round(s, 6) END AS saturation,
+       CASE WHEN frame % 17 = 0 THEN 'broken' WHEN s >= 100 THEN 'covered' WHEN k > {MOST} THEN k || ' particles' END AS reason FROM c LEFT JOIN n USING (frame)""")
+def plan_frames(spark, sf_dir):
+    """Every frame of a configured plan, with the reason of those that have no particles."""
+    return rounded(plan_rows(spark, sf_dir).frames.select("frame", "particle_count", "saturation", "reason"))
+
+
+@query(LABEL_SQL + f""", n AS (SELECT frame, count(*) AS k FROM ms GROUP BY frame), c AS (SELECT frame, avg(dark::int) * 100 / {d(float(COVERED))} * 100 AS s FROM mask GROUP BY frame),
+x AS (SELECT ms.*, 4 * sqrt(greatest(round((vr + vc) / 2 + sqrt(((vr - vc) / 2) ** 2 + vrc ** 2), 9), 0)) AS major, 4 * sqrt(greatest(round((vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + vrc ** 2), 9), 0)) AS minor
+  FROM ms JOIN n USING (frame) JOIN c USING (frame) WHERE frame % 17 <> 0 AND s < 100 AND k <= {MOST})
+SELECT strftime(make_timestamp(x.frame * 1000000), 'D%Y%m%dT%H%M%S.%f') || '-PN' || (label - 1) AS export_name, (maxr - minr)::int AS rows, (maxc - minc)::int AS cols, round(sum(px), 6) AS total
+FROM x JOIN pixels p ON p.frame = x.frame AND p.pos // 8 >= minr AND p.pos // 8 < maxr AND p.pos % 8 >= minc AND p.pos % 8 < maxc WHERE major > 3 AND minor > 2 GROUP BY ALL""")
+def roi_store(spark, sf_dir):
+    """Exported particles with their pixels from the bucketed table that the plan's rows were written to."""
+    out, name = plan_rows(spark, sf_dir), f"rois_{uuid.uuid4().hex}"
+    rois.write(out.rois, name, stores.scratch(spark, "rois"), 8)
+    found = rois.with_pixels(spark, out.particles, name)
+    return rounded(found.select("export_name", "rows", "cols", F.aggregate("px", F.lit(0.0), lambda a, x: a + x).alias("total")))

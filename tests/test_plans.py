@@ -47,7 +47,8 @@ def test_plan(spark, tmp_path):
         (tmp_path / "in" / f"D20260101T00000{k}.000000.silc").write_bytes(saved(px))
     (tmp_path / "in" / "D20260101T000007.000000.silc").write_bytes(b"broken")
     out = pipeline.build(frames.read(spark, str(tmp_path / "in")), settings).orderBy("timestamp").collect()
-    assert [(r.area, r.minr, r.minc, r.maxr, r.maxc) for r in out] == [(5 * (5 + k), 5, 5, 10, 10 + k) for k in range(3)]
+    assert [(r.area, r.minr, r.minc, r.maxr, r.maxc) for r in out[:3]] == [(5 * (5 + k), 5, 5, 10, 10 + k) for k in range(3)]
+    assert len(out) == 4 and out[3].label is None and out[3].area is None and "ValueError" in out[3].reason
     assert out[0].saturation == pytest.approx(25 / 1600 * 100 / 30 * 100)
     with pytest.raises(ValueError):
         pipeline.find("nothing")
