@@ -33,7 +33,7 @@ _SAYS = ["my name is", "mein name ist", "ich heiße", "je m'appelle", "je m’ap
 _FIELDS = ["full name", "name", "nom", "nombre", "имя", "όνομα"]
 _CLOSINGS = ["regards", "sincerely", "yours truly", "cheers", "mit freundlichen grüßen", "viele grüße", "cordialement", "saludos", "atentamente", "с уважением", "με εκτίμηση"]
 _TITLE = rf"\b(?:{_TITLES})\.? "
-_LEAD = rf"(?:(?:\b(?iu:{'|'.join(_SAYS)})[ ]|\b(?iu:{'|'.join(_FIELDS)})[ ]?:[ ]*+|\b(?iu:{'|'.join(_CLOSINGS)})[ ]?[,.!]?[ ]*+\r?\n\s*+)(?:{_TITLE})*+|(?:{_TITLE})++)"
+_LEAD = rf"(?:(?:\b(?iu:{'|'.join(_SAYS)})[ ]|\b(?iu:{'|'.join(_FIELDS)})[ ]?:[ ]*+|\b(?iu:{'|'.join(_CLOSINGS)})[ ]?[,.!]?[ ]*+\r?\n\s*+)(?:{_TITLE})*+|(?<!{_TITLE})(?:{_TITLE})++)"
 # A secret runs to its closing quote in the line, else to white space or a double quote; it has no greatest length.
 _KEY = r"(?i:password|passwd|secret|token|api[_-]?key)\\?[\"']?\s*+[=:]\s*+"
 _VALUE = r"(?:\"(?!\")[^\n]*?(?<!\\)\"|'(?!')[^'\n]*+'|(?!'')\\?[\"']?[^\s\"]++)"
@@ -45,9 +45,10 @@ _STRAY = rf"(?:(?:[ -](?!(?:19|20)\d\d(?!\d))\d{{4}}){{1,3}}(?!\d|[ -]\d{{4}}(?!
 _YEAR_FIRST = rf"(?!(?:19|20)\d\d[ -]{_FOURS}(?!\d))"
 # Grouped cards straight ahead: a telephone number does not run on into them.
 _NEXT = r"(?:(?:[ -]\d{4}){4})++(?:[ -](?:(?:19|20)\d\d|\d{1,3}))?(?![ -]?\d)|[ -]\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)"
-#: Patterns in the order in which they are tried; an entity has the first type that matches it.
+#: Patterns in the order in which they are tried; an entity has the first type that matches it. Each reads a run of its characters
+#: once: an address begins where its run does (punctuation before it goes with the match, and is shown as it was), titles where no title is before them.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9])|\G)[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.(?:xn--[A-Za-z0-9-]{1,59}|[A-Za-z]{2,63})",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])[._%+-]*+|\G)[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.(?:xn--[A-Za-z0-9-]{1,59}|[A-Za-z]{2,63})",
     "secret": rf"{_KEY}{_VALUE}|\bAKIA[0-9A-Z]{{16}}\b|\b[0-9a-f]{{32,}}+\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": rf"\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:(?!{_NEXT})[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<!\d)\d{{3}}-\d{{3}}-\d{{4}}(?!\d)",
@@ -105,7 +106,7 @@ def parts_of(raw: Column, kind: Column) -> Column:
     names = words_of(F.regexp_replace(raw, rf"^{_LEAD}", ""))
     given = F.zip_with(F.slice(names, F.lit(1), F.size(names) - 1), F.array_repeat(gender_of(raw), F.size(names) - 1), lambda w, g: one(F.when(is_initial(w), F.lit("initial")).otherwise(F.concat(F.lit("given_"), g)), F.lower(w)))
     person = F.concat(given, F.array(one(F.lit("surname"), F.lower(F.element_at(names, -1)))))
-    return (F.when(kind == "email", F.array(one(kind, F.lower(raw))))
+    return (F.when(kind == "email", F.array(one(kind, F.lower(F.regexp_replace(raw, _BEFORE_MAIL, "")))))
             .when(kind == "secret", F.array(one(kind, secret_value(raw))))
             .when(kind.isin(*DIGITS_ONLY), F.array(one(F.concat(kind, F.when(raw.startswith("+"), F.lit("+")).otherwise(F.lit(""))), F.regexp_replace(raw, r"\D", ""))))
             .when(kind == "ip", F.array(one(kind, raw)))
@@ -133,6 +134,10 @@ def secret_value(raw: Column) -> Column:
     return secret_parts(raw)[1]
 
 
+#: Punctuation that the pattern of addresses takes along.
+_BEFORE_MAIL = r"^[._%+-]+"
+
+
 def _byte(digest: Column, i: Column) -> Column:
     """Byte i of a hex digest of 96 bytes, around again after its end."""
     return F.conv(F.substring(digest, F.pmod(i, F.lit(96)) * 2 + F.lit(1), F.lit(2)), 16, 10).cast("int")
@@ -199,12 +204,14 @@ def render(raw: Column, kind: Column, found: Column) -> Column:
     """The surrogate in the entity's own format: its separators, its case, its quotes; of a person's name in lower case."""
     chars = F.split(raw, "")
     numbered = F.array_join(F.transform(chars, lambda c, i: F.when(c.between("0", "9"), F.substring(found, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x.between("0", "9"))), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substring(found, i + 1, F.lit(1)))).otherwise(F.substring(found, i + 1, F.lit(1)))), "")
+    mail = F.split(F.regexp_replace(raw, _BEFORE_MAIL, ""), "")
+    cased = F.array_join(F.transform(mail, lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substring(found, i + 1, F.lit(1)))).otherwise(F.substring(found, i + 1, F.lit(1)))), "")
+    cased = F.concat(F.regexp_extract(raw, _BEFORE_MAIL, 0), cased)
     lead, _, quote = secret_parts(raw)
     secret = F.concat(lead, found, quote)
     digits = F.size(F.filter(chars, lambda x: x.between("0", "9")))
     rest = lambda n: F.substring(found, n + F.lit(1), F.char_length(found))
-    return F.when(kind.isin(*DIGITS_ONLY), F.concat(numbered, rest(digits))).when(kind == "email", F.concat(cased, rest(F.size(chars)))).when(kind == "secret", secret).otherwise(found)
+    return F.when(kind.isin(*DIGITS_ONLY), F.concat(numbered, rest(digits))).when(kind == "email", F.concat(cased, rest(F.size(mail)))).when(kind == "secret", secret).otherwise(found)
 
 
 def initial(letter: Column, key: str) -> Column:
@@ -258,9 +265,11 @@ def assign(found: DataFrame, key: str, space: Workspace) -> DataFrame:
         k += 1
 
 
-def pseudonymise(docs: DataFrame, key: str = "driftlens", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``text`` with surrogates for entities, and ``n_entities`` (bigint).
 
+    Who knows ``key`` can tell whether a guessed entity has a surrogate, so it is to be kept secret; runs with one key
+    agree, runs with two have nothing in common.
     A null text stays null, and an empty one empty, with 0 entities. Rows that repeat are
     replaced alike; a null id stays null. Other columns are not looked at. Texts without
     entities are not dealt out; the others meet their surrogates by a digest of the row. The

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: The session's key of surrogates. Without it each run draws one that nobody keeps.
+PII_KEY = "spark.driftlens.pii.key"
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, None) or secrets.token_hex(32))
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

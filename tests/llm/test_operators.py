@@ -9,10 +9,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftlens.llm import bpe, decontam, langid, linededup, pii, quality, queries, quotes, setjoin, sufdedup, warc
 
 DOC = "doc_id long, text string"
+KEY = "a key for tests"
 
 
 def small(spark):
@@ -133,7 +135,7 @@ def test_warc(spark):
 
 def test_pii(spark):
     data = [(1, "Bosbt.42@Mail8.example.com, +1 (988) 555-2485, 4041894974608795; 152.143.123.131###"), (2, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" Mrs. Anna Schmidt and Mr Schmidt'), (3, None), (4, ""), (5, "v 4.0. of 3"), (5, "v 4.0. of 3"), (6, "bosbt.42@mail8.example.com 4111 1111 1111 1111")]
-    out = [(r.doc_id, r.text) for r in pii.pseudonymise(spark.createDataFrame(data, DOC)).collect()]
+    out = [(r.doc_id, r.text) for r in pii.pseudonymise(spark.createDataFrame(data, DOC), KEY).collect()]
     by = dict(out)
     assert len(out) == 7 and by[3] is None and by[4] == "" and by[5] == "v 4.0. of 3"
     for secret in ("osbt.42", "555-2485", "4041894974608795", "152.143.123.131", "24be6443", "Schmidt", "4111 1111"):
@@ -149,7 +151,7 @@ def test_pii(spark):
 def test_pii_cards_beside_numbers(spark):
     texts = ["4785380592391139 2123465659789240", "70.23.22.57 4111111111111111", "2024 4111111111111111", "2024 4111 1111 1111 1111", "4111 1111 1111 1111 2027",
              "4111-1111-1111-1111 4222-2222-2222-2222", "+1 (988) 555-2485 4041 8949 7460 8795", "+1 (988) 555-2485 3782 822463 10005", "id 7 4111111111111111"]
-    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOC), KEY).collect()}
     for i, t in enumerate(texts):
         for part in re.findall(r"\d{4,}", t):
             assert part in ("2024", "2027") or part not in by[i].text, (t, by[i].text)
@@ -167,7 +169,7 @@ def test_pii_long_short_and_punctuated_secrets(spark):
               4: ('{"password": "correct horse \\" battery", "n": 1}', 'correct horse \\" battery'), 5: ("secret='a b c' end", "a b c"), 6: (f"to {mail}@a.b.c.d.e.f.g.h.example.com end", mail + "@a.b.c.d.e.f.g.h.example"), 7: ("token=пароль! end", "пароль"),
               8: ("api_key = abc==def= end", "abc==def="), 9: ("password: **** end", "****"), 10: ('token="x', "x")}
     values |= {20 + k: (f"token: {k}", str(k)) for k in range(10)}
-    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame([(k, t) for k, (t, _) in values.items()], DOC)).collect()}
+    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame([(k, t) for k, (t, _) in values.items()], DOC), KEY).collect()}
     for k, (t, v) in values.items():
         head, tail = t.split(v) if k not in (9, 10) else t.rsplit(v, 1)
         assert by[k].n_entities == 1 and by[k].text.startswith(head) and by[k].text.endswith(tail), (t, by[k].text)
@@ -178,7 +180,7 @@ def test_pii_long_short_and_punctuated_secrets(spark):
 
 def test_pii_names_and_later_mentions(spark):
     texts = ["Mrs. Anna Schmidt came. Anna Schmidt left; SCHMIDT's car, Schmidt, Smith", "Mr. J. Smith", "Dr. Anna Maria Schmidt and Maria", "my name is Anna Schmidt. Anna!", "Name: Anna von Schmidt\nx@y.org", "Best regards,\nAnna Schmidt", "Prof. Dr. Anna Schmidt", "Anna Schmidt", "Herr J.R.R. Tolkien", "Меня зовут Анна Иванова", "Mr " + "Anna " * 5000]
-    by = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    by = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOC), KEY).collect()}
     for i in (0, 2, 3, 4, 5, 6, 10):
         assert not re.search("anna|maria|schmidt", by[i], re.I), by[i]
     first = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. (\w+) (\w+) left; (\w+)'s car, (\w+), Smith", by[0])
@@ -266,7 +268,7 @@ def test_quality_counts(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOC + ", lang string")
     assert langid.predict(empty, langid.fit(empty)).count() == 0
-    assert linededup.dedup_lines(empty).count() == setjoin.similar_documents(empty).count() == sufdedup.remove_repeats(empty).count() == pii.pseudonymise(empty).count() == 0
+    assert linededup.dedup_lines(empty).count() == setjoin.similar_documents(empty).count() == sufdedup.remove_repeats(empty).count() == pii.pseudonymise(empty, KEY).count() == 0
     assert decontam.contaminated(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert quotes.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -388,7 +390,7 @@ def test_pii_full_formats_and_one_surrogate_a_person(spark):
     texts = [" ".join(mails[k::4]) for k in range(4)] + [", ".join(addresses)] + ["Dr. Peter Novak and Mr Peter Novak", "Mrs Kim Oz, Mr Kim Oz, Prof. Kim Oz", None]
     rows = list(enumerate(texts))
     frame = spark.createDataFrame([(i, t, 1) for i, t in rows], DOC + ", raws int")
-    by = {r.doc_id: r.text for r in pii.pseudonymise(frame).collect()}
+    by = {r.doc_id: r.text for r in pii.pseudonymise(frame, KEY).collect()}
     new = [w for k in range(4) for w in by[k].split()]
     old = [w for k in range(4) for w in texts[k].split()]
     assert len(set(new)) == len(set(old)) == 676 and not set(new) & set(old) and all(w.endswith(".co") for w in new)
@@ -398,3 +400,48 @@ def test_pii_full_formats_and_one_surrogate_a_person(spark):
     assert same and same[1] == same[3] and same[2] == same[4]
     kim = re.fullmatch(r"Mrs (\w+) (\w+), Mr (\w+) (\w+), Prof\. (\w+) (\w+)", by[6])
     assert kim and kim[2] == kim[4] == kim[6]
+
+
+LONG_RUNS = ["a.", "12-34-", "%20", "a-b_c+", "Mr ", "Mr Anna ", "A. ", "4111 ", "+1 234 ", "token=", "name: ", "1.1.1.", "a@", "a@b.", "\n", "é ", "abcdef0123", "von der ", "secret=\"\\\" "]
+
+
+def test_pii_reads_long_runs_once(spark):
+    """Every shape of a megabyte, all in linear time: quadratic ones took minutes to hours."""
+    import time
+
+    pii.pseudonymise(spark.createDataFrame([(1, "a@b.org")], DOC), KEY).collect()  # code is compiled
+    texts = [shape * ((1 << 20) // len(shape)) for shape in LONG_RUNS]
+    began = time.time()
+    got = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(8).select("doc_id", F.size(pii.entities(F.col("text"))).alias("n")).collect()
+    assert len(got) == len(texts) and time.time() - began < 5 * len(texts)
+
+
+def test_pii_mail_after_punctuation(spark):
+    texts = ["--bob@example.org, .bob@example.org (bob@example.org)", "x bob@example.org", "Mr Mr Anna Mr 5", "_%+A.b@example.org"]
+    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOC), KEY).collect()}
+    mail = by[1].text.split()[1]
+    assert mail != "bob@example.org" and by[0].text == texts[0].replace("bob@example.org", mail) and by[0].n_entities == 3
+    assert re.fullmatch(r"_%\+[A-Z]\.[a-z]@[a-z]{7}\.org", by[3].text) and "Anna" not in by[2].text
+
+
+def test_pii_map_of_a_corpus_is_one_to_one(spark):
+    """Of a whole table: no entity is left, equal ones have equal surrogates, and different ones different ones; another key gives others."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r for r in docs.select("doc_id", pii.entities(F.col("text")).alias("raws"), F.split("text", pii.PATTERN, -1).alias("gaps")).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(docs, KEY).collect()}
+    pairs = {}
+    for i, r in before.items():
+        assert out[i].n_entities == len(r.raws or [])
+        at, text = 0, out[i].text or ""
+        for raw, gap, after in zip(r.raws or [], r.gaps, r.gaps[1:] if r.gaps else []):
+            assert text.startswith(gap, at), i
+            at += len(gap)
+            end = text.index(after, at) if after else len(text)
+            if "@" in raw:
+                pairs.setdefault(raw.lower(), set()).add(text[at:end].lower())
+            at = end
+    assert pairs and all(len(v) == 1 for v in pairs.values())
+    fakes = [next(iter(v)) for v in pairs.values()]
+    assert len(set(fakes)) == len(fakes) and not set(fakes) & set(pairs)
+    other = {r.doc_id: r.text for r in pii.pseudonymise(docs, "another").collect()}
+    assert all(other[i] != out[i].text for i in out if out[i].n_entities)
