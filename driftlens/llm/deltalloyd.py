@@ -104,14 +104,16 @@ def compare(centres: list[list[int]], moved: list[int]) -> Callable[[Iterator[pa
     return run
 
 
+def added(sums: DataFrame, dim: int) -> DataFrame:
+    """(cluster, sums): arrays of a count and ``dim`` sums, added up place by place."""
+    places = [F.sum(F.get("sums", F.lit(i))).cast(TOTAL) for i in range(dim + 1)]
+    return sums.groupBy("cluster").agg(F.array(*places).alias("sums"))
+
+
 def next_centres(totals: DataFrame, centres: list[list[int]]) -> list[list[int]]:
-    """Componentwise floor(sum / count); clusters without vectors keep their centroid. Reads one row a cluster and component."""
-    found = {(r.cluster, r.pos): int(r.total) for r in totals.collect()}
-    out = []
-    for c, centre in enumerate(centres):
-        count = found.get((c, 0), 0)
-        out.append([found[c, i + 1] // count for i in range(len(centre))] if count else centre)
-    return out
+    """Componentwise floor(sum / count); clusters without vectors keep their centroid. Reads one row a cluster."""
+    found = {r.cluster: [int(x) for x in r.sums] for r in totals.collect()}
+    return [[x // found[c][0] for x in found[c][1:]] if found.get(c, [0])[0] else centre for c, centre in enumerate(centres)]
 
 
 def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, salt: str = "3", id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, list[list[int]]]:
@@ -127,7 +129,7 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64, sca
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "deltalloyd")
-    buckets = max(16, -(-vectors.count() * dim * 8 // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() * dim * 8 // BUCKET_BYTES))  # a task writes a bucket
     kept = vectors.select(F.col(id_col).alias("id"), integers(F.col(vector_col), dim, scale).alias("v")).where("v IS NOT NULL")
     held = space.keep_bucketed(kept.withColumn("row", F.monotonically_increasing_id()).repartition(buckets, "row"), "vectors", buckets, "row")
     centres = seeds(held, k, salt)
@@ -143,9 +145,8 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dim: int = 64, sca
         owners = passed.where("kind = 0")
         if step == rounds:
             break
-        new = passed.where("kind = 1").select("cluster", F.posexplode("sums").alias("pos", "total"))
-        totals = new if totals is None else totals.unionByName(new)
-        totals = space.keep(totals.groupBy("cluster", "pos").agg(F.sum("total").cast(TOTAL).alias("total")), f"totals{step}")
+        new = passed.where("kind = 1").select("cluster", "sums")
+        totals = space.keep(added(new if totals is None else totals.unionByName(new), dim), f"totals{step}")
         later = next_centres(totals, centres)
         moved = [c for c in range(len(centres)) if later[c] != centres[c]]
         centres = later
