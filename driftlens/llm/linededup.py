@@ -1,21 +1,19 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-The store is a log-structured set of runs. A run is a Parquet table of distinct line hashes,
-bucketed and sorted by hash, so a batch is merge-joined with it without dealing the run out
-again. A batch looks its lines up in the runs (those that no run has are its anti-join), drops what an earlier batch
-or a smaller document of its own batch holds, and adds its new hashes as a run of level 0.
-When a level has ``fan_out`` runs they are compacted into one run of the next level: runs have no
-hash in common, so their sorted buckets are merged file by file and nothing is dealt out.
+The store is a log-structured set of runs. A run is a table of distinct line hashes, bucketed
+and sorted by hash, one file a bucket. A batch's distinct hashes are dealt out by the same
+buckets once and merge-joined with the runs as these lie: a run is neither dealt out nor sorted
+again. The batch drops what an earlier batch or a smaller document of its own holds, and
+adds the hashes that no run has as a run of level 0. When a level has ``fan_out`` runs they are compacted
+into one of the next level, two at a time: a task merges the same bucket of both and writes it as one file.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm.workspace import Workspace, shuffle_cleanup
+from driftlens.llm.workspace import Workspace, as_buckets
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,22 +48,27 @@ class LineRuns:
     def __init__(self, spark: SparkSession, space: Workspace, fan_out: int = 3, buckets: int = 16):
         self.spark, self.space, self.fan_out, self.buckets = spark, space, fan_out, buckets
         self.levels: list[list[str]] = []
+        self.written = 0
 
     def _write(self, hashes: DataFrame, level: int) -> None:
-        name = f"line_run_{uuid.uuid4().hex}"
-        with shuffle_cleanup(self.spark):
-            # no more writing tasks than buckets: each leaves a file in every bucket that it has rows of
-            hashes.coalesce(self.buckets).write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", f"{self.space.path}/{name}").saveAsTable(name)
+        """``hashes`` come with a bucket's rows in one task."""
+        name, self.written = f"line_run{self.written}", self.written + 1
+        self.space.keep_bucketed(hashes.select(*HASHES), name, self.buckets, *HASHES)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        return [self.space.bucketed(name) for level in self.levels for name in level]
+
+    def mark_known(self, lines: DataFrame, label: str) -> DataFrame:
+        """Write distinct ``lines`` in the runs' buckets, with ``known``: whether an earlier batch holds the line."""
+        return self.space.keep_bucketed(self.marked(lines), label, self.buckets, *HASHES)
 
-    def mark_known(self, lines: DataFrame) -> DataFrame:
-        """Add ``known``: true where an earlier batch holds the line."""
+    def marked(self, lines: DataFrame) -> DataFrame:
         known = F.lit(False)
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):  # else they lie so already
+            lines = lines.repartition(self.buckets, *HASHES)
         for k, run in enumerate(self.runs()):
             mark = f"__run{k}"
             lines = lines.join(run.withColumn(mark, F.lit(True)), HASHES, "left")
@@ -73,25 +76,29 @@ class LineRuns:
         return lines.withColumn("known", known).drop(*[f"__run{k}" for k in range(len(self.runs()))])
 
     def add(self, hashes: DataFrame) -> None:
-        """Add a batch's new hashes as a run; compact full levels."""
-        self._write(hashes.select(*HASHES).repartition(self.buckets, *HASHES), 0)
+        """Add a batch's new hashes, read from a table of the same buckets, as a run; compact full levels."""
+        with as_buckets(self.spark):
+            self._write(hashes, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fan_out:
             full, self.levels[level] = self.levels[level], []
-            merged = self.spark.table(full[0])
-            for name in full[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            self._write(merged, level + 1)
-            for name in full:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                self.space.drop(name)
+            while len(full) > 1:  # two at a time, the smaller ones first as they are the later ones
+                one, other = full.pop(), full.pop()
+                self._write(self.merged(one, other), level + 1)
+                full.append(self.levels[level + 1].pop())
+                self.space.drop_bucketed(one)
+                self.space.drop_bucketed(other)
+            self.levels[level + 1].append(full[0])
             level += 1
 
+    def merged(self, one: str, other: str) -> DataFrame:
+        """The hashes of two runs: a merge of their sorted buckets, each in one task."""
+        return self.space.bucketed(one).hint("merge").join(self.space.bucketed(other), HASHES, "full_outer")
+
     def close(self) -> None:
         for level in self.levels:
             for name in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                self.space.drop(name)
+                self.space.drop_bucketed(name)
         self.levels = []
 
 
@@ -120,19 +127,18 @@ def duplicate_lines(docs: DataFrame, space: Workspace, min_chars: int = 10, batc
             .select("id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length(key) >= min_chars))
     part = F.when(F.col("id").isNotNull(), sum([F.when(F.col("id") >= F.lit(x), 1).otherwise(0) for x in bounds], F.lit(0))).alias("batch")
     staged = space.keep(rows.select("id", "text_hash", "pos", *key_hashes(key), part), "lines", partition_by="batch")
-    store = LineRuns(spark, space, buckets=max(16, -(-total // BUCKET_BYTES)))
+    store = LineRuns(spark, space, buckets=max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     dropped = staged.select("id", "text_hash", "pos").limit(0)
     try:
         for k in range(len(bounds) + 1):
             batch = staged.where(F.col("batch") == k).select("id", "text_hash", "pos", *HASHES)
-            firsts = store.mark_known(batch.groupBy(*HASHES).agg(F.min("id").alias("first"), F.max("id").alias("last")))
-            firsts = space.keep(firsts, f"firsts{k}")
+            firsts = store.mark_known(batch.groupBy(*HASHES).agg(F.min("id").alias("first"), F.max("id").alias("last")), f"firsts{k}")
             shared = firsts.where(F.col("known") | (F.col("first") != F.col("last"))).select(*HASHES, F.when(~F.col("known"), F.col("first")).alias("holder"))
             hits = batch.join(shared, HASHES).where(F.col("holder").isNull() | (F.col("id") != F.col("holder"))).select("id", "text_hash", "pos")
             dropped = dropped.unionByName(space.keep(hits, f"dropped{k}"))
             if k < len(bounds):
                 store.add(firsts.where(~F.col("known")))
-            space.drop(f"firsts{k}")
+            space.drop_bucketed(f"firsts{k}")
     finally:
         store.close()
         space.drop("lines")

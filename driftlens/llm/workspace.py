@@ -22,16 +22,28 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffle_cleanup(spark: SparkSession):
-    """For actions whose result is on disk when they end: their shuffle files go then, and sorted buckets are not sorted again."""
-    before = {key: spark.conf.get(key, "false") for key in _WHILE_WRITING}
-    for key, value in _WHILE_WRITING.items():
+def _set(spark: SparkSession, values: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def shuffle_cleanup(spark: SparkSession):
+    """For actions whose result is on disk when they end: their shuffle files go then, and sorted buckets are not sorted again."""
+    return _set(spark, _WHILE_WRITING)
+
+
+def as_buckets(spark: SparkSession):
+    """Bucketed tables are read a bucket a task also where no join asks for it."""
+    return _set(spark, {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"})
 
 
 class Workspace:
@@ -74,6 +86,9 @@ class Workspace:
         self.tables[label] = name
         return self.spark.table(name)
 
+    def bucketed(self, label: str) -> DataFrame:
+        return self.spark.table(self.tables[label])
+
     def drop_bucketed(self, label: str) -> None:
         name = self.tables.pop(label)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
