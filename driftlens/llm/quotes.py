@@ -1,9 +1,13 @@
 """Quotation linking for messages, with DataFrame functions only.
 
 Quoted lines start with one ``>`` for each level (``> >`` and ``>>`` alike). Runs of lines of
-one level are passages; a passage's normalised text is hashed and joined with the hashes of
+one level are passages; a passage's normalised lines are hashed and joined with the hashes of
 what the messages say themselves: the runs of their own lines that begin like a passage and have
 as many lines. So a quotation of any consecutive lines meets its original.
+
+The hash of a run of s lines is that of its first and its last 2^k lines, 2^k being the largest power
+that is at most s; those of 2^k lines come from those of half as many. So each line has
+one hash a power, and a run costs the same however many lines it has.
 """
 
 from __future__ import annotations
@@ -27,8 +31,39 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def hashed(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+def hashed(*columns: Column | str) -> list[Column]:
+    """Two independent 64-bit hashes."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)]
+
+
+def with_powers(lines: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Add ``powers``: for k = 0, 1, ... the hashes of the 2^k lines from each on, up to runs of ``most`` lines. Lines have h1, h2 and pos.
+
+    All windows are over the lines of one ``key`` in one order, so they are dealt out and sorted once.
+    """
+    window, names, k = Window.partitionBy(*key).orderBy("pos"), lines.columns, 0
+    lines = lines.withColumns({"p0": F.col("h1"), "r0": F.col("h2")})
+    while 2 << k <= most:
+        nxt = lambda c: F.lead(c, 1 << k).over(window)  # noqa: B023, E731
+        lines = lines.withColumns({f"p{k + 1}": F.xxhash64(f"p{k}", nxt(f"p{k}")), f"r{k + 1}": F.xxhash64(F.lit("second"), f"r{k}", nxt(f"r{k}"))})
+        k += 1
+    powers = F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.col(f"r{i}").alias("r")) for i in range(k + 1)])
+    return lines.select(*names, powers.alias("powers"))
+
+
+def power_of(size: Column) -> Column:
+    """The k of the largest 2^k that is at most ``size``."""
+    return F.char_length(F.bin(size)) - 1
+
+
+def tail_of(size: Column) -> Column:
+    """How far from a run's first line its last 2^k lines begin."""
+    return size - F.pow(F.lit(2.0), power_of(size)).cast("int")
+
+
+def run_hashes(size: str, first: Column, last: Column) -> list[Column]:
+    """The hashes of a run from those at its first line and at its tail."""
+    return [F.xxhash64(size, first["p"], last["p"]).alias("h1"), F.xxhash64(F.lit("second"), size, first["r"], last["r"]).alias("h2")]
 
 
 def numbered(messages: DataFrame, space: Workspace) -> DataFrame:
@@ -66,22 +101,32 @@ def spoken(lines: Column) -> Column:
     return F.filter(F.transform(lines, normalised), lambda x: x != "")
 
 
-def says(messages: DataFrame, begins: DataFrame) -> DataFrame:
+def said_runs(messages: DataFrame, begins: DataFrame, most: int, space: Workspace) -> DataFrame:
     """(conv_id, turn, msg, h1, h2): hashes of the runs of own lines that a passage may quote.
 
     ``begins`` has the hash of the first line (head) and the number of lines (size) of every
-    quoted passage, so runs are made only where one begins.
+    quoted passage, at most ``most``, so runs are made only where one begins.
     """
     lines = messages.select(*MESSAGE, own_lines(F.col("text")).alias("lines"))
-    each = lines.select("msg", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-    each = each.select("msg", "n", "pos", F.xxhash64("line").alias("head"))
-    starts = each.join(begins, "head").where(F.col("pos") + F.col("size") <= F.col("n")).groupBy("msg").agg(F.collect_set(F.struct("pos", "size")).alias("starts"))
-
-    def run(x: Column) -> Column:
-        text = F.array_join(F.slice("lines", x["pos"] + 1, x["size"]), " ")
-        return F.struct(*hashed(text))
-
-    return lines.join(starts, "msg").select(*MESSAGE, F.explode(F.array_distinct(F.transform("starts", run))).alias("h")).select(*MESSAGE, "h.h1", "h.h2")
+    each = lines.select(*MESSAGE, F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    h1, h2 = hashed("line")
+    each = with_powers(each.select(*MESSAGE, "n", "pos", h1.alias("h1"), h2.alias("h2")), ["msg"], most)
+    each = space.keep(each.withColumnRenamed("h1", "head").drop("h2"), "own_lines")
+    starts = each.join(begins, "head").where(F.col("pos") + F.col("size") <= F.col("n"))
+    starts = starts.select(*MESSAGE, "size", F.get("powers", power_of(F.col("size"))).alias("first"), (F.col("pos") + tail_of(F.col("size"))).alias("pos"))
+    ends = each.select("msg", "pos", "powers")
+    runs = starts.join(ends, ["msg", "pos"]).select(*MESSAGE, *run_hashes("size", F.col("first"), F.get("powers", power_of(F.col("size")))))
+    return runs.distinct()
+
+
+def passage_hashes(quoted: DataFrame, most: int) -> DataFrame:
+    """(msg, run, h1, h2, head) of passages (msg, run, lines)."""
+    lines = quoted.select("msg", "run", F.size("lines").alias("size"), F.posexplode("lines").alias("pos", "line"))
+    h1, h2 = hashed("line")
+    lines = with_powers(lines.select("msg", "run", "size", "pos", h1.alias("h1"), h2.alias("h2")), ["msg", "run"], most)
+    at = lambda pos: F.max(F.when(F.col("pos") == pos, F.get("powers", power_of(F.col("size")))))
+    ends = lines.groupBy("msg", "run", "size").agg(at(F.lit(0)).alias("first"), at(tail_of(F.col("size"))).alias("last"), F.max(F.when(F.col("pos") == 0, F.col("h1"))).alias("head"))
+    return ends.select("msg", "run", *run_hashes("size", F.col("first"), F.col("last")), "head")
 
 
 def link_quotes(messages: DataFrame, space: Workspace | None = None) -> DataFrame:
@@ -95,8 +140,11 @@ def link_quotes(messages: DataFrame, space: Workspace | None = None) -> DataFram
     """
     space = space or Workspace(messages.sparkSession, "quotes")
     quoted = passages(messages).where(F.col("level") > 0).select(*MESSAGE, "run", "level", spoken(F.split("passage", "\n", -1)).alias("lines")).where(F.size("lines") > 0)
-    quoted = space.keep(quoted.select(*MESSAGE, "run", "level", *hashed(F.array_join("lines", " ")), F.xxhash64(F.col("lines")[0]).alias("head"), F.size("lines").alias("size")), "quoted")
-    said = says(messages.where("conv_id is not null and turn is not null"), quoted.select("head", "size").distinct())
+    quoted = space.keep(quoted.withColumn("size", F.size("lines")), "passages")
+    most = quoted.agg(F.max("size")).first()[0] or 1
+    hashes = passage_hashes(quoted, most)
+    quoted = space.keep(quoted.drop("lines").join(hashes, ["msg", "run"]).select(*MESSAGE, "run", "level", "h1", "h2", "head", "size"), "quoted")
+    said = said_runs(messages.where("conv_id is not null and turn is not null"), quoted.select("head", "size").distinct(), most, space)
     wanted = quoted.select("h1", "h2").distinct()
     said = space.keep(said.join(wanted, ["h1", "h2"], "left_semi"), "said")
     here = said.groupBy("conv_id", "h1", "h2").agg(F.min(F.struct("turn", "msg")).alias("here"))

@@ -445,3 +445,64 @@ def test_pii_map_of_a_corpus_is_one_to_one(spark):
     assert len(set(fakes)) == len(fakes) and not set(fakes) & set(pairs)
     other = {r.doc_id: r.text for r in pii.pseudonymise(docs, "another").collect()}
     assert all(other[i] != out[i].text for i in out if out[i].n_entities)
+
+
+def test_quotes_of_many_equal_lines_take_linear_time(spark):
+    import time
+
+    schema = "conv_id long, turn long, role string, text string"
+    times = []
+    for n in (20_000, 200_000):
+        rows = [(1, 0, "user", "same line\n" * n), (1, 1, "assistant", "> same line\n" * (n // 2) + "yes"), (1, 2, "user", "> same line\n" * (n // 2 + 7)), (1, 3, "user", "> same line\n" * (n + 1))]
+        began = time.time()
+        got = {r.turn: r for r in quotes.reply_ordered(spark.createDataFrame(rows, schema)).collect()}
+        times.append(time.time() - began)
+        assert [(got[t].n_quotes, got[t].n_linked, got[t].reply_to) for t in range(4)] == [(0, 0, None), (1, 1, 0), (1, 1, 0), (1, 0, None)]
+    assert times[1] < 10 * times[0] + 30
+
+
+def test_quotes_of_known_lines_are_found(spark):
+    """Recall over thousands of quotations of one to forty lines, half of them in other conversations; and none where a line differs."""
+    rng = random.Random(21)
+    rows, known = [], []
+    for conv in range(150):
+        lines = [f"line {conv} {k} {rng.choice(['a', 'b'])}" for k in range(60)]
+        rows.append((conv, 0, "user", "\n".join(lines)))
+        for turn in range(1, 11):
+            a, size = rng.randrange(20), rng.randint(1, 40)
+            cut = [x.upper() for x in lines[a : a + size]]
+            good = turn % 5 != 0
+            if not good:
+                cut[-1] += " x"
+            rows.append((conv if turn % 2 else 1000 + conv, turn, "user", "\n".join("> " + x for x in cut) + f"\nanswer {conv} {turn}"))
+            known.append((rows[-1][0], turn, good))
+    got = {(r.conv_id, r.turn): r.n_linked for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    assert all(got[c, t] == good for c, t, good in known)
+
+
+def test_runs_have_a_file_a_bucket_and_are_read_as_they_lie(spark):
+    from driftlens.llm.workspace import Workspace, shuffle_cleanup
+
+    space, name = Workspace(spark, "runs"), "spark.sql.autoBroadcastJoinThreshold"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store, before = linededup.LineRuns(spark, space, fan_out=3, buckets=buckets), spark.conf.get(name)
+    batch = lambda k: spark.range(k * 100, k * 100 + 150).select(*linededup.key_hashes(F.col("id").cast("string")), "id").groupBy("h1", "h2").agg(F.min("id").alias("first"))
+    spark.conf.set(name, "-1")
+    try:
+        for k in range(10):
+            found = store.mark_known(batch(k), f"batch{k}")
+            assert found.where("known").count() == (50 if k else 0)
+            store.add(found.where("NOT known"))
+        assert [len(level) for level in store.levels] == [1, 0, 1]
+        assert sum(r.count() for r in store.runs()) == 1050
+        for level in store.levels:
+            for run in level:
+                assert len(spark.sql(f"SELECT DISTINCT input_file_name() AS f FROM {space.tables[run]}").collect()) == buckets
+        with shuffle_cleanup(spark):
+            plan = store.marked(batch(20))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    sides = plan.split("SortMergeJoin")[1:]
+    assert len(sides) == 2 and plan.count("Sort [") == 1 and plan.count("Exchange") == 1  # of the batch alone
+    store.close()
+    assert not any(n.startswith("line_run") for n in space.tables)
