@@ -8,7 +8,9 @@ target recall is reached; colliding pairs are verified exactly.
 
 Windows that cannot be within the distance are left out before the walk by the q-gram lemma:
 an item of n bytes shares at least n - q + 1 - k * q of its q-grams with a text within k
-edits. That test loses nothing.
+edits. That test loses nothing. For items so short that the lemma asks for no q-gram (under 9
+bytes, and a few lengths up to 26) there is an exact way instead: of k + 1 pieces of an item
+one is untouched by k edits, so it stands in the text at most k bytes from its place.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftlens.llm.textkernel import LOWER, U64, WHITE, mix, steps
+from driftlens.llm.textkernel import LOWER, U64, WHITE, mix, prefix_sums, span_hashes, steps
 
 Q = 9
 GRAM_BITS = 21
@@ -72,8 +74,13 @@ def grams(buf: np.ndarray) -> np.ndarray:
 
 
 def allowed(n: int, max_edit: float) -> int:
-    """Edits for an item of n bytes: also few enough for one whole q-gram to be left."""
-    return max(0, min(int(max_edit * n), (n - Q) // Q))
+    """Edits for an item of n bytes."""
+    return int(max_edit * n)
+
+
+def is_short(n: int, max_edit: float) -> bool:
+    """Whether the edits allowed may leave no whole q-gram."""
+    return n - Q + 1 - allowed(n, max_edit) * Q < 1
 
 
 def within(item: bytes, text: bytes, k: int) -> int | None:
@@ -114,6 +121,40 @@ def distance(item: bytes, text: bytes, k: int) -> int:
     return best
 
 
+@dataclass
+class ShortClass:
+    """Short items of one length: their pieces are looked up at every start."""
+
+    length: int
+    edits: int
+    items: list[tuple[int, bytes]]
+    pieces: list[tuple[int, int, np.ndarray, np.ndarray]] = field(default_factory=list)  # offset, length, sorted hashes, their items
+
+    def __post_init__(self):
+        cuts = [self.length * j // (self.edits + 1) for j in range(self.edits + 2)]
+        for a, b in zip(cuts, cuts[1:]):
+            hashes = np.array([int(span_hashes(prefix_sums(np.frombuffer(t[a:b], np.uint8)), np.array([0]), np.array([b - a]))[0]) for _, t in self.items], U64)
+            order = np.argsort(hashes, kind="stable")
+            self.pieces.append((a, b - a, hashes[order], order))
+
+    def hits(self, buf: np.ndarray, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place among ``begin``, item, edits) of the starts where an item stands."""
+        found = []
+        for offset, size, hashes, owners in self.pieces:
+            for shift in range(-self.edits, self.edits + 1):
+                at = begin + (offset + shift)
+                fits = np.flatnonzero((at >= begin) & (at + size <= end))
+                h = span_hashes(sums, at[fits], at[fits] + size)
+                low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                for k in np.flatnonzero(high > low).tolist():
+                    found += [(int(fits[k]), int(owners[j])) for j in range(low[k], high[k])]
+        for place, own in sorted(set(found)):
+            item, text = self.items[own]
+            edits = within(text, buf[begin[place] : min(begin[place] + self.length + self.edits, end[place])].tobytes(), self.edits)
+            if edits is not None:
+                yield place, item, edits
+
+
 @dataclass
 class LengthClass:
     """Items of similar length: they share window width, q-gram threshold and sampled coordinates."""
@@ -130,7 +171,12 @@ class ItemIndex:
     """Index of a block of benchmark items; its size is bounded by BLOCK_BYTES."""
 
     def __init__(self, items: list[tuple[int, bytes]], max_edit: float = MAX_EDIT, samples: int = SAMPLES, repeats: int = REPEATS, seed: int = 11):
-        self.items = sorted((i, t) for i, t in items if len(t) >= Q)
+        self.items = sorted((i, t) for i, t in items if not is_short(len(t), max_edit))
+        few: dict[int, list[tuple[int, bytes]]] = {}
+        for i, t in sorted(items):
+            if t and is_short(len(t), max_edit):
+                few.setdefault(len(t), []).append((i, t))
+        self.short = [ShortClass(n, allowed(n, max_edit), own) for n, own in sorted(few.items())]
         self.edits = [allowed(len(t), max_edit) for _, t in self.items]
         self.repeats = repeats
         #: for each gram, a bit for each (folded) class that has it
@@ -186,6 +232,26 @@ class ItemIndex:
                 at += moves[j % 256][symbol]
             yield key
 
+    def begins(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """All positions where a window may start."""
+        first = np.zeros(len(buf) + 1, bool)
+        first[offs] = True
+        begin = (buf != 32) & ((buf & 0xC0) != 0x80)
+        begin[1:] &= BREAK[buf[:-1]] | first[1:-1]
+        return np.flatnonzero(begin)
+
+    def short_hits(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item id, edits, position in the row) of short items, the best of each row and item."""
+        if not self.short:
+            return []
+        begin, sums, best = self.begins(buf, offs), prefix_sums(buf), {}
+        row = np.searchsorted(offs, begin, "right") - 1
+        for c in self.short:
+            for place, item, edits in c.hits(buf, sums, begin, offs[row + 1]):
+                key, value = (int(row[place]), item), (edits, int(begin[place] - offs[row[place]]))
+                best[key] = min(best.get(key, value), value)
+        return [(*key, *value) for key, value in best.items()]
+
     def starts(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each class: starts whose window may hold an item by the q-gram lemma, and their rows."""
         if not self.classes:
@@ -193,11 +259,7 @@ class ItemIndex:
         bits = self.known.take(grams(buf))
         hit = np.zeros(len(buf) + 1, np.int32)
         np.cumsum(bits != 0, out=hit[1:])
-        first = np.zeros(len(buf) + 1, bool)
-        first[offs] = True
-        begin = (buf != 32) & ((buf & 0xC0) != 0x80)
-        begin[1:] &= BREAK[buf[:-1]] | first[1:-1]
-        begin = np.flatnonzero(begin)
+        begin = self.begins(buf, offs)
         widest, least = max(c.width for c in self.classes), min(c.need for c in self.classes)
         begin = begin[hit[np.minimum(begin + widest, len(buf))] - hit[begin] >= least]
         row = np.searchsorted(offs, begin, "right") - 1
@@ -267,6 +329,9 @@ def find_items(docs: DataFrame, index: ItemIndex, id_col: str = "doc_id", text_c
                 if not len(buf):
                     continue
                 ids = batch.column(0).slice(a, b - a)
+                if few := items.short_hits(buf, offs):
+                    rows, found, edits, places = zip(*few)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(found, pa.int64()), pa.array(places, pa.int64()), pa.array(edits, pa.int32())], names=[id_col, "item_id", "position", "n_edits"])
                 for k, begin, row in items.starts(buf, offs):
                     width = items.classes[k].width
                     for s, r in zip(begin.tolist(), row.tolist()):
@@ -288,7 +353,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_ED
     """One row for each document and benchmark item that it holds: id, item_id, position (a byte of the normalised text), n_edits.
 
     Items are read in blocks of at most BLOCK_BYTES (each a broadcast of bounded size, run
-    against all documents). Items that are null or, normalised, shorter than Q bytes match
+    against all documents). Items that are null or, normalised, empty match
     nothing; equal items match each. Null and empty texts hold nothing. Rows that repeat an id
     count as one document. A row without an id is reported under a null id.
     """

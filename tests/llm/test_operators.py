@@ -506,3 +506,31 @@ def test_runs_have_a_file_a_bucket_and_are_read_as_they_lie(spark):
     assert len(sides) == 2 and plan.count("Sort [") == 1 and plan.count("Exchange") == 1  # of the batch alone
     store.close()
     assert not any(n.startswith("line_run") for n in space.tables)
+
+
+def test_short_items_are_found_exactly(spark):
+    """Items of one to thirty bytes against all starts of all documents."""
+    rng = random.Random(31)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip() or "a"
+    items = [(k, make(k % 30 + 1)) for k in range(60)] + [(100, "a"), (101, items_text := "gh ab ef"), (102, items_text), (103, " ")]
+    short = [(i, c) for i, t in items if (c := decontam.normalised_text(t)) and decontam.is_short(len(c), decontam.MAX_EDIT)]
+    docs = []
+    for k in range(150):
+        t = list(items[rng.randrange(60)][1])
+        for _ in range(rng.randint(0, 2)):
+            p = rng.randrange(len(t) + 1)
+            t[p : p + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+        docs.append((k, make(rng.randint(0, 15)) + rng.choice([" ", "-", "é"]) + "".join(t) + rng.choice(["", " z", "tail"])))
+    docs += [(900, None), (901, ""), (None, "gh ab ef")]
+    want = set()
+    for i, text in docs:
+        t = decontam.normalised_text(text)
+        starts = [p for p in range(len(t)) if t[p] != 32 and t[p] & 0xC0 != 0x80 and (p == 0 or decontam.BREAK[t[p - 1]])]
+        for item, c in short:
+            k = decontam.allowed(len(c), decontam.MAX_EDIT)
+            best = min((e for p in starts if (e := decontam.within(c, t[p:], k)) is not None), default=None)
+            if best is not None:
+                want.add((i, item, best))
+    known = {item for item, _ in short}
+    got = {(r.doc_id, r.item_id, r.n_edits) for r in decontam.contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect() if r.item_id in known}
+    assert got == want and {(None, 101, 0), (None, 102, 0)} <= got and any(e for _, _, e in got) and len(got) > 300
