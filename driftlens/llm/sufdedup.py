@@ -227,24 +227,24 @@ def repeated_spans(contents: DataFrame, space: Workspace, most_windows: int = MO
     piece is the string.
     """
     now = contents.select(F.col("key").alias("grp"), "key", "w1", "w2", "left", "bytes", F.lit(0).alias("lo"), F.lit(GRAM).alias("hi"))
-    out, piece, k = None, GRAM, 0
+    ready, same, piece, k = None, None, GRAM, 0
     while True:
-        size = now.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        size = space.keep(size, f"sizes{k}")
+        size = space.keep(now.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > 1), f"sizes{k}")
         if piece >= LENGTH:
-            new = now.join(size, "grp").select("key", "w1", "w2", "lo", "hi")
-            return out.unionByName(new) if out is not None else new
-        few = now.join(size.where(F.col("size") <= most_windows).select("grp"), "grp", "left_semi")
-        found = few.select("grp", "key", "w1", "w2", "left", "bytes").repartition("grp").sortWithinPartitions("grp").mapInArrow(_sort_collections, SPANS)
-        found = space.keep(found, f"spans{k}")
-        out = found if out is None else out.unionByName(found)
+            same = now.join(size, "grp").select("key", "w1", "w2", "lo", "hi")
+            break
+        few = now.join(size.where(F.col("size") <= most_windows).select("grp"), "grp", "left_semi").select("grp", "key", "w1", "w2", "left", "bytes")
+        ready = few if ready is None else ready.unionByName(few)
         large = size.where(F.col("size") > most_windows).select("grp")
         if large.isEmpty():
-            return out
+            break
         extra = -(-(LENGTH - piece) // 2)
         rows = now.join(large, "grp", "left_semi").select("grp", "key", "w1", "w2", "left", "bytes", "lo", "hi")
         now = space.keep(rows.mapInArrow(_longer_keys(extra), "grp bigint, key bigint, w1 bigint, w2 bigint, left int, bytes binary, lo int, hi int").dropDuplicates(["grp", "key", "w1", "w2"]), f"longer{k}")  # two ways may lead to one piece
         piece, k = piece + extra, k + 1
+    # The groups of all rounds are sorted in one step. Should two of them have one number, they are sorted together, and as bytes are compared that changes nothing.
+    found = ready.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sort_collections, SPANS)
+    return found if same is None else found.unionByName(same)
 
 
 def _cut(with_bytes: bool, id_col: str):
