@@ -97,17 +97,6 @@ def inside_circle(im: np.ndarray, radius: float, centre: tuple[float, float] | N
     return im * (near if im.ndim == 2 else near[..., None])
 
 
-def stretched(im: np.ndarray) -> np.ndarray:
-    """Clipped to the lowest four fifths of values, then scaled to 0..1; a flat image becomes 0."""
-    low, high = np.percentile(im, (0, 80))
-    return (np.clip(im, low, high) - low) / ((high - low) or 1.0)
-
-
-def brightened(im: np.ndarray, brightness: float = 1.0) -> np.ndarray:
-    """Shifted so that the median is ``brightness``, at most 1."""
-    return np.minimum(im + brightness - np.median(im), 1.0)
-
-
 def depths(low: float, high: float, step: float) -> np.ndarray:
     return np.arange(low, high + step, step)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import json
 import tomllib
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, fields
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.functions import kernels
+from driftlens.functions import kernels, sizes
 from driftlens.operators import exports, particles, profiles
 from driftlens.sources import stores
 
@@ -148,6 +149,21 @@ def load(path: str) -> dict:
     return settings
 
 
+def save(settings: dict, path: str) -> None:
+    """Write a configuration file that ``load`` reads; values are numbers, booleans, text and lists of them."""
+
+    def table(name: str, values: dict) -> list[str]:
+        plain = {k: v for k, v in values.items() if not isinstance(v, dict)}
+        lines = ([f"[{name}]"] if name and (plain or not values) else []) + [f"{json.dumps(k)} = {json.dumps(v)}" for k, v in plain.items()]
+        for k, v in values.items():
+            if isinstance(v, dict):
+                lines += table(f"{name}.{json.dumps(k)}" if name else json.dumps(k), v)
+        return lines
+
+    with open(path, "w") as f:
+        f.write("\n".join(table("", settings)) + "\n")
+
+
 def find(name: str) -> Callable[..., DataFrame]:
     """A registered step, or any function (DataFrame, **settings) -> DataFrame by its dotted name."""
     if name in STEPS:
@@ -202,3 +218,21 @@ def describe(settings: dict) -> str:
         told = ", ".join(f"{a}={b!r}" for a, b in options.items() if a != "step")
         lines.append(f"{k}. {name}: {options['step']}({told})")
     return "\n".join(lines)
+
+
+def run(frames: DataFrame, settings: dict, project: Project | None = None) -> Outputs:
+    """Build the plan, write its rows once and append its tables under ``output.path``.
+
+    ``particles`` and ``image_stats`` have the settings and the project as metadata; ``rois`` is
+    there if the plan exports pixels. ``general`` needs pixel_size, and path_length (mm) for concentrations (40 unless told); rows and cols of a frame may be told.
+    """
+    general, path = settings["general"], settings["output"]["path"]
+    size = [general[k] for k in ("rows", "cols") if k in general]
+    volume = sizes.sample_volume(general["pixel_size"], general.get("path_length", 40.0), *size)
+    out = outputs(build(frames, settings), general["pixel_size"], volume)
+    about = {"settings": settings, "project": asdict(project or Project())}
+    for name, table in (("particles", out.particles), ("image_stats", out.frames)):
+        stores.append(stores.typed(table), f"{path}/{name}", about=about)
+    if out.rois is not None:
+        out.rois.repartitionByRange("frame").sortWithinPartitions("frame", "roi").write.mode("append").parquet(f"{path}/rois")
+    return out

@@ -60,6 +60,21 @@ def described(table: DataFrame, extra: dict[str, dict] | None = None) -> DataFra
     return table.select(*[F.col(f"`{f.name}`").alias(f.name, metadata={**known.get(f.name, {}), **(f.metadata or {})}) for f in table.schema])
 
 
+#: Columns that are text also in a table that has no value of them.
+STRINGS = ("export_name", "holo_filename", "filename", "reason")
+
+
+def typed(table: DataFrame, strings: tuple[str, ...] = STRINGS) -> DataFrame:
+    """The same columns with types of their own: columns named in ``strings`` are text, other columns without a type (of nothing
+    but nulls, as in a first frame without particles) are doubles, and ``timestamp`` is to the microsecond and without zone."""
+    def cell(f) -> Column:
+        kind = "string" if f.name in strings else "timestamp_ntz" if f.name == "timestamp" else "double" if f.dataType.simpleString() == "void" else None
+        column = F.col(f"`{f.name}`")
+        return column.cast(kind).alias(f.name, metadata=f.metadata or {}) if kind else column
+
+    return table.select(*[cell(f) for f in table.schema])
+
+
 def append(table: DataFrame, path: str, time: str = "timestamp", about: dict | None = None) -> None:
     """Append to a Parquet table with a folder a day; what is stored is not read or rewritten.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftlens.catalog import GUESS, LABEL_SQL, PIXEL, PIXELS_SQL, STATS_SQL, TOP, VOLUME, FILES, d, files, from_particles, masks, parts, query, rounded
-from driftlens.operators import background, classes, exports, filters, profiles, ranks
+from driftlens.operators import adaptive, background, classes, exports, filters, profiles, ranks
 from driftlens.plans import pipeline
 from driftlens.sources import adapters, merges, rois, stores
 from driftlens.streaming import runner
@@ -181,3 +181,37 @@ def roi_store(spark, sf_dir):
     rois.write(out.rois, name, stores.scratch(spark, "rois"), 8)
     found = rois.with_pixels(spark, out.particles, name)
     return rounded(found.select("export_name", "rows", "cols", F.aggregate("px", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+BINS, TILE = 16, 4
+
+
+@query(PIXELS_SQL + f""", q AS (SELECT *, pos // 8 AS r, pos % 8 AS c, greatest(least(floor(px * {BINS}), {BINS - 1}), 0)::int AS b FROM pixels),
+h AS (SELECT frame, r // {TILE} AS ti, c // {TILE} AS tj, b, count(*) AS n FROM q GROUP BY ALL), z AS (SELECT frame, ti, tj, sum(n) AS size, greatest(floor(0.9::double * sum(n)), 1) AS most FROM h GROUP BY ALL),
+o AS (SELECT z.*, (SELECT sum(greatest(n - most, 0)) FROM h WHERE h.frame = z.frame AND h.ti = z.ti AND h.tj = z.tj) / {BINS}::double AS over FROM z),
+s AS (SELECT o.*, g.b, (sum(least(coalesce(n, 0), most)) OVER (PARTITION BY o.frame, o.ti, o.tj ORDER BY g.b) + (g.b + 1) * over) / size AS share
+      FROM o CROSS JOIN (SELECT unnest(range({BINS})) AS b) g LEFT JOIN h ON h.frame = o.frame AND h.ti = o.ti AND h.tj = o.tj AND h.b = g.b),
+y AS (SELECT *, (r + 0.5::double) / {TILE} - 0.5 AS y, (c + 0.5::double) / {TILE} - 0.5 AS x FROM q),
+w AS (SELECT frame, pos, px, b, greatest(least(floor(y) + i, 1), 0) AS ti, greatest(least(floor(x) + j, 1), 0) AS tj, abs(1 - i - (y - floor(y))) * abs(1 - j - (x - floor(x))) AS w FROM y, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),
+e AS (SELECT w.frame, w.pos, px, round(sum(w * share), 9) AS eq FROM w JOIN s ON s.frame = w.frame AND s.ti = w.ti AND s.tj = w.tj AND s.b = w.b GROUP BY ALL),
+t AS (SELECT frame, quantile_cont(px, 0.5) AS med, quantile_cont(eq, 0.0075) AS low FROM e GROUP BY frame)
+SELECT frame, pos::int AS pos, round(eq, 6) AS eq, px < 0.9::double * med AND eq < round(0.9::double * low, 9) AS dark FROM e JOIN t USING (frame)""")
+def threshold_adaptive(spark, sf_dir):
+    return rounded(adaptive.threshold_accurate(adapters.pixels(spark, sf_dir), 8, 8, 0.9, BINS, tile_rows=TILE, tile_cols=TILE))
+
+
+@query(PIXELS_SQL + ", t AS (SELECT frame, min(px) AS low, quantile_cont(px, 0.8) AS high FROM pixels GROUP BY frame) SELECT frame, pos::int AS pos, round(coalesce((least(px, high) - low) / nullif(high - low, 0), 0), 6) AS im FROM pixels JOIN t USING (frame)")
+def stretch(spark, sf_dir):
+    return rounded(adaptive.stretched(adapters.pixels(spark, sf_dir)))
+
+
+@query(PIXELS_SQL + ", t AS (SELECT frame, quantile_cont(px, 0.5) AS med FROM pixels GROUP BY frame) SELECT frame, pos::int AS pos, round(least(px + 0.8::double - med, 1), 6) AS im FROM pixels JOIN t USING (frame)")
+def brighten(spark, sf_dir):
+    return rounded(adaptive.brightened(adapters.pixels(spark, sf_dir), 0.8))
+
+
+@query(from_particles(f", e AS (SELECT event_id, row_number() OVER (ORDER BY major_axis_length DESC, event_id) - 1 AS place FROM particles WHERE major_axis_length * {d(PIXEL)} < 8000 AND export_name <> 'not_exported') SELECT * FROM e"))
+def montage_order(spark, sf_dir):
+    """Exported particles up to a length, numbered from the longest."""
+    rows = filters.exported(filters.shorter_than(parts(spark, sf_dir), PIXEL, 8000))
+    return ranks.numbered(rows.select("event_id", "major_axis_length"), F.col("major_axis_length").desc(), "event_id", name="place").select("event_id", "place")

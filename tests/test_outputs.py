@@ -169,3 +169,48 @@ def test_split_of_repeated_identities(spark):
     assert all(len(p) == 1 for p in parts.values())
     assert sum("validation" in p for (label, _), p in parts.items() if label == "a") == 5
     assert parts["a", None] == {"training"} and parts[None, 5] == {"training"}
+
+
+def test_a_run_stores_all_tables_with_their_settings(spark, tmp_path):
+    from driftlens.plans import presets
+    from driftlens.sources import stores
+
+    write(tmp_path / "in", ["empty"])
+    settings = pipeline.changed(SETTINGS) | {"output": {"path": str(tmp_path / "out")}}
+    read = lambda: frames.read(spark, str(tmp_path / "in"))
+    pipeline.run(read(), settings)  # a first frame without particles: text columns stay text
+    write(tmp_path / "in", ["two", "many"], 1)
+    pipeline.run(read().where("second(timestamp) > 0"), settings, pipeline.Project(title="second"))
+    assert [(r.timestamp.second, r.particle_count, r.reason) for r in stores.load(spark, str(tmp_path / "out" / "image_stats")).orderBy("timestamp").collect()] == [(0, 0, None), (1, 2, None), (2, 0, "4 particles")]
+    found = stores.load(spark, str(tmp_path / "out" / "particles"))
+    assert found.count() == 2 and dict(found.dtypes)["export_name"] == "string" and stores.about(found)["project"]["title"] == "second"
+    assert spark.read.parquet(str(tmp_path / "out" / "rois")).count() == 1
+    for preset in presets.PRESETS.values():
+        steps = preset("in/*", "out")["steps"]
+        assert all(pipeline.find(s["step"]) for s in steps.values()) and "statistics" in steps
+    assert presets.vignettes("x")["general"]["pixel_size"] == 80 and "output" not in presets.vignettes("x")
+
+
+def test_types_of_a_table_of_nulls(spark):
+    from driftlens.sources import stores
+
+    table = spark.range(1).select(F.lit(None).alias("export_name"), F.lit(None).alias("depth"), F.current_timestamp().alias("timestamp"), "id")
+    assert dict(stores.typed(table).dtypes) == {"export_name": "string", "depth": "double", "timestamp": "timestamp_ntz", "id": "bigint"}
+
+
+def test_separated_values_become_a_table(spark, tmp_path):
+    from driftlens.sources import stores
+
+    (tmp_path / "in.csv").write_text("event_id,major_axis_length,export_name\n1,2.5,a\n2,,b\n")
+    stores.from_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2.5, "a"), (2, None, "b")] and dict(got.dtypes)["major_axis_length"] == "double"
+
+
+def test_settings_are_written_and_loaded(tmp_path):
+    settings = {"general": {"raw_files": 'in/"x" é*.silc', "pixel_size": 4.4, "holo": {"low": 0, "high": 50.5, "planes": [1, 2]}}, "steps": {"a step": {"step": "segment", "fill_holes": True}, "b": {"step": "darkest_channel"}, "c": {}}}
+    pipeline.save(settings, str(tmp_path / "s.toml"))
+    assert pipeline.load(str(tmp_path / "s.toml")) == settings
+    with pytest.raises(ValueError):
+        pipeline.save({"steps": {}}, str(tmp_path / "t.toml"))
+        pipeline.load(str(tmp_path / "t.toml"))
