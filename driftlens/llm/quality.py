@@ -183,7 +183,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_char
     for k, n in counts.items():
         chance = F.when(F.col("quality") == k, F.lit(min(1.0, per_class / n))).otherwise(chance)
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.where(draw < chance).withColumn("stands_for", 1 / chance).limit(4 * per_class)
+    drawn = known.where(draw < chance).withColumn("stands_for", F.try_divide(F.lit(1.0), chance)).limit(4 * per_class)
     texts = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars)).select("doc_id", "text")
     return texts.join(F.broadcast(drawn), "doc_id").limit(4 * per_class)
 
