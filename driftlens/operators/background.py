@@ -69,3 +69,28 @@ def coverage(mask: DataFrame, most_percent: float = 30.0) -> DataFrame:
 def stack_summary(pixels: DataFrame, depth: int) -> DataFrame:
     """(stack, pos, std, max): population deviation and maximum over the ``depth`` planes of each stack."""
     return pixels.groupBy(F.floor(F.col("frame") / depth).alias("stack"), "pos").agg(F.stddev_pop("px").alias("std"), F.max("px").alias("max"))
+
+
+def inside_box(pixels: DataFrame, cols: int, r0: int, r1: int, c0: int, c1: int, fill: float = 1.0) -> DataFrame:
+    """(frame, pos, im): pixels outside the half-open box are ``fill``."""
+    row, col = F.floor(F.col("pos") / cols), F.col("pos") % cols
+    inside = (row >= r0) & (row < r1) & (col >= c0) & (col < c1)
+    return pixels.select("frame", "pos", F.when(inside, F.col("px")).otherwise(F.lit(fill)).alias("im"))
+
+
+def inside_circle(pixels: DataFrame, rows: int, cols: int, radius: float, centre: tuple[float, float] | None = None) -> DataFrame:
+    """(frame, pos, im): pixels not less than ``radius`` from the centre are 0; the centre is (rows // 2, cols // 2) unless told."""
+    r, c = centre or (rows // 2, cols // 2)
+    row, col = F.floor(F.col("pos") / cols), F.col("pos") % cols
+    near = (row - r) * (row - r) + (col - c) * (col - c) < radius * radius
+    return pixels.select("frame", "pos", F.when(near, F.col("px")).otherwise(F.lit(0.0)).alias("im"))
+
+
+def prepared(channels: DataFrame) -> DataFrame:
+    """(frame, pos, least, ref) of pixels by channel (frame, pos, channel, px): the darkest channel of each pixel, and its channels
+    as an array scaled so that the frame goes from 0 to 1; a flat frame becomes 0."""
+    stat = channels.groupBy("frame").agg(F.min("px").alias("low"), F.max("px").alias("high"))
+    scaled = (F.col("px") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    rows = channels.join(stat, "frame").withColumn("ref", F.coalesce(scaled, F.lit(0.0)))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("channel", "ref"))), lambda x: x["ref"])  # a pixel's channels
+    return rows.groupBy("frame", "pos").agg(F.min("px").alias("least"), ordered.alias("ref"))

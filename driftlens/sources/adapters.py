@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import struct
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +57,36 @@ def image_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, pos, px): frames of 8 x 8 pixels, scaled to 0..1, in the order of vec_id."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("pos", "px")).select("frame", "pos", ((F.col("px").cast("double") + 4) / 8).alias("px"))
+
+
+def frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, hex): the 64 bytes of each frame as hexadecimal digits, values cut to 0..255."""
+    byte = lambda x: F.lpad(F.hex(F.greatest(F.least(F.floor((x.cast("double") + 4) / 8 * 256), F.lit(255)), F.lit(0)).cast("long")), 2, "0")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.array_join(F.transform("embedding", byte), "").alias("hex"))
+
+
+def frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, path, content): each frame as a file of one of four formats in turn: a grey map with a footer, a bitmap, an array of one channel, a Bayer mosaic."""
+    text = lambda s: F.hex(F.lit(s).cast("binary"))
+    head = lambda shape: _array_header(shape).hex().upper()
+    rows = F.split(F.regexp_replace("hex", "(.{16})", "$1 "), " ")
+    up = F.array_join(F.transform(F.reverse(F.slice(rows, 1, 8)), lambda r: F.regexp_replace(r, "(..)", "$1$1$1")), "")  # from the last row, each value for three colours
+    little = F.concat(*[F.substring(F.lpad(F.hex(F.lit(1_700_000_000) + F.col("frame")), 8, "0"), 7 - 2 * k, 2) for k in range(4)])
+    name = F.date_format(F.timestamp_seconds(F.col("frame")), "'D'yyyyMMdd'T'HHmmss")
+    kinds = [(F.concat(F.lit("H-"), F.col("frame").cast("string"), F.lit(".pgm")), F.concat(text("P5\n8 8\n255\n"), F.col("hex"), little)),
+             (F.concat(name, F.lit(".bmp")), F.concat(F.lit(_bitmap_header().hex().upper()), up)),
+             (F.concat(name, F.lit(".msilc")), F.concat(F.lit(head((8, 8, 1))), F.col("hex"))), (F.concat(name, F.lit(".bsilc")), F.concat(F.lit(head((8, 8))), F.col("hex")))]
+    path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (p, c) in enumerate(kinds):
+        path, content = F.when(F.col("frame") % 4 == k, p).otherwise(path), F.when(F.col("frame") % 4 == k, c).otherwise(content)
+    return frame_bytes(spark, sf_dir).select("frame", path.alias("path"), F.unhex(content).alias("content"))
+
+
+def _array_header(shape: tuple[int, ...]) -> bytes:
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": "|u1", "fortran_order": False, "shape": shape})
+    return out.getvalue()
+
+
+def _bitmap_header() -> bytes:
+    return b"BM" + struct.pack("<IHHI", 54 + 192, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 8, 8, 1, 24, 0, 192, 0, 0, 0, 0)

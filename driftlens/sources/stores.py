@@ -9,14 +9,34 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Units and names of the particle columns.
-COLUMN_METADATA = {
-    "equivalent_diameter": {"units": "pixels", "long_name": "diameter of a circle of the same area"},
-    "major_axis_length": {"units": "pixels", "long_name": "major axis of the ellipse with the same second moments"},
-    "minor_axis_length": {"units": "pixels", "long_name": "minor axis of the ellipse with the same second moments"},
-    "saturation": {"units": "percent", "long_name": "share of the allowed coverage"},
-    "timestamp": {"long_name": "time of the frame"},
+# Standard name, unit and level (0 recorded, 1 measured, 2 derived) of each column.
+_COLUMNS = {
+    "major_axis_length": ("major_axis_length", "Pixels", 1), "minor_axis_length": ("minor_axis_length", "Pixels", 1), "equivalent_diameter": ("equivalent_circular_diameter", "Pixels", 1),
+    "minr": ("minimum_row_index", "Pixels", 1), "maxr": ("maximum_row_index", "Pixels", 1), "minc": ("minimum_column_index", "Pixels", 1), "maxc": ("maximum_column_index", "Pixels", 1),
+    "saturation": ("image_saturation", "percent", 1), "export_name": ("export_name", "", 1), "timestamp": ("timestamp", None, 0), "filename": ("filename", "", 0),
+    "particle_count": ("particle_count", "1", 1), "d50": ("median_particle_diameter", "micrometers", 2), "nc": ("number_concentration", "L^-1", 2), "vc": ("volume_concentration", "uL L^-1", 2),
+    "sample_volume": ("sample_volume", "L", 2), "junge": ("junge_parameter", "1", 2),
 }
+#: What the columns are, in our own words.
+_LONG_NAMES = {
+    "major_axis_length": "major axis of the ellipse with the same second moments", "minor_axis_length": "minor axis of the ellipse with the same second moments",
+    "equivalent_diameter": "diameter of a circle of the same area", "minr": "first row of the box", "maxr": "row after the last of the box", "minc": "first column of the box", "maxc": "column after the last of the box",
+    "saturation": "share of the allowed coverage", "export_name": "name under which the pixels are stored", "timestamp": "time of the frame", "filename": "file of the frame", "particle_count": "particles of the frame",
+    "d50": "median diameter by volume", "nc": "particles a litre", "vc": "volume of particles a litre", "sample_volume": "volume of water of a frame", "junge": "slope of the number distribution",
+}
+PROBABILITY = "probability_"
+
+
+def column_metadata(name: str) -> dict:
+    """Standard name, long name, unit and level of a column; of ``probability_<class>`` too. Empty for others."""
+    if name.startswith(PROBABILITY):
+        of = name.removeprefix(PROBABILITY)
+        return {"standard_name": f"probability_of_{of}", "long_name": f"probability of the class {of}", "units": "dimensionless fraction", "level": 1}
+    if name not in _COLUMNS:
+        return {}
+    standard, unit, level = _COLUMNS[name]
+    out = {"standard_name": standard, "long_name": _LONG_NAMES[name], "units": unit, "level": level}
+    return {k: v for k, v in out.items() if v is not None}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -56,8 +76,8 @@ def holds_rows(spark: SparkSession, path: str) -> bool:
 
 def described(table: DataFrame, extra: dict[str, dict] | None = None) -> DataFrame:
     """The same columns with units and names as column metadata; what a column has already stays."""
-    known = {**COLUMN_METADATA, **(extra or {})}
-    return table.select(*[F.col(f"`{f.name}`").alias(f.name, metadata={**known.get(f.name, {}), **(f.metadata or {})}) for f in table.schema])
+    told = lambda name: {**column_metadata(name), **(extra or {}).get(name, {})}
+    return table.select(*[F.col(f"`{f.name}`").alias(f.name, metadata={**told(f.name), **(f.metadata or {})}) for f in table.schema])
 
 
 #: Columns that are text also in a table that has no value of them.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftlens.catalog import GUESS, LABEL_SQL, PIXEL, PIXELS_SQL, STATS_SQL, TOP, VOLUME, FILES, d, files, from_particles, masks, parts, query, rounded
 from driftlens.operators import adaptive, background, classes, exports, filters, profiles, ranks
 from driftlens.plans import pipeline
-from driftlens.sources import adapters, merges, rois, stores
+from driftlens.sources import adapters, frames, merges, rois, stores
 from driftlens.streaming import runner
 
 HALF = "2024-01-10 00:00:00"
@@ -215,3 +215,48 @@ def montage_order(spark, sf_dir):
     """Exported particles up to a length, numbered from the longest."""
     rows = filters.exported(filters.shorter_than(parts(spark, sf_dir), PIXEL, 8000))
     return ranks.numbered(rows.select("event_id", "major_axis_length"), F.col("major_axis_length").desc(), "event_id", name="place").select("event_id", "place")
+
+
+@query(PIXELS_SQL + " SELECT frame, pos::int AS pos, round(CASE WHEN pos // 8 >= 2 AND pos // 8 < 7 AND pos % 8 >= 1 AND pos % 8 < 6 THEN px ELSE 1 END, 6) AS im FROM pixels")
+def mask_box(spark, sf_dir):
+    return rounded(background.inside_box(adapters.pixels(spark, sf_dir), 8, 2, 7, 1, 6))
+
+
+@query(PIXELS_SQL + " SELECT frame, pos::int AS pos, round(CASE WHEN (pos // 8 - 4) ** 2 + (pos % 8 - 4) ** 2 < 9 THEN px ELSE 0 END, 6) AS im FROM pixels")
+def mask_circle(spark, sf_dir):
+    return rounded(background.inside_circle(adapters.pixels(spark, sf_dir), 8, 8, 3.0))
+
+
+@query(PIXELS_SQL + """, h AS (SELECT frame, pos, unnest([0, 1, 2]) AS channel, unnest([px, 1 - px, px * px]) AS px FROM pixels), t AS (SELECT frame, min(px) AS low, max(px) AS high FROM h GROUP BY frame)
+SELECT frame, pos::int AS pos, round(min(px), 6) AS least, round(max((px - low) / (high - low)) FILTER (channel = 0), 6) AS r0, round(max((px - low) / (high - low)) FILTER (channel = 1), 6) AS r1, round(max((px - low) / (high - low)) FILTER (channel = 2), 6) AS r2
+FROM h JOIN t USING (frame) GROUP BY frame, pos""")
+def image_prep(spark, sf_dir):
+    px = F.col("px")
+    channels = adapters.pixels(spark, sf_dir).select("frame", "pos", F.posexplode(F.array(px, 1 - px, px * px)).alias("channel", "px"))
+    out = background.prepared(channels)
+    return rounded(out.select("frame", "pos", "least", *[F.get("ref", F.lit(k)).alias(f"r{k}") for k in range(3)]))
+
+
+BYTES_SQL = "WITH px AS (SELECT vec_id AS frame, unnest(embedding)::double AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), b AS (SELECT frame, pos, greatest(least(floor((e + 4) / 8 * 256), 255), 0)::bigint AS v, pos // 8 AS r, pos % 8 AS c FROM px)"
+
+
+@query(BYTES_SQL + """, k AS (SELECT *, CASE WHEN (r + c) % 2 = 1 THEN 1 WHEN r % 2 = 0 THEN 0 ELSE 2 END AS colour FROM b), m AS (SELECT unnest([0, 1, 2]) AS want),
+d AS (SELECT k.frame, k.pos, want, CASE WHEN k.colour = want THEN k.v ELSE (sum(n.v) + count(n.v) // 2) // count(n.v) END AS v
+  FROM k CROSS JOIN m LEFT JOIN k n ON n.frame = k.frame AND n.colour = want AND abs(n.r - k.r) <= 1 AND abs(n.c - k.c) <= 1 AND n.pos <> k.pos AND (want <> 1 OR n.r = k.r OR n.c = k.c)
+  WHERE k.frame % 4 = 3 GROUP BY k.frame, k.pos, want, k.colour, k.v)
+SELECT frame, i::int AS i, round(v / 255.0::double, 6) AS px, CASE frame % 4 WHEN 0 THEN make_timestamp((1700000000 + frame) * 1000000 + frame) ELSE make_timestamp(frame * 1000000) END AS timestamp FROM (
+  SELECT frame, pos AS i, v FROM b WHERE frame % 4 IN (0, 2) UNION ALL SELECT frame, pos * 3 + want, v FROM b CROSS JOIN m WHERE frame % 4 = 1 UNION ALL SELECT frame, pos * 3 + want, v FROM d)""")
+def frame_formats(spark, sf_dir):
+    """Frames as files of four formats, decoded; values by place in the decoded frame."""
+    files = adapters.frame_files(spark, sf_dir)
+    out = frames.frames(files.select("path", "content")).join(files.select("frame", "path"), "path")
+    return rounded(out.select("frame", "timestamp", F.posexplode("px").alias("i", "px")))
+
+
+@query(from_particles("SELECT event_id, round(major_axis_length, 6) AS major_axis_length, export_name FROM particles"))
+def csv_table(spark, sf_dir):
+    """Particles as separated values, stored as a table and read back."""
+    folder = stores.scratch(spark, "values")
+    rounded(parts(spark, sf_dir).select("event_id", "major_axis_length", "export_name")).write.csv(f"{folder}/csv", header=True)
+    stores.from_csv(spark, f"{folder}/csv", f"{folder}/table")
+    return rounded(spark.read.parquet(f"{folder}/table").withColumn("event_id", F.col("event_id").cast("long")))

@@ -65,7 +65,9 @@ def test_store(spark, tmp_path):
     stores.merge(spark, [one, two], all_)
     got = stores.load(spark, all_)
     assert got.count() == 20 and got.where("more = 1").count() == 10
-    assert stores.described(df).schema["equivalent_diameter"].metadata["units"] == "pixels"
+    assert stores.described(df).schema["equivalent_diameter"].metadata["units"] == "Pixels"
+    more = stores.described(df.withColumns({"probability_oil": F.lit(0.5), "other": F.lit(1)}), {"other": {"units": "m"}}).schema
+    assert more["probability_oil"].metadata["standard_name"] == "probability_of_oil" and more["other"].metadata == {"units": "m"} and more["timestamp"].metadata["level"] == 0
     with pytest.raises(ValueError):
         stores.merge(spark, [], all_)
 
