@@ -25,13 +25,16 @@ def components(edges: DataFrame, space: Workspace, label: str) -> DataFrame:
 
     Each step is a written table; a hub's edges stay spread, as only its minimum is summed and
     the join back can be split. Ends when a step changes nothing. Nulls and loops are left out.
+    Only the last step's table stays.
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = space.keep(pairs, f"{label}-edges")
+    now = space.keep(pairs, f"{label}-small0")
     last, k = None, 0
     while True:
         k += 1
         new = space.keep(_star(space.keep(_star(now, True), f"{label}-large{k}"), False), f"{label}-small{k}")
+        for done in (f"{label}-large{k}", f"{label}-small{k - 1}"):
+            space.drop(done)
         mark = tuple(new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if mark == last:
             break

@@ -305,6 +305,9 @@ def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
         rows = space.keep(rows.join(live_signatures(rows, k), "sig").where(F.col("most") >= F.greatest("least", F.ceil(PERCENT * F.col("n") / 100))), f"live{k}")
         if k and rows.isEmpty():
             return edges
+        if k:  # what this round's rows were made from; the tree of the last round is still an edge of the next
+            for label in (f"live{k - 1}", f"leads{k - 1}", f"compared{k - 1}", *([f"round{k - 2}-small"] if k > 1 else [])):
+                space.drop_like(label) if label.endswith("small") else space.drop(label)
         own = may_link(*(F.col(c) for c in ("n", "most", "root", "lead_n", "lead_most", "lead_root")))
         if many == 1:
             pairs = rows.where((F.col("lead") != F.col("doc")) & (F.col("big") | own)).select(F.col("lead").alias("x"), F.col("doc").alias("y"), "big", "score", F.when(F.col("big"), F.col("most")).alias("before"))

@@ -75,6 +75,14 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{label}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_like(self, prefix: str) -> None:
+        """Delete the tables whose labels begin so."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{prefix}*")) or []:
+            files.delete(found.getPath(), True)
+
     def keep_bucketed(self, df: DataFrame, label: str, buckets: int, *columns: str, partition_by: str | None = None) -> DataFrame:
         """A table of ``buckets`` by ``columns``, sorted by them: joins on them deal nothing out."""
         name = f"{label}_{uuid.uuid4().hex}"
