@@ -10,6 +10,9 @@ corpus: those that collide are drawn again.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +80,17 @@ def entities(text: Column) -> Column:
 
 
 def may_hold(text: Column) -> Column:
-    """A cheap test that every text with an entity passes: a digit, @, a key word, a title or other word before a name, or a long run of a-f."""
-    words = "|".join(["password", "passwd", "secret", "token", "api", *_SAYS, *_FIELDS, *_CLOSINGS])
-    return text.rlike("[0-9@]") | F.lower(text).rlike(words) | text.rlike(f"{_TITLES}|AKIA|[a-f]{{32}}")
+    """A cheap test that every text with an entity passes: a digit, @, a key word, a title or other word before a name, or a long run of a-f.
+
+    Words are looked for one by one, which is several times as fast as a pattern of them all.
+    """
+    out = text.rlike("[0-9@]")
+    for title in [*MALE, *FEMALE, *NEUTRAL, "AKIA"]:
+        out = out | text.contains(title)
+    words = ["password", "passwd", "secret", "token", "api", *_SAYS, *_FIELDS, *_CLOSINGS]
+    holds = lambda low: functools.reduce(operator.or_, [low.contains(w) for w in words])
+    once = F.exists(F.array(F.lower(text)), holds)  # the text is lower-cased once, not for each word
+    return out | once | text.rlike("[a-f]{32}")
 
 
 def type_of(raw: Column) -> Column:
