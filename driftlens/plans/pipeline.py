@@ -21,6 +21,7 @@ from driftlens.sources import stores
 class Project:
     """What is told of a deployment; other values go into ``more``."""
 
+    # Names, the word for what is not told, the licence.
     title: str = "NOT_SPECIFIED"
     project_name: str = "NOT_SPECIFIED"
     instrument: str = "NOT_SPECIFIED"
