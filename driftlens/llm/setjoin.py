@@ -324,7 +324,9 @@ def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
         new = found.where("linked").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = new if tree is None else new.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
         seen = pairs.select("a", "b").distinct()
-        done = seen if done is None else done.unionByName(seen).distinct()
+        done = space.keep(seen if done is None else done.unionByName(seen).distinct(), f"done{k}")  # else each round's plan holds all rounds before it
+        for label in (f"done{k - 1}", f"pairs{k - 1}"):
+            space.drop(label)
         tree = components(edges, space, f"round{k}")
         root = tree.select(F.col("node").alias("doc"), F.col("root").alias("found"))
         if many == 1:
