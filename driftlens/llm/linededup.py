@@ -133,7 +133,8 @@ def duplicate_lines(docs: DataFrame, space: Workspace, min_chars: int = 10, batc
         for k in range(len(bounds) + 1):
             batch = staged.where(F.col("batch") == k).select("id", "text_hash", "pos", *HASHES)
             firsts = store.mark_known(batch.groupBy(*HASHES).agg(F.min("id").alias("first"), F.max("id").alias("last")), f"firsts{k}")
-            shared = firsts.where(F.col("known") | (F.col("first") != F.col("last"))).select(*HASHES, F.when(~F.col("known"), F.col("first")).alias("holder"))
+            plain = space.read(space.tables[f"firsts{k}"], firsts.schema)  # not by buckets: the join with a very common line is one that can be split
+            shared = plain.where(F.col("known") | (F.col("first") != F.col("last"))).select(*HASHES, F.when(~F.col("known"), F.col("first")).alias("holder"))
             hits = batch.join(shared, HASHES).where(F.col("holder").isNull() | (F.col("id") != F.col("holder"))).select("id", "text_hash", "pos")
             dropped = dropped.unionByName(space.keep(hits, f"dropped{k}"))
             if k < len(bounds):
