@@ -7,10 +7,12 @@ signatures by themselves. Frequent ones are dealt into classes by hash and are i
 pairs within a class; each class costs the prefix one more shingle, as one left over makes no
 pair. Two sets that link share a signature, whichever classes their common shingles are in.
 
-Candidates of a signature are compared with one of them, then with a few, then with more, and
+Candidates of a signature are compared with one of them, then with some, then with more, and
 only while the signature still holds more than one component: a group of copies makes one pair
-a member. Members too far from the one compared go on under a combination of more shingles:
-what they share with it, and one shingle outside it.
+a member. Copies that differ too much to link share most signatures too. Each set has a sketch,
+the parities of its shingles dealt out to BITS places: two sets differ in as many shingles, at
+least, as their sketches in places, so pairs whose sketches differ in more than links allow
+are left out without their sets being read, and no link is lost.
 """
 
 from __future__ import annotations
@@ -37,13 +39,11 @@ FREQUENT = 8
 MOST_FREQUENT = 1 << 18
 #: Rounds of comparing with one member of each signature; after them the number of members
 #: that the others are compared with grows by LEADS_GROW from round to round.
-STAR_ROUNDS = 3
-LEADS_GROW = 4
-#: Signatures of a document that tell whether it meets another under an earlier one, at most.
-LOW = 32
-#: Signatures of at most so many members go on as they are, without signatures outside the lead.
-SMALL = 16
-ANY_SIZE = (1 << 31) - 1
+STAR_ROUNDS = 2
+LEADS_GROW = 16
+#: Places of a sketch, in words of 64. Sets of more than about 3.5 * BITS shingles are not told apart by it.
+BITS = 1024
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
 def misses(n: np.ndarray | int) -> np.ndarray | int:
@@ -183,8 +183,18 @@ def members(texts: DataFrame, frequent: np.ndarray, firsts: DataFrame, space: Wo
     return out
 
 
+def sketches(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each set, in words of 64 bits, the parities of its shingles in BITS places."""
+    each = BITS // 64
+    out = np.zeros((len(at) - 1) * each, U64)
+    place = mix(values ^ U64(0x5DEECE66D))
+    word = np.repeat(np.arange(len(at) - 1) * each, np.diff(at)) + ((place >> U64(6)) % U64(each)).astype(np.int64)
+    np.bitwise_xor.at(out, word, U64(1) << (place & U64(63)))
+    return out.reshape(-1, each)
+
+
 def wanted_sets(docs: DataFrame, wanted: DataFrame, space: Workspace) -> str:
-    """Name of a table (doc, n, tokens) of the wanted documents (column id), bucketed by doc.
+    """Name of a table (doc, n, tokens, sketch's words) of the wanted documents (column id), bucketed by doc.
 
     The texts arrive dealt out by id, so writing the buckets moves nothing, and a later join
     deals out its pairs only, never the sets.
@@ -194,13 +204,15 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, space: Workspace) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, values, at in _sets(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), lists(values, at)], names=["doc", "n", "tokens"])
+                words = sketches(values, at).view(np.int64)
+                arrays = [batch.column(0).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), lists(values, at), *(pa.array(np.ascontiguousarray(w)) for w in words.T)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "tokens", *SKETCH])
 
     texts = docs.join(wanted, "id", "left_semi").select("id", "text")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = f"shingle_sets_{uuid.uuid4().hex}"
     with shuffle_cleanup(docs.sparkSession):
-        texts.mapInArrow(run, f"doc {id_type}, n int, tokens array<bigint>").write.bucketBy(buckets, "doc").sortBy("doc").option("path", f"{space.path}/sets").saveAsTable(name)
+        texts.mapInArrow(run, f"doc {id_type}, n int, tokens array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH)).write.bucketBy(buckets, "doc").sortBy("doc").option("path", f"{space.path}/sets").saveAsTable(name)
     return name
 
 
@@ -208,75 +220,55 @@ def size_fits(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def sketch_fits(n: Column, other_n: Column, mark: str) -> Column:
+    """Whether the sketches (the other's words begin with ``mark``) differ in no more places than sets that link in shingles.
+
+    100 * both >= PERCENT * union, and both = (n + other_n - apart) / 2, union = (n + other_n + apart) / 2.
+    """
+    apart = [F.bit_count(F.col(s).bitwiseXOR(F.col(mark + s))) for s in SKETCH]
+    most = (100 - PERCENT) * (n + other_n)
+    half = sum(apart[1 : len(apart) // 2], apart[0])
+    return ((100 + PERCENT) * half <= most) & ((100 + PERCENT) * sum(apart[len(apart) // 2 :], half) <= most)
+
+
 def compared(pairs: DataFrame, sets: DataFrame, space: Workspace, label: str) -> DataFrame:
-    """The pairs (x, y) that link or are ``big``; the latter with y's shingles outside x.
+    """The pairs (x, y) that link.
 
-    ``most`` is the size of the largest set that y can link with by what it shares with x alone.
     y's set goes along with the pair to x. If one x is in very many pairs, that join can be
     split: both its sides are dealt out, and x's sets are those of the few that are an x.
     """
-    heads = space.keep(sets.join(pairs.select(F.col("x").alias("doc")).distinct(), "doc", "left_semi"), f"{label}-heads")
+    heads = space.keep(sets.select("doc", "n", "tokens").join(pairs.select(F.col("x").alias("doc")).distinct(), "doc", "left_semi"), f"{label}-heads")
     left = heads.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
     right = sets.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    out = pairs.join(right, "y").join(left, "x").withColumn("both", F.size(F.array_intersect("tx", "ty")))
-    linked = 100 * F.col("both") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("both"))
-    most = F.expr(f"{100 + PERCENT} * both div {PERCENT}").cast("int") - F.col("ny")
-    out = space.keep(out.select("x", "y", "big", "score", "before", "ny", linked.alias("linked"), most.alias("most"), F.when(F.col("big"), F.array_except("ty", "tx")).alias("outside")).where("linked OR big"), label)
+    both = F.size(F.array_intersect("tx", "ty"))
+    out = pairs.join(right, "y").join(left, "x").where(100 * both >= PERCENT * (F.col("nx") + F.col("ny") - both))
+    out = space.keep(out.select("x", "y"), label)
     space.drop(f"{label}-heads")
     return out
 
 
-def _other_signatures(found: DataFrame) -> DataFrame:
-    """Signatures (x, shingle outside x) of all that were compared with an x that not all link with; ``found`` has y's root.
-
-    A pair that goes on under them was to be found under the old signature, so the old bounds hold.
-    """
-    heads = found.where("big AND NOT linked").select("x").distinct()
-    rows = found.where("big").join(heads, "x", "left_semi")
-    rows = rows.select("x", F.explode("outside").alias("token"), F.col("y").alias("doc"), F.col("ny").alias("n"), "score", "before", "root")
-    return rows.select(F.xxhash64("x", "token").alias("sig"), "doc", "n", "score", F.col("before").alias("most"), "root")
-
-
 def live_signatures(rows: DataFrame, draw: int) -> DataFrame:
-    """(sig, lead, lead_n, lead_root, lead_most, big, least, size) of the signatures that more than one component has.
+    """(sig, lead, lead_n, lead_root) of the signatures that more than one component has.
 
     Copies share many signatures that nobody else has: of signatures with the same members
-    under the same bounds one is kept. Members are told apart by 128 bits of exclusive-ors and
+    one is kept. Members are told apart by 128 bits of exclusive-ors and
     62 bits of sums of their hashes, besides their number, the ends of their roots and the lead.
     """
-    h, g = F.xxhash64("doc", "most"), F.xxhash64(F.lit("second"), "most", "doc")
-    lead = F.max(F.struct("score", F.xxhash64(F.lit(draw), "doc").alias("draw"), "doc", "n", "root", "most")).alias("lead")
+    h, g = F.xxhash64("doc"), F.xxhash64(F.lit("second"), "doc")
+    lead = F.max(F.struct("score", F.xxhash64(F.lit(draw), "doc").alias("draw"), "doc", "n", "root")).alias("lead")
     marks = [F.count("*").alias("size"), F.bit_xor(h).alias("x1"), F.bit_xor(g).alias("x2"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("s1"), F.sum(F.shiftrightunsigned(h, 33)).alias("s2")]
-    live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead, F.min("n").alias("least"), *marks).where(F.col("lo") != F.col("hi"))
-    live = live.select("sig", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root"), F.col("lead.most").alias("lead_most"), (F.col("size") > SMALL).alias("big"), "least", "size", "lo", "hi", "x1", "x2", "s1", "s2")
+    live = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead, *marks).where(F.col("lo") != F.col("hi"))
+    live = live.select("sig", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root"), "size", "lo", "hi", "x1", "x2", "s1", "s2")
     same = live.columns[1:]
-    return live.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", *same[:7])
-
-
-def may_link(n: Column, most: Column, root: Column, other_n: Column, other_most: Column, other_root: Column) -> Column:
-    """Of two members of a signature: not of one component, and neither too large for the other."""
-    return (root != other_root) & (n <= other_most) & (other_n <= most) & size_fits(n, other_n)
-
-
-def with_first_signatures(rows: DataFrame) -> DataFrame:
-    """Add ``low``: the LOW smallest of the document's signatures under which its bound is the largest.
-
-    A pair that may link under one signature may link under each that both lists have, so it
-    needs to be compared under the smallest of those only.
-    """
-    own = F.array_sort(F.collect_list(F.struct((-F.col("most").cast("long")).alias("bound"), "sig")))
-    low = rows.groupBy("doc").agg(F.slice(own, 1, LOW).alias("own"))
-    low = low.select("doc", F.transform(F.filter("own", lambda x: x["bound"] == F.col("own")[0]["bound"]), lambda x: x["sig"]).alias("low"))
-    return rows.join(low, "doc")
+    return live.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", *same[:3])
 
 
 def more_leads(rows: DataFrame, many: int) -> DataFrame:
-    """(sig, x, nx, rx, mx, lx): of each signature about ``many`` of the members outside the lead's component, drawn by hash; all if there are no more."""
+    """(sig, x, nx, rx, x's sketch): of each signature about ``many`` of the members outside the lead's component, drawn by hash; all if there are no more."""
     others = rows.where(F.col("root") != F.col("lead_root"))
     count = others.groupBy("sig").agg(F.count("*").alias("others"))
     drawn = others.join(count, "sig").where(F.pmod(F.xxhash64(F.lit(many), "sig", "doc"), F.col("others")) < many)
-    drawn = with_first_signatures(drawn.select("sig", "doc", "n", "root", "most"))
-    return drawn.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("most").alias("mx"), F.col("low").alias("lx"))
+    return drawn.select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *(F.col(s).alias(f"x{s}") for s in SKETCH))
 
 
 def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
@@ -284,61 +276,47 @@ def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
 
     In each of the first rounds every signature's members are compared with one of them, its
     lead: the one whose signatures most documents hold, in a group of edited copies the original
-    or near it. Members of one component need no more comparison. In signatures of more than
-    SMALL members, what a member y shares with the lead suffices for links with sets of up to
-    some size, ``most``. Any larger member that y links with shares a shingle outside the lead
-    with it: all members get signatures of the lead and one shingle outside it, and y is compared
-    under the old one with members up to that size only, or leaves it if there can be none.
-    Copies that differ too much to link have most such shingles for themselves, and are not
-    compared with each other.
-
-    In later rounds several members outside the lead's component are leads. They are compared
-    with those that they can link with by size, bounds and component only, and then leave. A
-    signature ends when all are of one component; more leads from round to round keep the
-    number of rounds to the logarithm of its members.
+    or near it. Members of one component need no more comparison. In later rounds several
+    members outside the lead's component are leads. Leads are compared with all members that
+    they can link with by size, sketch and component, and then leave. A signature ends when
+    all are of one component; more leads from round to round keep the number of rounds to the
+    logarithm of its members.
     """
-    tree, done, k, many = None, None, 0, 1
+    tree, done, edges, k, many = None, None, None, 0, 1
     score = space.keep(rows.groupBy("doc").agg(F.sum("held").alias("score")), "score")
-    rows = rows.join(score, "doc").select("sig", "doc", "n", "score", F.lit(ANY_SIZE).alias("most"), F.col("doc").alias("root"))
-    edges = None
+    words = space.keep(sets.select("doc", *SKETCH), "sketches")
+    rows = rows.join(score, "doc").select("sig", "doc", "n", "score", F.col("doc").alias("root"))
     while True:
-        rows = space.keep(rows.join(live_signatures(rows, k), "sig").where(F.col("most") >= F.greatest("least", F.ceil(PERCENT * F.col("n") / 100))), f"live{k}")
+        rows = space.keep(rows.join(live_signatures(rows, k), "sig"), f"live{k}")
         if k and rows.isEmpty():
             return edges
         if k:  # what this round's rows were made from; the tree of the last round is still an edge of the next
             for label in (f"live{k - 1}", f"leads{k - 1}", f"compared{k - 1}", *([f"round{k - 2}-small"] if k > 1 else [])):
                 space.drop_like(label) if label.endswith("small") else space.drop(label)
-        own = may_link(*(F.col(c) for c in ("n", "most", "root", "lead_n", "lead_most", "lead_root")))
         if many == 1:
-            pairs = rows.where((F.col("lead") != F.col("doc")) & (F.col("big") | own)).select(F.col("lead").alias("x"), F.col("doc").alias("y"), "big", "score", F.when(F.col("big"), F.col("most")).alias("before"))
+            pairs = rows.where((F.col("lead") != F.col("doc")) & (F.col("root") != F.col("lead_root")) & size_fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("x"), F.col("doc").alias("y"), F.col("lead_n").alias("nx"), F.col("n").alias("ny")).distinct()
+            pairs = pairs.join(words.withColumnRenamed("doc", "y"), "y").join(words.select(F.col("doc").alias("x"), *(F.col(s).alias(f"x{s}") for s in SKETCH)), "x").where(sketch_fits(F.col("nx"), F.col("ny"), "x")).select("x", "y")
         else:
-            leads = space.keep(more_leads(rows, many), f"leads{k}")
-            first = F.coalesce(F.array_min(F.array_intersect("low", "lx")) >= F.col("sig"), F.lit(True))
-            both = with_first_signatures(rows).join(leads, "sig").where((F.col("x") != F.col("doc")) & may_link(*(F.col(c) for c in ("n", "most", "root", "nx", "mx", "rx"))) & first)
-            pairs = both.select(F.least("x", "doc").alias("x"), F.greatest("x", "doc").alias("y"), F.lit(False).alias("big"), "score", F.lit(None).cast("int").alias("before"))
-        pairs = pairs.groupBy("x", "y").agg(F.max("big").alias("big"), F.max("score").alias("score"), F.max("before").alias("before")).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
+            with_words = rows.join(words, "doc")
+            leads = space.keep(more_leads(with_words, many), f"leads{k}")
+            fit = (F.col("x") != F.col("doc")) & (F.col("root") != F.col("rx")) & size_fits(F.col("n"), F.col("nx")) & sketch_fits(F.col("n"), F.col("nx"), "x")
+            pairs = with_words.select("sig", "doc", "n", "root", *SKETCH).join(leads, "sig").where(fit).select("x", F.col("doc").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y").groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y"))
         if done is not None:
-            pairs = pairs.join(done.withColumn("known", F.lit(True)), ["a", "b"], "left").where("big OR known IS NULL").drop("known")
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = space.keep(pairs, f"pairs{k}")
-        found = compared(pairs.select("x", "y", "big", "score", "before"), sets, space, f"compared{k}")
-        new = found.where("linked").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found = compared(pairs.select("x", "y"), sets, space, f"compared{k}")
+        new = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = new if tree is None else new.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        seen = pairs.select("a", "b").distinct()
-        done = space.keep(seen if done is None else done.unionByName(seen).distinct(), f"done{k}")  # else each round's plan holds all rounds before it
+        seen = pairs.select("a", "b")
+        done = space.keep(seen if done is None else done.unionByName(seen), f"done{k}")  # else each round's plan holds all rounds before it
         for label in (f"done{k - 1}", f"pairs{k - 1}"):
             space.drop(label)
         tree = components(edges, space, f"round{k}")
         root = tree.select(F.col("node").alias("doc"), F.col("root").alias("found"))
-        if many == 1:
-            bound = found.where("big").select(F.col("x").alias("lead"), F.col("y").alias("doc"), "big", F.col("most").alias("bound"))
-            kept = rows.where(F.col("doc") != F.col("lead")).join(bound, ["lead", "doc", "big"], "left").withColumn("most", F.least("most", "bound"))
-        else:
-            kept = rows.join(leads.select("sig", F.col("x").alias("doc")), ["sig", "doc"], "left_anti")
-        kept = kept.join(root, "doc", "left").select("sig", "doc", "n", "score", "most", F.coalesce("found", "doc").alias("root"))
-        if many == 1:
-            with_root = found.where("big").join(root.select(F.col("doc").alias("y"), "found"), "y", "left").withColumn("root", F.coalesce("found", "y"))
-            kept = kept.unionByName(_other_signatures(with_root))
-        rows, k = kept, k + 1
+        kept = rows.where(F.col("doc") != F.col("lead")) if many == 1 else rows.join(leads.select("sig", F.col("x").alias("doc")), ["sig", "doc"], "left_anti")
+        rows = kept.join(root, "doc", "left").select("sig", "doc", "n", "score", F.coalesce("found", "doc").alias("root"))
+        k += 1
         many = many * LEADS_GROW if k >= STAR_ROUNDS else 1
 
 

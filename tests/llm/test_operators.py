@@ -304,6 +304,40 @@ def test_set_join_of_large_groups_near_the_threshold(spark):
     assert len(set(map(top, range(150)))) > 20
 
 
+def test_set_join_reads_few_sets_of_copies_that_do_not_link(spark, monkeypatch):
+    """Copies that keep some of a text's lines share signatures, but most cannot link: their sets are not compared."""
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(12)) for _ in range(30)]
+    texts = ["\n".join(lines)] + ["\n".join(x for x in lines if rng.random() < 0.6) for _ in range(200)]
+    texts += ["\n".join([*texts[k].split("\n"), f"a line of its own {k} that hardly counts"]) for k in range(1, 40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in sorted(linked * 5, key=lambda p: rng.random()):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    read, compared = [], setjoin.compared
+
+    def counted(pairs, *rest):
+        read.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(setjoin, "compared", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.similar_documents(docs).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 100
+    assert sum(read) < 2 * len(linked) + 100
+
+
+def test_sketches_never_differ_more_than_sets():
+    """Parities of equal sets are equal, and a shingle more changes one place."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 900, rng.integers(1, 400)).astype(np.uint64)) for _ in range(2))
+        a, b = setjoin.sketches(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_lines_of_wide_ids_and_long_texts(spark):
     text = "a line of many documents\nother"
     ids = [2**60, 0, -(2**62 + 5), 2**62 + 5, None]
