@@ -41,7 +41,7 @@ MOST_FREQUENT = 1 << 18
 #: that the others are compared with grows by LEADS_GROW from round to round.
 STAR_ROUNDS = 2
 LEADS_GROW = 16
-#: Places of a sketch, in words of 64. Sets of more than about 3.5 * BITS shingles are not told apart by it.
+#: Places of a sketch, in words of 64. Sets of more than about 1.75 * BITS shingles are hardly told apart by it.
 BITS = 1024
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
