@@ -20,23 +20,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node that has a smaller one has only that one, and none hangs on it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where((F.col("up") > 0) & (F.col("n") > 1)).count() == 0
+
+
 def components(edges: DataFrame, space: Workspace, label: str) -> DataFrame:
     """(node, root): every node of ``edges`` (columns a, b) with the smallest node reachable from it.
 
     Each step is a written table; a hub's edges stay spread, as only its minimum is summed and
-    the join back can be split. Ends when a step changes nothing. Nulls and loops are left out.
+    the join back can be split. Ends when all that is left are stars, whose middles are the roots:
+    no step is made only to see that it changes nothing. Nulls and loops are left out.
     Only the last step's table stays.
     """
-    pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = space.keep(pairs, f"{label}-small0")
-    last, k = None, 0
+    now, k = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), 0
     while True:
         k += 1
-        new = space.keep(_star(space.keep(_star(now, True), f"{label}-large{k}"), False), f"{label}-small{k}")
+        now = space.keep(_star(space.keep(_star(now, True), f"{label}-large{k}"), False), f"{label}-small{k}")
         for done in (f"{label}-large{k}", f"{label}-small{k - 1}"):
             space.drop(done)
-        mark = tuple(new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if mark == last:
+        if _stars(now):
             break
-        now, last = new, mark
-    return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

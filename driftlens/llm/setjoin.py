@@ -272,7 +272,7 @@ def more_leads(rows: DataFrame, many: int) -> DataFrame:
 
 
 def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
-    """(a, b) edges that connect exactly the documents that links connect.
+    """(node, root) of the documents that links connect, by the smallest of each component.
 
     In each of the first rounds every signature's members are compared with one of them, its
     lead: the one whose signatures most documents hold, in a group of edited copies the original
@@ -280,19 +280,20 @@ def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     members outside the lead's component are leads. Leads are compared with all members that
     they can link with by size, sketch and component, and then leave. A signature ends when
     all are of one component; more leads from round to round keep the number of rounds to the
-    logarithm of its members.
+    logarithm of its members. The last round's components are the result, and a round without a
+    link keeps those it has: the driver remembers the plan and tasks of every step.
     """
-    tree, done, edges, k, many = None, None, None, 0, 1
+    tree, made, k, many = None, 0, 0, 1
     score = space.keep(rows.groupBy("doc").agg(F.sum("held").alias("score")), "score")
     words = space.keep(sets.select("doc", *SKETCH), "sketches")
     rows = rows.join(score, "doc").select("sig", "doc", "n", "score", F.col("doc").alias("root"))
     while True:
         rows = space.keep(rows.join(live_signatures(rows, k), "sig"), f"live{k}")
         if k and rows.isEmpty():
-            return edges
-        if k:  # what this round's rows were made from; the tree of the last round is still an edge of the next
-            for label in (f"live{k - 1}", f"leads{k - 1}", f"compared{k - 1}", *([f"round{k - 2}-small"] if k > 1 else [])):
-                space.drop_like(label) if label.endswith("small") else space.drop(label)
+            return tree
+        if k:  # what this round's rows were made from
+            for label in (f"live{k - 1}", f"leads{k - 1}", f"compared{k - 1}"):
+                space.drop(label)
         if many == 1:
             pairs = rows.where((F.col("lead") != F.col("doc")) & (F.col("root") != F.col("lead_root")) & size_fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("x"), F.col("doc").alias("y"), F.col("lead_n").alias("nx"), F.col("n").alias("ny")).distinct()
             pairs = pairs.join(words.withColumnRenamed("doc", "y"), "y").join(words.select(F.col("doc").alias("x"), *(F.col(s).alias(f"x{s}") for s in SKETCH)), "x").where(sketch_fits(F.col("nx"), F.col("ny"), "x")).select("x", "y")
@@ -302,20 +303,21 @@ def links(rows: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
             fit = (F.col("x") != F.col("doc")) & (F.col("root") != F.col("rx")) & size_fits(F.col("n"), F.col("nx")) & sketch_fits(F.col("n"), F.col("nx"), "x")
             pairs = with_words.select("sig", "doc", "n", "root", *SKETCH).join(leads, "sig").where(fit).select("x", F.col("doc").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y").groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x", F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("y"))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        if k:  # the pairs of all rounds before are one scan, so a round's plan does not grow with their number
+            pairs = pairs.join(space.read("pairs0", pairs.schema, *(f"pairs{i}" for i in range(1, k))).select("a", "b"), ["a", "b"], "left_anti")
         pairs = space.keep(pairs, f"pairs{k}")
         found = compared(pairs.select("x", "y"), sets, space, f"compared{k}")
-        new = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = new if tree is None else new.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        seen = pairs.select("a", "b")
-        done = space.keep(seen if done is None else done.unionByName(seen), f"done{k}")  # else each round's plan holds all rounds before it
-        for label in (f"done{k - 1}", f"pairs{k - 1}"):
-            space.drop(label)
-        tree = components(edges, space, f"round{k}")
-        root = tree.select(F.col("node").alias("doc"), F.col("root").alias("found"))
-        kept = rows.where(F.col("doc") != F.col("lead")) if many == 1 else rows.join(leads.select("sig", F.col("x").alias("doc")), ["sig", "doc"], "left_anti")
-        rows = kept.join(root, "doc", "left").select("sig", "doc", "n", "score", F.coalesce("found", "doc").alias("root"))
+        rows = rows.where(F.col("doc") != F.col("lead")) if many == 1 else rows.join(leads.select("sig", F.col("x").alias("doc")), ["sig", "doc"], "left_anti")
+        rows = rows.select("sig", "doc", "n", "score", "root")
+        if tree is None or not found.isEmpty():
+            new = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            edges = new if tree is None else new.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            tree = components(edges, space, f"round{k}")
+            if k:
+                space.drop_like(f"round{made}-small")
+            made = k
+            root = tree.select(F.col("node").alias("doc"), F.col("root").alias("found"))
+            rows = rows.join(root, "doc", "left").select("sig", "doc", "n", "score", F.coalesce("found", "root").alias("root"))
         k += 1
         many = many * LEADS_GROW if k >= STAR_ROUNDS else 1
 
@@ -336,11 +338,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = members(texts, frequent_shingles(texts, space), firsts, space)
     sets = wanted_sets(texts, rows.select(F.col("doc").alias("id")).distinct(), space)
     try:
-        edges = links(rows, docs.sparkSession.table(sets), space)
+        tree = links(rows, docs.sparkSession.table(sets), space)
     finally:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {sets}")
         space.drop("sets")
-    root = components(edges, space, "all").select(F.col("node").alias("first"), "root")
+    root = tree.select(F.col("node").alias("first"), "root")
     classes = firsts.select("node", "node2", F.col("id").alias("first")).join(root, "first", "left").select("node", "node2", F.coalesce("root", "first").alias("component"))
     own = nodes.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component"))

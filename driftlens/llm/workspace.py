@@ -66,8 +66,9 @@ class Workspace:
             writer.parquet(f"{self.path}/{label}")
         return self.read(label, df.schema)
 
-    def read(self, label: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{label}")
+    def read(self, label: str, schema, *more: str) -> DataFrame:
+        """A table, or several of one schema as one scan."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{x}" for x in (label, *more)))
 
     def drop(self, label: str) -> None:
         """Delete a table that no later step reads."""
