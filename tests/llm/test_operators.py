@@ -53,6 +53,39 @@ def test_repeats(spark, most_windows):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+@pytest.mark.parametrize("most_windows", [20000, 3])
+def test_passages_of_over_50_words(spark, most_windows):
+    """Passages of fewer than 400 bytes in two documents are told; the contract's columns leave them alone."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5)))
+    prose = lambda n: [word() for _ in range(n)]
+    base, texts = prose(90), []
+    for size in (50, 51, 52, 58, 75, 200):
+        passage = prose(size)
+        for _ in range(2):
+            texts.append(prose(rng.randint(0, 80)) + passage + prose(rng.randint(0, 80)))
+        texts.append(passage[1:] + ["end"])
+    for _ in range(14):  # near copies: many windows of one anchor
+        b = list(base)
+        for _ in range(rng.randint(0, 2)):
+            b[rng.randrange(90)] = word()
+        texts.append(prose(rng.randint(0, 3)) + b)
+    alone = prose(60)
+    texts += [alone + ["x"] + alone, ["die"] * 120, ["so"] * 51, ["so"] * 70, ["no"] * 50, ["no"] * 50]
+    spaces = [" ", "\n", "\t ", "  "]
+    data = list(enumerate(["".join(w + rng.choice(spaces) for w in t) for t in texts] + [None, "", " \n"]))
+    holders = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 50):
+            holders[tuple(t[k : k + 51])].add(i)
+    want = {i: 0 for i, _ in data}
+    for i, t in enumerate(texts):
+        want[i] = len({j for k in range(len(t) - 50) if len(holders[tuple(t[k : k + 51])]) > 1 for j in range(k, k + 51)})
+    got = sufdedup.remove_repeats(spark.createDataFrame(data, DOC).repartition(3), most_windows=most_windows).collect()
+    assert {r.doc_id: r.n_shared_words for r in got} == want
+    assert sum(r.n_shared_words > 0 and r.n_removed == 0 for r in got) > 10
+
+
 def test_set_join(spark):
     rng = random.Random(5)
     data = []
