@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,11 +135,15 @@ def _occurrences(what: Strings):
                 at, key, row = anchors(buf, offs, what)
                 if not len(at):
                     continue
-                data, digests, unit = buf.tobytes(), bytearray(), what.unit
-                for p, r in zip(at.tolist(), row.tolist()):
-                    lo, hi = window(int(offs[r]), int(offs[r + 1]), p, what)
-                    digests += hashlib.blake2b(data[lo * unit : hi * unit], digest_size=16, salt=(p - lo).to_bytes(8, "little")).digest()
-                w = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+                if what.unit == 1:
+                    data, digests = buf.tobytes(), bytearray()
+                    for p, r in zip(at.tolist(), row.tolist()):
+                        lo, hi = window(int(offs[r]), int(offs[r + 1]), p, what)
+                        digests += hashlib.blake2b(data[lo:hi], digest_size=16, salt=(p - lo).to_bytes(8, "little")).digest()
+                    w = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+                else:  # the symbols are hashes already: two sums of them over each window
+                    lo, hi = np.maximum(offs[row], at - what.side), np.minimum(offs[row + 1], at + what.length)
+                    w = np.stack([mix(span_hashes(prefix_sums(x), lo, hi) + (at - lo).astype(U64)) for x in (buf, mix(buf))], axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(at - offs[row]), pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], names=["k", "at", "key", "w1", "w2"])
 
     return run
@@ -321,6 +326,19 @@ def repeated_spans(contents: DataFrame, space: Workspace, most_windows: int = MO
     return found if same is None else found.unionByName(same)
 
 
+def _covered(spans: pa.ListArray, size: np.ndarray) -> np.ndarray:
+    """How many of its ``size`` words each text's spans cover; the texts are laid one after another."""
+    count = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(count)), count)
+    s, e = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
+    base = np.concatenate(([0], np.cumsum(size)))[row]
+    s, e = s + base, np.minimum(e, size[row]) + base
+    order = np.argsort(s, kind="stable")
+    reach = np.maximum.accumulate(e[order])
+    new = np.maximum(0, reach - np.maximum(s[order], np.concatenate(([0], reach))[:-1]))
+    return np.bincount(row[order], new, len(count)).astype(np.int64)
+
+
 def _cut(with_bytes: bool, id_col: str):
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeat", "n_shared_words"] + ["kept"] * with_bytes
 
@@ -335,21 +353,21 @@ def _cut(with_bytes: bool, id_col: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, spans, passages in zip(*(batch.column(i) for i in (1, 2, 3))):
-                data, kept, at, removed, n, shared = (text.as_py() or "").encode(), [], 0, 0, 0, 0
+            rows, n_words = [], np.zeros(batch.num_rows, np.int64)
+            for i, (text, spans, passages) in enumerate(zip(*(batch.column(i) for i in (1, 2, 3)))):
+                data, kept, at, removed, n = (text.as_py() or "").encode(), [], 0, 0, 0
                 for s, e in merged(spans.as_py()):
                     kept.append(data[at:s])
                     removed, n, at = removed + e - s, n + 1, e
                 kept.append(data[at:])
                 left = b"".join(kept)
-                if in_words := merged(passages.as_py()):
-                    size = len(_WORD.findall(data))
-                    shared = sum(min(e, size) - s for s, e in in_words)
-                rows.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), n > 0, shared, left))
+                if passages.is_valid:
+                    n_words[i] = len(_WORD.findall(data))
+                rows.append((len(data), removed, n, hashlib.sha256(left).hexdigest(), n > 0, left))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary())
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                columns.insert(5, pa.array(_covered(batch.column(3), n_words)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: len(names) - 1]], names=names)
 
     return run
