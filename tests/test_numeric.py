@@ -103,3 +103,8 @@ def oil_of_all_shapes(spark, oil, threshold):
 
 def test_extract_oil_high_of_particles_without_length(spark):
     assert oil_of_all_shapes(spark, 0.9, 0.85) == [k for k, s in enumerate(SHAPES) if s[2]]
+
+
+def test_extract_oil_low_of_particles_without_length(spark):
+    assert oil_of_all_shapes(spark, 0.45, 0.4) == [k for k, s in enumerate(SHAPES) if s[2]]
+    assert oil_of_all_shapes(spark, 0.4, 0.4) == []
