@@ -12,23 +12,24 @@ from driftlens.operators import profiles
 def interpolated(points: DataFrame, series: DataFrame, value: str, clamp: bool = False, block_hours: int = 24) -> DataFrame:
     """(timestamp, value): the series interpolated linearly at each time of ``points``.
 
-    Outside the series null, or its end value if ``clamp``. Both tables are dealt out by
-    blocks of time. Within a block neighbours come from windows; where a block has none to a
-    side, the nearest of the blocks before or after it is used, which is found from one first
-    and one last row a block. No task sees a whole deployment.
+    Outside the series null, or its end value if ``clamp``; null at a null time. Both tables are
+    dealt out once, by blocks of time. Within a block neighbours come from windows; where a block
+    has none to a side, the nearest of the blocks before or after it is used, which is found from
+    one first and one last row a block. No task sees a whole deployment. What follows comes from
+    ``lead``, as a frame that ends with the partition is gone through anew for each row.
     """
     block = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(block_hours * 3_600_000_000))
-    times = points.select("timestamp").distinct().withColumn("block", block("timestamp"))
-    known = series.select(F.col("time").alias("t"), F.col(value).alias("v")).withColumn("block", block("t"))
-    edges = known.groupBy("block").agg(F.min(F.struct("t", "v")).alias("first"), F.max(F.struct("t", "v")).alias("last"))
-    every = edges.join(times.select("block").distinct(), "block", "full")
-    order = Window.orderBy("block")  # a row a block
-    sides = every.select("block", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("next"))
-    both = times.select("block", F.col("timestamp").alias("t"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("asked")).unionByName(known.select("block", "t", "v", F.lit(False).alias("asked")))
+    times = points.select(F.col("timestamp").alias("t")).distinct().select("t", F.lit(None).cast("double").alias("v"), F.lit(True).alias("asked"))
+    known = series.select(F.col("time").alias("t"), F.col(value).alias("v"), F.lit(False).alias("asked")).where("t IS NOT NULL")
+    both = times.unionByName(known).withColumn("block", block("t")).repartition("block")  # read by both the windows and the edges
     own = F.when(~F.col("asked"), F.struct("t", "v"))
+    edges = both.groupBy("block").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    before = Window.unboundedPreceding
+    up, down = Window.orderBy("block"), Window.orderBy(F.col("block").desc())  # a row a block
+    sides = edges.select("block", F.last("last", True).over(up.rowsBetween(before, -1)).alias("prev"), F.last("first", True).over(down.rowsBetween(before, -1)).alias("next"))
     by = Window.partitionBy("block").orderBy("t", "asked")
-    near = both.withColumn("lo", F.last(own, True).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(own, True).over(Window.partitionBy("block").orderBy("t", F.col("asked").desc()).rowsBetween(0, Window.unboundedFollowing))).where("asked")
-    near = near.join(sides, "block").withColumn("lo", F.coalesce("lo", "prev")).withColumn("hi", F.coalesce("hi", "next"))
+    near = both.withColumn("own", own).withColumn("lo", F.last("own", True).over(by.rowsBetween(before, 0))).withColumn("hi", F.expr("lead(own) IGNORE NULLS").over(by)).where("asked")
+    near = near.join(sides, "block", "left").select("t", F.coalesce("lo", "prev").alias("lo"), F.when(F.col("lo.t") == F.col("t"), F.col("lo")).otherwise(F.coalesce("hi", "next")).alias("hi"))
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     span = seconds("hi.t") - seconds("lo.t")
     inside = F.when(span == 0, F.col("lo.v")).otherwise(F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * (seconds("t") - seconds("lo.t")) / F.nullif(span, F.lit(0)))

@@ -108,3 +108,28 @@ def test_extract_oil_high_of_particles_without_length(spark):
 def test_extract_oil_low_of_particles_without_length(spark):
     assert oil_of_all_shapes(spark, 0.45, 0.4) == [k for k, s in enumerate(SHAPES) if s[2]]
     assert oil_of_all_shapes(spark, 0.4, 0.4) == []
+
+
+def interpolated_plan(spark, name):
+    """Words of the optimised plan of a query of the catalog; its windows' frames are among them."""
+    from driftlens import catalog
+
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def with_null_times(spark, clamp):
+    """Values by hour (null for a null time) in a series of two known hours, days apart, and a null time."""
+    at = lambda c: F.timestamp_seconds(F.col(c) * 3600).cast("timestamp_ntz")
+    known = spark.createDataFrame([(None, 77.0), (30, 1.0), (80, 2.0)], "h long, depth double").select(at("h").alias("time"), "depth")
+    asked = spark.createDataFrame([(None,), (0,), (30,), (55,), (100,)], "h long").select(at("h").alias("timestamp"))
+    got = series.interpolated(asked, known, "depth", clamp).select(F.unix_micros(F.col("timestamp").cast("timestamp")).alias("u"), "depth").collect()
+    return {r["u"] if r["u"] is None else r["u"] // 3_600_000_000: r["depth"] for r in got}
+
+
+def test_depth_interp_frames_do_not_end_with_the_partition(spark):
+    plan = interpolated_plan(spark, "depth_interp")
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan  # such a frame takes the square of a block's rows
+
+
+def test_depth_interp_of_null_times(spark):
+    assert with_null_times(spark, True) == {None: None, 0: 1.0, 30: 1.0, 55: 1.5, 100: 2.0}
