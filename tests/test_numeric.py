@@ -133,3 +133,12 @@ def test_depth_interp_frames_do_not_end_with_the_partition(spark):
 
 def test_depth_interp_of_null_times(spark):
     assert with_null_times(spark, True) == {None: None, 0: 1.0, 30: 1.0, 55: 1.5, 100: 2.0}
+
+
+def test_aux_interp_frames_do_not_end_with_the_partition(spark):
+    plan = interpolated_plan(spark, "aux_interp")
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_aux_interp_of_null_times(spark):
+    assert with_null_times(spark, False) == {None: None, 0: None, 30: 1.0, 55: 1.5, 100: None}
